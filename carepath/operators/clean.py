@@ -67,7 +67,7 @@ def project_notes(raw: DataFrame) -> DataFrame:
 
 def clean_patients(raw: DataFrame) -> DataFrame:
     """Parsed patients, first row per subject_id."""
-    return dedup_first(project_patients(raw), "subject_id", "seq")
+    return dedup_first(project_patients(raw), "subject_id", "seq").drop("seq")
 
 
 def semi_valid_subjects(admissions: DataFrame, patients: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def semi_valid_subjects(admissions: DataFrame, patients: DataFrame) -> DataFrame
 def clean_admissions(raw: DataFrame, patients: DataFrame) -> DataFrame:
     """Known-patient admissions, parsed, first row per hadm_id."""
     known = semi_valid_subjects(lower_columns(raw), patients)
-    return dedup_first(project_admissions(known), "hadm_id", "seq")
+    return dedup_first(project_admissions(known), "hadm_id", "seq").drop("seq")
 
 
 def semi_valid_notes(notes: DataFrame, patients: DataFrame, admissions: DataFrame) -> DataFrame:

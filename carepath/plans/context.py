@@ -11,8 +11,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carepath import schemas as S
+from carepath.functions import scalar as X
 from carepath.operators import clean, features
 from carepath.sources import fixtures as FX
 from carepath.sources.tables import evolve_columns, update_by_key
@@ -78,6 +80,16 @@ class Clinic:
     def risk_fixture(self) -> DataFrame:
         return FX.risk_scores(self.spark, self.sf_dir)
 
+    @cached_property
+    def scores(self) -> DataFrame:
+        """patient_risk_scores in its migrated shape, from the score fixture."""
+        r = self.risk_fixture
+        return r.select("subject_id", "risk_score",
+                        X.flag(F.col("risk_score") > 0.5).alias("risk_prediction"),
+                        X.risk_tier("risk_score").alias("risk_tier"),
+                        "predicted_ward",
+                        F.lit(None).cast("double").alias("estimated_los_days"))
+
     @cached_property
     def shap_fixture(self) -> DataFrame:
         return FX.shap_values(self.spark, self.sf_dir)

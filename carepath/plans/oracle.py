@@ -164,7 +164,15 @@ features AS (
          COALESCE(e.num_icu_stays, 0) AS num_icu_stays,
          COALESCE(e.total_icu_hours, CAST(0 AS DOUBLE)) AS total_icu_hours,
          COALESCE(e.had_icu, 0) AS had_icu
-  FROM patient_features f LEFT JOIN enhanced e ON f.subject_id = e.subject_id)
+  FROM patient_features f LEFT JOIN enhanced e ON f.subject_id = e.subject_id),
+scores AS (
+  SELECT subject_id, risk_score,
+         CASE WHEN risk_score > 0.5 THEN 1 ELSE 0 END AS risk_prediction,
+         CASE WHEN risk_score > 0 AND risk_score <= 0.3 THEN 'LOW'
+              WHEN risk_score > 0.3 AND risk_score <= 0.6 THEN 'MEDIUM'
+              WHEN risk_score > 0.6 AND risk_score <= 1.0 THEN 'HIGH' END AS risk_tier,
+         predicted_ward, CAST(NULL AS DOUBLE) AS estimated_los_days
+  FROM risk_fixture)
 """
 
 _EXTRA_CTES: list[str] = []

@@ -96,3 +96,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
     """A relational-database table read in parallel slices of a numeric key."""
     return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper,
                            numPartitions=partitions, properties=props or {})
+
+
+def write_csv(df: DataFrame, path: str, compression: str | None = None,
+              upper_headers: bool = False) -> None:
+    """Write an export-style CSV (header, quoted, whitespace kept)."""
+    if upper_headers:
+        df = df.toDF(*[c.upper() for c in df.columns])
+    w = (df.write.mode("overwrite").option("header", True)
+         .option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    if compression:
+        w = w.option("compression", compression)
+    w.csv(path)
