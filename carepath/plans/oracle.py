@@ -175,7 +175,47 @@ scores AS (
   FROM risk_fixture)
 """
 
-_EXTRA_CTES: list[str] = []
+SERVING_CTES = """
+profile AS (
+  SELECT s.subject_id, s.risk_score, s.risk_tier, s.predicted_ward, s.estimated_los_days,
+         f.admission_count, f.emergency_ratio, f.avg_los_days,
+         COALESCE(f.days_since_last_admission, -1) AS days_since_last_admission,
+         COALESCE(f.age, 0) AS age, COALESCE(f.charlson_score, 0) AS charlson_score,
+         COALESCE(f.num_diagnoses, 0) AS num_diagnoses, COALESCE(f.num_icu_stays, 0) AS num_icu_stays,
+         COALESCE(f.total_icu_hours, 0) AS total_icu_hours, COALESCE(f.had_icu, 0) AS had_icu
+  FROM scores s JOIN features f ON s.subject_id = f.subject_id),
+shap_long AS (
+  SELECT subject_id, 'shap_admission_count' AS feature, 0 AS position, shap_admission_count AS value FROM shap_fixture
+  UNION ALL SELECT subject_id, 'shap_emergency_ratio', 1, shap_emergency_ratio FROM shap_fixture
+  UNION ALL SELECT subject_id, 'shap_days_since_last_admission', 2, shap_days_since_last_admission FROM shap_fixture
+  UNION ALL SELECT subject_id, 'shap_has_previous_admission', 3, shap_has_previous_admission FROM shap_fixture),
+drivers AS (
+  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(value) DESC, position) AS rank FROM shap_long)
+"""
+
+_EXTRA_CTES: list[str] = [SERVING_CTES]
+
+
+def fmt(x: str, digits: int, sign: bool = False) -> str:
+    """SQL twin of ``scalar.fmt_fixed``."""
+    return f"printf('%{'+' if sign else ''}.{digits}f', round_even(CAST({x} AS DOUBLE), {digits}))"
+
+
+def pct(x: str) -> str:
+    """SQL twin of ``scalar.fmt_percent``."""
+    return f"(printf('%.1f', round_even(CAST({x} AS DOUBLE) * 100.0, 1)) || '%')"
+
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def fill(template: str, values: dict[str, str]) -> str:
+    """SQL twin of ``prompts.fill``: printf over a literal template."""
+    import re
+    names = re.findall(r"\{(\w+)\}", template)
+    fmt_ = re.sub(r"\{(\w+)\}", "%s", template.replace("%", "%%"))
+    return f"printf({lit(fmt_)}, " + ", ".join(f"CAST({values[n]} AS VARCHAR)" for n in names) + ")"
 
 
 def add_ctes(text: str) -> None:
