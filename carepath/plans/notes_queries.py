@@ -1 +1,119 @@
-"""Queries (placeholder)."""
+"""Notes, retrieval and prompts over notes."""
+
+from __future__ import annotations
+
+
+from carepath.functions.predicates import question_nonempty
+from carepath.operators import notes as N
+from carepath.operators import prompts as P
+from carepath.operators.clean import limit_notes, semi_valid_notes
+from carepath.plans.catalog import register
+from carepath.plans.context import Clinic
+from carepath.plans.oracle import fill, lit
+from carepath.session import shared_path
+
+
+class _Retrieval:
+    """Vectors, question vectors and top-3 hits for one data directory."""
+
+    def __init__(self, spark, sf_dir):
+        self.c = Clinic(spark, sf_dir)
+        self.notes = self.c.notes
+        self.note_vecs, self.idf = N.vectorize_notes(self.notes)
+        self.questions = question_nonempty(self.c.questions)
+        self.q_vecs = N.vectorize_questions(self.questions, self.idf)
+        self.hits = N.retrieve_topk(self.questions, self.notes, self.note_vecs, self.q_vecs, k=3)
+
+
+@register("limit_notes", "SELECT seq, note_id FROM notes_limited")
+def q_limit_notes(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    return limit_notes(semi_valid_notes(c.notes_raw, c.patients, c.admissions)).select("seq", "note_id")
+
+
+@register("order_notes", "SELECT note_id, subject_id, charttime FROM notes ORDER BY subject_id, charttime, note_id")
+def q_order_notes(spark, sf_dir):
+    return N.order_notes(Clinic(spark, sf_dir).notes).select("note_id", "subject_id", "charttime")
+
+
+@register("note_documents", """
+SELECT note_id, text AS page_content, subject_id AS meta_subject_id, hadm_id AS meta_hadm_id,
+       CAST(charttime AS VARCHAR) AS meta_charttime, category AS meta_category FROM notes""")
+def q_note_documents(spark, sf_dir):
+    return N.note_documents(Clinic(spark, sf_dir).notes)
+
+
+@register("vectorize_notes", "SELECT note_id, subject_id, term, weight FROM note_vecs")
+def q_vectorize_notes(spark, sf_dir):
+    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes)
+    return vecs
+
+
+@register("note_index", "SELECT note_id, subject_id, term, weight FROM note_vecs")
+def q_note_index(spark, sf_dir):
+    """Persist the vectors (clustered by patient, sorted by note), reload them."""
+    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes)
+    path = shared_path(spark, "note_index")
+    (vecs.repartition("subject_id").sortWithinPartitions("subject_id", "note_id")
+         .write.mode("overwrite").parquet(path))
+    return spark.read.parquet(path)
+
+
+@register("retrieve_topk", "SELECT question_id, subject_id, note_id, score, rank FROM hits")
+def q_retrieve_topk(spark, sf_dir):
+    return _Retrieval(spark, sf_dir).hits.select("question_id", "subject_id", "note_id", "score", "rank")
+
+
+_CTX_API = "printf('[%s]', category) || chr(10) || text"
+_CTX_CLI = "printf('[%s - %s]', category, CAST(charttime AS VARCHAR)) || chr(10) || text"
+
+
+def _context_sql(block: str) -> str:
+    return f"""
+SELECT q.question_id, q.subject_id, q.question, c.context FROM questions_ok q JOIN (
+  SELECT h.question_id, string_agg({block}, chr(10) || chr(10) ORDER BY h.rank) AS context
+  FROM hits h JOIN notes n ON h.note_id = n.note_id GROUP BY h.question_id) c ON q.question_id = c.question_id"""
+
+
+@register("rag_context", _context_sql(_CTX_API))
+def q_rag_context(spark, sf_dir):
+    r = _Retrieval(spark, sf_dir)
+    return N.rag_context(r.hits, r.notes, r.questions, "api")
+
+
+@register("rag_context_cli", _context_sql(_CTX_CLI))
+def q_rag_context_cli(spark, sf_dir):
+    r = _Retrieval(spark, sf_dir)
+    return N.rag_context(r.hits, r.notes, r.questions, "cli")
+
+
+@register("rag_sources", f"""
+SELECT q.question_id, q.subject_id, COALESCE(s.n_sources, 0) AS n_sources, COALESCE(s.sources, '') AS sources,
+       CASE WHEN s.question_id IS NULL THEN {lit(P.NO_NOTES_ANSWER)} END AS fixed_answer
+FROM questions_ok q LEFT JOIN (
+  SELECT h.question_id, COUNT(*) AS n_sources,
+         string_agg(printf('subject_id=%s, hadm_id=%s, category=%s', CAST(n.subject_id AS VARCHAR), CAST(n.hadm_id AS VARCHAR), n.category), '; '
+                    ORDER BY h.rank) AS sources
+  FROM hits h JOIN notes n ON h.note_id = n.note_id GROUP BY h.question_id) s ON q.question_id = s.question_id""")
+def q_rag_sources(spark, sf_dir):
+    r = _Retrieval(spark, sf_dir)
+    return N.rag_sources(r.hits, r.notes, r.questions)
+
+
+def _prompt_sql(template: str, block: str) -> str:
+    vals = {"subject_id": "subject_id", "context": "context", "question": "question"}
+    return f"SELECT question_id, subject_id, {fill(template, vals)} AS prompt FROM ({_context_sql(block)})"
+
+
+@register("prompt_rag", _prompt_sql(P.RAG_PROMPT, _CTX_API))
+def q_prompt_rag(spark, sf_dir):
+    r = _Retrieval(spark, sf_dir)
+    return P.prompt_rag(N.rag_context(r.hits, r.notes, r.questions, "api"), "api")
+
+
+@register("prompt_rag_cli", _prompt_sql(P.RAG_PROMPT_CLI, _CTX_CLI))
+def q_prompt_rag_cli(spark, sf_dir):
+    r = _Retrieval(spark, sf_dir)
+    return P.prompt_rag(N.rag_context(r.hits, r.notes, r.questions, "cli"), "cli")
+
+

@@ -193,7 +193,45 @@ drivers AS (
   SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(value) DESC, position) AS rank FROM shap_long)
 """
 
-_EXTRA_CTES: list[str] = [SERVING_CTES]
+NOTES_CTES = r"""
+note_tf AS (
+  SELECT note_id, subject_id, term, COUNT(*) AS tf FROM (
+    SELECT note_id, subject_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f]+')) AS term FROM notes)
+  WHERE term <> '' GROUP BY note_id, subject_id, term),
+idf AS (
+  SELECT term, ln((CAST((SELECT COUNT(*) FROM notes) AS DOUBLE) + 1.0) / (COUNT(*) + 1.0)) AS idf
+  FROM note_tf GROUP BY term),
+note_w0 AS (
+  SELECT t.note_id, t.subject_id, t.term, t.tf * i.idf AS w FROM note_tf t JOIN idf i ON t.term = i.term
+  WHERE t.tf * i.idf <> 0),
+note_vecs AS (
+  SELECT note_id, subject_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY note_id)) AS weight FROM note_w0),
+questions_ok AS (
+  SELECT * FROM questions_raw WHERE length(trim(question)) > 0),
+q_tf AS (
+  SELECT question_id, subject_id, term, COUNT(*) AS tf FROM (
+    SELECT question_id, subject_id, unnest(regexp_split_to_array(lower(question), '[ \t\n\r\f]+')) AS term
+    FROM questions_ok)
+  WHERE term <> '' GROUP BY question_id, subject_id, term),
+q_w0 AS (
+  SELECT t.question_id, t.subject_id, t.term, t.tf * i.idf AS w FROM q_tf t JOIN idf i ON t.term = i.term
+  WHERE t.tf * i.idf <> 0),
+q_vecs AS (
+  SELECT question_id, subject_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY question_id)) AS weight FROM q_w0),
+dots AS (
+  SELECT q.question_id, n.note_id, SUM(q.weight * n.weight) AS score
+  FROM q_vecs q JOIN note_vecs n ON q.subject_id = n.subject_id AND q.term = n.term
+  GROUP BY q.question_id, n.note_id),
+hits AS (
+  SELECT * FROM (
+    SELECT c.question_id, c.subject_id, c.note_id, COALESCE(d.score, 0) AS score,
+           row_number() OVER (PARTITION BY c.question_id ORDER BY COALESCE(d.score, 0) DESC, c.note_id) AS rank
+    FROM (SELECT q.question_id, q.subject_id, n.note_id FROM questions_ok q JOIN notes n ON q.subject_id = n.subject_id) c
+    LEFT JOIN dots d ON c.question_id = d.question_id AND c.note_id = d.note_id)
+  WHERE rank <= 3)
+"""
+
+_EXTRA_CTES: list[str] = [SERVING_CTES, NOTES_CTES]
 
 
 def fmt(x: str, digits: int, sign: bool = False) -> str:
