@@ -1 +1,287 @@
-"""Queries (placeholder)."""
+"""Model training, scoring, evaluation and attribution.
+
+Training rounds are kept low in these registered queries so the whole
+catalog runs in minutes; the library defaults are the full settings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from carepath import schemas as S
+from carepath.operators import ml as ML
+from carepath.operators import serve as SV
+from carepath.operators import shap as SH
+from carepath.plans.catalog import register
+from carepath.plans.context import Clinic
+from carepath.session import shared_path
+
+GBT_ROUNDS = 20
+FOREST_TREES = 20
+
+
+def _train_input(c: Clinic, cols=S.BASIC_FEATURES, recency=-1.0):
+    return ML.training_frame(c.features, cols, recency_default=recency)
+
+
+def _split(c: Clinic, cols=S.BASIC_FEATURES, recency=-1.0):
+    return ML.stratified_split(_train_input(c, cols, recency)).checkpoint(eager=True)
+
+
+def _holdout(model, split):
+    return ML.score(model, split.filter(F.col("split") == "test"))
+
+
+_NZV_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, stddev_samp({'COALESCE(' + c + ', 0)'}) AS std, "
+    f"COALESCE(stddev_samp({'COALESCE(' + c + ', 0)'}) > 0, false) AS keep FROM features WHERE high_risk_label IS NOT NULL"
+    for c in S.ENHANCED_FEATURES)
+
+
+@register("nonzero_variance", _NZV_SQL)
+def q_nonzero_variance(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    return ML.nonzero_variance(_train_input(c, S.ENHANCED_FEATURES, 0.0), S.ENHANCED_FEATURES)
+
+
+@register("class_weight", """
+SELECT subject_id, high_risk_label AS label,
+       COUNT(*) OVER () / (2.0 * COUNT(*) OVER (PARTITION BY high_risk_label)) AS weight
+FROM patient_features WHERE high_risk_label IS NOT NULL""")
+def q_class_weight(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    return ML.class_weights(_train_input(c)).select("subject_id", "label", "weight")
+
+
+_STD_COLS = ", ".join(
+    f"({x} - AVG({x}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({x}) OVER (), 0), 1) AS {n}"
+    for n, x in [("admission_count", "CAST(admission_count AS DOUBLE)"), ("emergency_ratio", "COALESCE(emergency_ratio, 0)"),
+                 ("days_since_last_admission", "COALESCE(days_since_last_admission, -1)"),
+                 ("has_previous_admission", "CAST(has_previous_admission AS DOUBLE)")])
+
+
+@register("standardize", f"SELECT subject_id, {_STD_COLS} FROM patient_features WHERE high_risk_label IS NOT NULL")
+def q_standardize(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    df = _train_input(c)
+    return ML.standardize(df, ML.standardize_params(df, S.BASIC_FEATURES)).select("subject_id", *S.BASIC_FEATURES)
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _split(Clinic(spark, sf_dir)).select("subject_id", "label", "split")
+
+
+@register("train_logistic")
+def q_train_logistic(spark, sf_dir):
+    sp = ML.class_weights(_split(Clinic(spark, sf_dir)))
+    params = ML.standardize_params(sp.filter("split = 'train'"), S.BASIC_FEATURES)
+    sp = ML.standardize(sp, params)
+    model = ML.train_logistic(sp.filter("split = 'train'"), S.BASIC_FEATURES)
+    return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    sp = ML.class_weights(_split(Clinic(spark, sf_dir)))
+    model = ML.train_forest(sp.filter("split = 'train'"), S.BASIC_FEATURES, trees=FOREST_TREES)
+    return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
+
+
+@register("train_gbt_base")
+def q_train_gbt_base(spark, sf_dir):
+    sp = ML.class_weights(_split(Clinic(spark, sf_dir)), mode="pos_scale")
+    model = ML.train_gbt_base(sp.filter("split = 'train'"), rounds=GBT_ROUNDS)
+    return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
+
+
+@register("train_gbt_enhanced")
+def q_train_gbt_enhanced(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    base = _train_input(c, S.ENHANCED_FEATURES, 0.0)
+    cols = ML.kept_features(base, S.ENHANCED_FEATURES)
+    sp = ML.class_weights(ML.stratified_split(base).checkpoint(eager=True), mode="pos_scale")
+    model = ML.train_gbt_enhanced(sp.filter("split = 'train'"), cols, rounds=GBT_ROUNDS)
+    return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    """Report rows and ROC-AUC of the three basic-feature models on one hold-out."""
+    sp = _split(Clinic(spark, sf_dir))
+    bal = ML.class_weights(sp)
+    params = ML.standardize_params(bal.filter("split = 'train'"), S.BASIC_FEATURES)
+    std = ML.standardize(bal, params)
+    posw = ML.class_weights(sp, mode="pos_scale")
+    runs = {
+        "logistic": _holdout(ML.train_logistic(std.filter("split = 'train'"), S.BASIC_FEATURES), std),
+        "forest": _holdout(ML.train_forest(bal.filter("split = 'train'"), S.BASIC_FEATURES, FOREST_TREES), bal),
+        "gbt": _holdout(ML.train_gbt_base(posw.filter("split = 'train'"), rounds=GBT_ROUNDS), posw),
+    }
+    out = None
+    for name, pred in runs.items():
+        rep = ML.classification_report(pred, prediction="risk_prediction")
+        auc = ML.roc_auc(pred).first()["roc_auc"]
+        rep = rep.withColumn("model", F.lit(name)).withColumn("roc_auc", F.lit(auc))
+        out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+@register("encode_ward", """
+SELECT subject_id, predicted_ward, CAST(DENSE_RANK() OVER (ORDER BY predicted_ward) - 1 AS DOUBLE) AS label
+FROM scores WHERE predicted_ward IS NOT NULL""")
+def q_encode_ward(spark, sf_dir):
+    s = Clinic(spark, sf_dir).scores.filter(F.col("predicted_ward").isNotNull())
+    return ML.ward_indexer().fit(s).transform(s).select("subject_id", "predicted_ward", "label")
+
+
+def _ward_data(c: Clinic):
+    f = c.base_features.select("subject_id", "admission_count", "emergency_ratio", "avg_los_days", "max_los_days",
+                               F.coalesce("days_since_last_admission", F.lit(-1.0)).alias("days_since_last_admission"),
+                               "has_previous_admission")
+    j = f.join(c.scores.select("subject_id", "risk_score", "predicted_ward"), "subject_id")
+    return j.select("subject_id", *[F.col(x).cast("double") for x in S.WARD_FEATURES], "predicted_ward")
+
+
+@register("train_ward")
+def q_train_ward(spark, sf_dir):
+    """Hold-out classification report of the ward model (labelled rows only)."""
+    c = Clinic(spark, sf_dir)
+    data = _ward_data(c).filter(F.col("predicted_ward").isNotNull())
+    sp = ML.stratified_split(data, label="predicted_ward").checkpoint(eager=True)
+    model = ML.train_ward(sp.filter("split = 'train'"), trees=FOREST_TREES)
+    pred = ML.score_ward(model, sp.filter("split = 'test'"))
+    return ML.classification_report(pred, label="predicted_ward", prediction="ward_pred")
+
+
+@register("score_ward")
+def q_score_ward(spark, sf_dir):
+    """Ward and confidence for every scored patient; trained on the labelled ones."""
+    c = Clinic(spark, sf_dir)
+    data = _ward_data(c)
+    model = ML.train_ward(data.filter(F.col("predicted_ward").isNotNull()), trees=FOREST_TREES)
+    return ML.score_ward(model, data).select("subject_id", "risk_score", F.col("ward_pred").alias("predicted_ward"),
+                                             "ward_probability")
+
+
+@register("score_patients")
+def q_score_patients(spark, sf_dir):
+    """Final model on all labelled rows, then risk score, prediction and tier for each."""
+    c = Clinic(spark, sf_dir)
+    df = ML.class_weights(_train_input(c), mode="pos_scale")
+    model = ML.train_gbt_base(df, rounds=GBT_ROUNDS)
+    return ML.score(model, df).select("subject_id", "risk_score", "risk_prediction", "risk_tier")
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    df = ML.class_weights(_train_input(c), mode="pos_scale")
+    return ML.cross_validate(df, S.BASIC_FEATURES, lambda tr: ML.train_gbt_base(tr, rounds=10))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    return ML.cv_summary(q_cross_validate(spark, sf_dir))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    df = ML.class_weights(_train_input(c), mode="pos_scale")
+    return ML.feature_importance(spark, ML.train_gbt_base(df, rounds=GBT_ROUNDS), S.BASIC_FEATURES)
+
+
+@register("classification_report", """
+WITH pr AS (SELECT CAST(label AS VARCHAR) AS y, CAST(CASE WHEN risk_score > 0.5 THEN 1 ELSE 0 END AS VARCHAR) AS p
+            FROM risk_fixture),
+per AS (
+  SELECT c.cls, (SELECT COUNT(*) FROM pr WHERE y = c.cls) AS support,
+         COALESCE((SELECT COUNT(*) FROM pr WHERE y = c.cls AND p = c.cls) / NULLIF((SELECT COUNT(*) FROM pr WHERE p = c.cls), 0), 0) AS precision,
+         COALESCE((SELECT COUNT(*) FROM pr WHERE y = c.cls AND p = c.cls) / NULLIF((SELECT COUNT(*) FROM pr WHERE y = c.cls), 0), 0) AS recall
+  FROM (SELECT y AS cls FROM pr UNION SELECT p FROM pr) c),
+per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM per)
+SELECT cls, support, precision, recall, f1 FROM per2
+UNION ALL SELECT 'accuracy', (SELECT COUNT(*) FROM pr), NULL, NULL, (SELECT COUNT(*) FROM pr WHERE y = p) / (SELECT COUNT(*) FROM pr)
+UNION ALL SELECT 'macro avg', SUM(support), AVG(precision), AVG(recall), AVG(f1) FROM per2
+UNION ALL SELECT 'weighted avg', SUM(support), SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+                 SUM(f1 * support) / SUM(support) FROM per2""")
+def q_classification_report(spark, sf_dir):
+    r = Clinic(spark, sf_dir).risk_fixture
+    pred = r.select("label", (F.col("risk_score") > 0.5).cast("int").alias("prediction"))
+    return ML.classification_report(pred)
+
+
+_AUC_SQL = """
+WITH per AS (SELECT risk_score AS s, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label = 0) AS neg
+             FROM risk_fixture GROUP BY risk_score),
+cum AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM per)
+SELECT SUM(pos * (neg_below + neg * 0.5)) / (SUM(pos) * SUM(neg)) AS roc_auc FROM cum"""
+
+
+@register("roc_auc", _AUC_SQL)
+def q_roc_auc(spark, sf_dir):
+    return ML.roc_auc(Clinic(spark, sf_dir).risk_fixture)
+
+
+@register("quality_gate", f"""
+SELECT roc_auc, CASE WHEN roc_auc >= 0.80 THEN 'target achieved (ROC-AUC >= 0.80)'
+                     WHEN roc_auc >= 0.75 THEN 'good (ROC-AUC >= 0.75)'
+                     WHEN roc_auc >= 0.70 THEN 'decent (ROC-AUC >= 0.70)' ELSE 'still improving' END AS gate
+FROM ({_AUC_SQL.replace('WITH per', 'WITH per', 1)})""")
+def q_quality_gate(spark, sf_dir):
+    return ML.quality_gate(ML.roc_auc(Clinic(spark, sf_dir).risk_fixture))
+
+
+def _fitted_gbt(spark, c: Clinic, rounds=GBT_ROUNDS):
+    df = ML.class_weights(_train_input(c), mode="pos_scale")
+    model = ML.train_gbt_base(df, rounds=rounds)
+    path = shared_path(spark, "risk_model")
+    ML.save_model(model, path)
+    return df, model, path
+
+
+@register("model_store")
+def q_model_store(spark, sf_dir):
+    """Save the pipeline (features live in its assembler), reload, score."""
+    c = Clinic(spark, sf_dir)
+    df, _, path = _fitted_gbt(spark, c)
+    return ML.score(ML.load_model(path), df).select("subject_id", "risk_score", "risk_tier")
+
+
+@register("shap_values")
+def q_shap_values(spark, sf_dir):
+    """Log-odds attributions of the risk model for every labelled patient."""
+    c = Clinic(spark, sf_dir)
+    df, _, path = _fitted_gbt(spark, c)
+    return SH.shap_values(spark, df, S.BASIC_FEATURES, SH.gbt_stage_path(path, spark))
+
+
+@register("shap_top_patient", """
+WITH top AS (SELECT subject_id FROM scores ORDER BY risk_score DESC, subject_id LIMIT 1),
+vals AS (
+  SELECT f.subject_id, 'shap_admission_count' AS feature, CAST(f.admission_count AS DOUBLE) AS feature_value FROM patient_features f
+  UNION ALL SELECT subject_id, 'shap_emergency_ratio', emergency_ratio FROM patient_features
+  UNION ALL SELECT subject_id, 'shap_days_since_last_admission', COALESCE(days_since_last_admission, -1) FROM patient_features
+  UNION ALL SELECT subject_id, 'shap_has_previous_admission', CAST(has_previous_admission AS DOUBLE) FROM patient_features)
+SELECT d.subject_id, d.rank, d.feature, v.feature_value, d.value AS shap,
+       CASE WHEN d.value > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction,
+       SUM(d.value) OVER (PARTITION BY d.subject_id ORDER BY d.rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS cumulative
+FROM drivers d JOIN top t ON d.subject_id = t.subject_id
+JOIN vals v ON v.subject_id = d.subject_id AND v.feature = d.feature""")
+def q_shap_top_patient(spark, sf_dir):
+    c = Clinic(spark, sf_dir)
+    top = SV.top_patient(c.scores).select("subject_id")
+    f = c.base_features
+    vals = f.select("subject_id", F.inline(F.array(*[
+        F.struct(F.lit(f"shap_{n}").alias("feature"), e.cast("double").alias("feature_value")) for n, e in [
+            ("admission_count", F.col("admission_count")), ("emergency_ratio", F.col("emergency_ratio")),
+            ("days_since_last_admission", F.coalesce("days_since_last_admission", F.lit(-1.0))),
+            ("has_previous_admission", F.col("has_previous_admission"))]])))
+    d = SV.rank_drivers(c.shap_fixture).join(top, "subject_id").join(vals, ["subject_id", "feature"])
+    w = Window.partitionBy("subject_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select("subject_id", "rank", "feature", "feature_value", F.col("value").alias("shap"),
+                    F.when(F.col("value") > 0, F.lit("increases risk")).otherwise(F.lit("decreases risk")).alias("direction"),
+                    F.sum("value").over(w).alias("cumulative"))

@@ -263,4 +263,10 @@ def add_ctes(text: str) -> None:
 
 def sql(body: str) -> str:
     parts = [FIXTURE_CTES.strip(), CLEAN_CTES.strip()] + _EXTRA_CTES
-    return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n" + body.strip()
+    head = "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts)
+    body = body.strip()
+    if body[:4].upper() == "WITH":          # the body's own CTEs continue the shared list
+        return head + ",\n" + body[4:].strip()
+    if body.startswith(","):
+        return head + "\n" + body
+    return head + "\n" + body
