@@ -38,10 +38,14 @@ def tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFr
     return t.filter(F.col("term") != "").groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(note_tf: DataFrame, n_docs: int) -> DataFrame:
-    """(term, idf) with idf = ln((N + 1) / (df + 1)), the smoothed form Spark ML uses."""
+def fit_idf(note_tf: DataFrame, n_docs) -> DataFrame:
+    """(term, idf) with idf = ln((N + 1) / (df + 1)), the smoothed form Spark ML uses.
+
+    ``n_docs`` may be a number or a scalar-subquery Column (no separate job).
+    """
+    n = F.lit(float(n_docs)) if isinstance(n_docs, (int, float)) else n_docs.cast("double")
     df_ = note_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df_.select("term", F.log((F.lit(float(n_docs)) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+    return df_.select("term", F.log((n + 1.0) / (F.col("df") + 1.0)).alias("idf"))
 
 
 def _weights(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
@@ -51,9 +55,9 @@ def _weights(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
 
 
 def vectorize_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(note vectors, idf table). One count action sizes the corpus."""
+    """(note vectors, idf table). The corpus size is a scalar subquery inside the same plan."""
     tf = tokens(notes, "note_id", "text", ["subject_id"])
-    idf = fit_idf(tf, notes.count())
+    idf = fit_idf(tf, notes.select(F.count(F.lit(1))).scalar())
     return _weights(tf, idf, "note_id"), idf
 
 

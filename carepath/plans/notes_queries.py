@@ -11,6 +11,7 @@ from carepath.plans.catalog import register
 from carepath.plans.context import Clinic
 from carepath.plans.oracle import fill, lit
 from carepath.session import shared_path
+from carepath.sources.tables import write_version
 
 
 class _Retrieval:
@@ -18,7 +19,8 @@ class _Retrieval:
 
     def __init__(self, spark, sf_dir):
         self.c = Clinic(spark, sf_dir)
-        self.notes = self.c.notes
+        # the cleaned notes table is stored once and read by every branch below
+        self.notes = write_version(self.c.notes, shared_path(spark, "notes"))
         self.note_vecs, self.idf = N.vectorize_notes(self.notes)
         self.questions = question_nonempty(self.c.questions)
         self.q_vecs = N.vectorize_questions(self.questions, self.idf)
@@ -45,14 +47,16 @@ def q_note_documents(spark, sf_dir):
 
 @register("vectorize_notes", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_vectorize_notes(spark, sf_dir):
-    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes)
+    notes = write_version(Clinic(spark, sf_dir).notes, shared_path(spark, "notes"))
+    vecs, _ = N.vectorize_notes(notes)
     return vecs
 
 
 @register("note_index", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_note_index(spark, sf_dir):
     """Persist the vectors (clustered by patient, sorted by note), reload them."""
-    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes)
+    notes = write_version(Clinic(spark, sf_dir).notes, shared_path(spark, "notes"))
+    vecs, _ = N.vectorize_notes(notes)
     path = shared_path(spark, "note_index")
     (vecs.repartition("subject_id").sortWithinPartitions("subject_id", "note_id")
          .write.mode("overwrite").parquet(path))

@@ -168,3 +168,23 @@ def test_ward_scoring_covers_all(spark):
     out = E.queries()["score_ward"](spark, SF_SMALL).toPandas()
     assert out.predicted_ward.notna().all()
     assert out.ward_probability.between(0, 1).all()
+
+
+def test_dense_vector_topk_matches_numpy(spark):
+    """Given vectors: exact k nearest within the same label, against numpy."""
+    from carepath.operators.notes import retrieve_topk_vectors
+    c = Clinic(spark, SF_SMALL)
+    vec = c.note_vectors
+    pdf = vec.toPandas()
+    # queries: the mean vector of each label (a small fixture for the brute-force check)
+    qs = pdf.groupby("subject_id").embedding.apply(lambda s: np.mean(np.stack(s.to_numpy()), axis=0).tolist())
+    qdf = spark.createDataFrame([(int(k), int(k), [float(x) for x in v]) for k, v in qs.items()],
+                                "question_id long, subject_id long, qvec array<double>")
+    got = retrieve_topk_vectors(qdf, vec.withColumn("embedding", F.col("embedding").cast("array<double>")), 3) \
+        .select("question_id", "note_id", "rank").toPandas()
+    for k, q in qs.items():
+        g = pdf[pdf.subject_id == k]
+        d = np.array([np.sum((np.array(e, dtype=float) - np.array(q)) ** 2) for e in g.embedding])
+        order = np.lexsort((g.note_id.to_numpy(), d))[:3]
+        want = list(g.note_id.to_numpy()[order])
+        assert list(got[got.question_id == k].sort_values("rank").note_id) == want
