@@ -139,7 +139,14 @@ def drop_null_text(notes: DataFrame) -> DataFrame:
 
 
 def clean_notes(raw: DataFrame, patients: DataFrame, admissions: DataFrame,
-                limit: int | None = NOTES_LIMIT) -> DataFrame:
-    """Notes of known patients and admissions, first ``limit`` rows, text present."""
+                limit: int | None = NOTES_LIMIT, stage_path: str | None = None) -> DataFrame:
+    """Notes of known patients and admissions, first ``limit`` rows, text present.
+
+    With ``stage_path`` the semi-joined notes are written there first, so the
+    size check of the row cap and the final read do not each re-run the joins.
+    """
     valid = semi_valid_notes(lower_columns(raw), patients, admissions)
+    if stage_path is not None and limit is not None:
+        valid.write.mode("overwrite").parquet(stage_path)
+        valid = valid.sparkSession.read.parquet(stage_path)
     return drop_null_text(project_notes(limit_notes(valid, limit)))

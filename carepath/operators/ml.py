@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from carepath import schemas as S
 from carepath.functions import scalar as X
+from carepath.operators.joins import sized_broadcast
 from carepath.operators.ranking import prefix_sum, rank_within
 
 SEED = 42
@@ -63,7 +64,7 @@ def stratified_split(df: DataFrame, label: str = "label", test_fraction: float =
     ranked = rank_within(h, [label], ["_h", "subject_id"], name="_r")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     cut = counts.select(label, F.ceil(F.col("_n") * F.lit(test_fraction)).alias("_cut"))
-    return (ranked.join(F.broadcast(cut), label)
+    return (ranked.join(sized_broadcast(cut), label)
                   .withColumn("split", F.when(F.col("_r") < F.col("_cut"), "test").otherwise("train"))
                   .drop("_h", "_r", "_cut"))
 
@@ -211,6 +212,13 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     return per.drop("tp").unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
+def confusion_matrix(pred: DataFrame, classes: list, label: str = "label",
+                     prediction: str = "prediction") -> DataFrame:
+    """One row per true class, one ``pred_<class>`` count column per predicted class (zeros kept)."""
+    m = pred.groupBy(label).pivot(prediction, classes).agg(F.count(F.lit(1)))
+    return m.select(label, *[F.coalesce(F.col(str(c)), F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes])
+
+
 def roc_auc(pred: DataFrame, label: str = "label", score_col: str = "risk_score") -> DataFrame:
     """Area under ROC (ties count one half), as one row.
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carepath.operators.joins import sized_broadcast
+
 
 def _partitioned(df: DataFrame, by: list[str], order: list[str], parts: int | None) -> DataFrame:
     from carepath.session import ensure_checkpoint_dir
@@ -33,7 +35,7 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], parts: int | Non
     # offsets: one row per (partition, group) — bounded by partitions x groups
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
     w = Window.partitionBy("_pid", *by).orderBy(*order)
-    out = r.join(F.broadcast(offsets), ["_pid", *by])
+    out = r.join(sized_broadcast(offsets), ["_pid", *by])
     return out.withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_pid", "_off")
 
 
@@ -45,5 +47,5 @@ def prefix_sum(df: DataFrame, order: str, value: str, parts: int | None = None,
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
     w = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = r.join(F.broadcast(offsets), "_pid")
+    out = r.join(sized_broadcast(offsets), "_pid")
     return out.withColumn(name, F.col("_off") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_pid", "_off")

@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# trees x 2^(depth+1) for the largest configured model (300 rounds, depth 6) is ~38k
+MAX_ENSEMBLE_NODES = 5_000_000
+
+
 @dataclass
 class Tree:
     left: np.ndarray       # child index or -1
@@ -38,7 +42,11 @@ class Tree:
 
 def load_ensemble(spark: SparkSession, model_path: str) -> list[Tree]:
     """Trees of a saved GBT stage: reads ``data`` (nodes) and ``treesMetadata`` (weights)."""
-    nodes = spark.read.parquet(f"{model_path}/data").select(
+    nodes = spark.read.parquet(f"{model_path}/data")
+    n_nodes = nodes.count()
+    if n_nodes > MAX_ENSEMBLE_NODES:
+        raise ValueError(f"ensemble of {n_nodes} nodes is too large to broadcast")
+    nodes = nodes.select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
         F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).toPandas()
@@ -159,6 +167,9 @@ def shap_values(spark: SparkSession, rows: DataFrame, feature_cols: list[str], m
                 key: str = "subject_id") -> DataFrame:
     """One attribution row per input row: key, shap_<feature>..., base_value."""
     trees = load_ensemble(spark, model_path)
+    n_nodes = sum(len(t.value) for t in trees)
+    if n_nodes > MAX_ENSEMBLE_NODES:
+        raise ValueError(f"ensemble of {n_nodes} nodes is too large to broadcast")
     bc = spark.sparkContext.broadcast(trees)
     out_cols = [f"shap_{c}" for c in feature_cols]
     schema = ", ".join([f"{key} long"] + [f"{c} double" for c in out_cols] + ["base_value double"])

@@ -17,7 +17,7 @@ from carepath import schemas as S
 from carepath.functions import scalar as X
 from carepath.operators import clean, features
 from carepath.sources import fixtures as FX
-from carepath.session import ensure_checkpoint_dir
+from carepath.session import ensure_checkpoint_dir, shared_path
 from carepath.sources.tables import evolve_columns, update_by_key
 
 
@@ -59,7 +59,8 @@ class Clinic:
 
     @cached_property
     def notes(self) -> DataFrame:
-        return clean.clean_notes(self.notes_raw, self.patients, self.admissions, self.notes_limit)
+        return clean.clean_notes(self.notes_raw, self.patients, self.admissions, self.notes_limit,
+                                 stage_path=shared_path(self.spark, "notes_valid"))
 
     # features
     @cached_property

@@ -16,13 +16,17 @@ from carepath.operators import shap as SH
 from carepath.plans.catalog import register
 from carepath.plans.context import Clinic
 from carepath.session import shared_path
+from carepath.sources.tables import write_version
 
 GBT_ROUNDS = 20
 FOREST_TREES = 20
 
 
 def _train_input(c: Clinic, cols=S.BASIC_FEATURES, recency=-1.0):
-    return ML.training_frame(c.features, cols, recency_default=recency)
+    """The labelled training rows, stored once: fitting, class counts and scoring
+    each read the stored table instead of re-running the feature job."""
+    df = ML.training_frame(c.features, cols, recency_default=recency)
+    return write_version(df, shared_path(c.spark, "training_rows"))
 
 
 def _split(c: Clinic, cols=S.BASIC_FEATURES, recency=-1.0):
@@ -144,6 +148,20 @@ def _ward_data(c: Clinic):
     return j.select("subject_id", *[F.col(x).cast("double") for x in S.WARD_FEATURES], "predicted_ward")
 
 
+@register("decode_ward", """
+SELECT subject_id, CAST(DENSE_RANK() OVER (ORDER BY predicted_ward) - 1 AS DOUBLE) AS label,
+       predicted_ward AS ward_decoded
+FROM scores WHERE predicted_ward IS NOT NULL""")
+def q_decode_ward(spark, sf_dir):
+    """Index -> label with the fitted indexer's labels (round trip of encode_ward)."""
+    from pyspark.ml.feature import IndexToString
+    s = Clinic(spark, sf_dir).scores.filter(F.col("predicted_ward").isNotNull())
+    enc = ML.ward_indexer().fit(s)
+    idx = enc.transform(s).select("subject_id", "label")
+    dec = IndexToString(inputCol="label", outputCol="ward_decoded", labels=enc.labels)
+    return dec.transform(idx)
+
+
 @register("train_ward")
 def q_train_ward(spark, sf_dir):
     """Hold-out classification report of the ward model (labelled rows only)."""
@@ -165,6 +183,12 @@ def q_score_ward(spark, sf_dir):
                                              "ward_probability")
 
 
+@register("round_confidence")
+def q_round_confidence(spark, sf_dir):
+    """Largest ward probability per patient, half-even to 3 places."""
+    return q_score_ward(spark, sf_dir).select("subject_id", "predicted_ward", "ward_probability")
+
+
 @register("score_patients")
 def q_score_patients(spark, sf_dir):
     """Final model on all labelled rows, then risk score, prediction and tier for each."""
@@ -213,6 +237,15 @@ def q_classification_report(spark, sf_dir):
     return ML.classification_report(pred)
 
 
+@register("confusion_matrix", """
+SELECT label, COUNT(*) FILTER (WHERE risk_score <= 0.5) AS pred_0, COUNT(*) FILTER (WHERE risk_score > 0.5) AS pred_1
+FROM risk_fixture GROUP BY label""")
+def q_confusion_matrix(spark, sf_dir):
+    r = Clinic(spark, sf_dir).risk_fixture
+    pred = r.select("label", (F.col("risk_score") > 0.5).cast("int").alias("prediction"))
+    return ML.confusion_matrix(pred, classes=[0, 1])
+
+
 _AUC_SQL = """
 WITH per AS (SELECT risk_score AS s, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label = 0) AS neg
              FROM risk_fixture GROUP BY risk_score),

@@ -21,7 +21,10 @@ class _Retrieval:
         self.c = Clinic(spark, sf_dir)
         # the cleaned notes table is stored once and read by every branch below
         self.notes = write_version(self.c.notes, shared_path(spark, "notes"))
-        self.note_vecs, self.idf = N.vectorize_notes(self.notes)
+        # the note index (vectors + idf) is built once and stored, as a vector store is
+        vecs, idf = N.vectorize_notes(self.notes)
+        self.note_vecs = write_version(vecs, shared_path(spark, "note_vectors"))
+        self.idf = write_version(idf, shared_path(spark, "note_idf"))
         self.questions = question_nonempty(self.c.questions)
         self.q_vecs = N.vectorize_questions(self.questions, self.idf)
         self.hits = N.retrieve_topk(self.questions, self.notes, self.note_vecs, self.q_vecs, k=3)
