@@ -14,3 +14,11 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
     tables whose bound is structural (classes, partitions) but not a literal."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows over the cluster when a CPU-heavy per-row step would
+    otherwise run on fewer tasks than cores (few large input files). With many
+    input partitions — the large-data case — this is a no-op."""
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(want) if df.rdd.getNumPartitions() < want // factor else df

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.operators import prompts as P
+from carepath.operators.joins import spread
 
 # tokenisation = lower case, split on ASCII whitespace runs.
 TOKEN_SPLIT = "[ \t\n\r\f]+"
@@ -34,7 +35,7 @@ def order_notes(notes: DataFrame) -> DataFrame:
 
 def tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """(id, keep..., term, tf): every token of the whole text counted."""
-    t = df.select(id_col, *keep, F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("term"))
+    t = spread(df.select(id_col, *keep, text_col)).select(id_col, *keep, F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("term"))
     return t.filter(F.col("term") != "").groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -61,6 +62,22 @@ def vectorize_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _weights(tf, idf, "note_id"), idf
 
 
+def build_note_index(notes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Note vectors and idf as stored tables under ``root`` (a shared folder).
+
+    Term counts are written once; idf and the normalised weights are each
+    computed from the stored counts, so tokenisation runs once however many
+    tables read it, and every stage survives executor loss as a file.
+    """
+    spark = notes.sparkSession
+    tokens(notes, "note_id", "text", ["subject_id"]).write.mode("overwrite").parquet(f"{root}/tf")
+    tf = spark.read.parquet(f"{root}/tf")
+    fit_idf(tf, notes.select(F.count(F.lit(1))).scalar()).write.mode("overwrite").parquet(f"{root}/idf")
+    idf = spark.read.parquet(f"{root}/idf")
+    _weights(tf, idf, "note_id").write.mode("overwrite").parquet(f"{root}/vectors")
+    return spark.read.parquet(f"{root}/vectors"), idf
+
+
 def vectorize_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
     """Questions weighted by the notes' idf; terms the corpus never saw carry no weight."""
     tf = tokens(questions, "question_id", "question", ["subject_id"])

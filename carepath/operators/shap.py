@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carepath.operators.joins import spread
+
 
 # trees x 2^(depth+1) for the largest configured model (300 rounds, depth 6) is ~38k
 MAX_ENSEMBLE_NODES = 5_000_000
@@ -184,7 +186,8 @@ def shap_values(spark: SparkSession, rows: DataFrame, feature_cols: list[str], m
             out["base_value"] = base
             yield out
 
-    return rows.select(key, *[F.col(c).cast("double") for c in feature_cols]).mapInPandas(attribute, schema)
+    inp = spread(rows.select(key, *[F.col(c).cast("double") for c in feature_cols]))
+    return inp.mapInPandas(attribute, schema)
 
 
 def gbt_stage_path(pipeline_path: str, spark: SparkSession) -> str:

@@ -22,9 +22,7 @@ class _Retrieval:
         # the cleaned notes table is stored once and read by every branch below
         self.notes = write_version(self.c.notes, shared_path(spark, "notes"))
         # the note index (vectors + idf) is built once and stored, as a vector store is
-        vecs, idf = N.vectorize_notes(self.notes)
-        self.note_vecs = write_version(vecs, shared_path(spark, "note_vectors"))
-        self.idf = write_version(idf, shared_path(spark, "note_idf"))
+        self.note_vecs, self.idf = N.build_note_index(self.notes, shared_path(spark, "note_index"))
         self.questions = question_nonempty(self.c.questions)
         self.q_vecs = N.vectorize_questions(self.questions, self.idf)
         self.hits = N.retrieve_topk(self.questions, self.notes, self.note_vecs, self.q_vecs, k=3)
@@ -57,10 +55,11 @@ def q_vectorize_notes(spark, sf_dir):
 
 @register("note_index", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_note_index(spark, sf_dir):
-    """Persist the vectors (clustered by patient, sorted by note), reload them."""
+    """Build the stored index (term counts, idf, vectors), then lay the vectors out
+    clustered by patient and sorted by note for patient-filtered reads."""
     notes = write_version(Clinic(spark, sf_dir).notes, shared_path(spark, "notes"))
-    vecs, _ = N.vectorize_notes(notes)
-    path = shared_path(spark, "note_index")
+    vecs, _ = N.build_note_index(notes, shared_path(spark, "note_index"))
+    path = shared_path(spark, "note_index_by_patient")
     (vecs.repartition("subject_id").sortWithinPartitions("subject_id", "note_id")
          .write.mode("overwrite").parquet(path))
     return spark.read.parquet(path)
