@@ -28,8 +28,21 @@ def safe_parse_ts(x: str | Column) -> Column:
 
 # ----------------------------------------------------------- day arithmetic
 def micros_between(start: str | Column, end: str | Column) -> Column:
-    """Exact integer microseconds from start to end (dates read as midnight, no time zone)."""
-    return F.timestamp_diff("MICROSECOND", _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz"))
+    """Exact integer microseconds from start to end, independent of the session time zone.
+
+    Both sides are wall-clock TIMESTAMP_NTZ (dates read as midnight). Spark's
+    ``timestamp_diff`` evaluates NTZ inputs in the session zone (a stay across
+    a daylight-saving change gains or loses an hour), so the difference is
+    taken as whole days between the dates plus the time-of-day difference.
+    """
+    s, e = _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz")
+    days = F.datediff(e.cast("date"), s.cast("date")).cast("long")
+    return days * F.lit(S.US_PER_DAY) + _time_of_day_us(e) - _time_of_day_us(s)
+
+
+def _time_of_day_us(t: Column) -> Column:
+    return (F.hour(t).cast("long") * F.lit(3_600_000_000) + F.minute(t).cast("long") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("long"))
 
 
 def days_from_micros(us: Column) -> Column:
