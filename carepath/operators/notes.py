@@ -29,6 +29,11 @@ def note_documents(notes: DataFrame, with_charttime: bool = True) -> DataFrame:
     return notes.select("note_id", F.col("text").alias("page_content"), *meta)
 
 
+def notes_of(notes: DataFrame, patients: DataFrame) -> DataFrame:
+    """Notes of the given patients (semi join on subject_id)."""
+    return notes.join(patients.select("subject_id"), "subject_id", "left_semi")
+
+
 def order_notes(notes: DataFrame) -> DataFrame:
     return notes.orderBy("subject_id", "charttime", "note_id")
 

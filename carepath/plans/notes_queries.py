@@ -46,6 +46,25 @@ def q_note_documents(spark, sf_dir):
     return N.note_documents(Clinic(spark, sf_dir).notes)
 
 
+@register("note_documents_api", """
+SELECT note_id, text AS page_content, subject_id AS meta_subject_id, hadm_id AS meta_hadm_id,
+       category AS meta_category FROM notes""")
+def q_note_documents_api(spark, sf_dir):
+    """The service's documents: metadata without chart time."""
+    return N.note_documents(Clinic(spark, sf_dir).notes, with_charttime=False)
+
+
+@register("patient_notes", """
+SELECT note_id, subject_id, hadm_id, charttime, category FROM notes
+WHERE subject_id IN (SELECT subject_id FROM questions_raw WHERE length(trim(question)) > 0)
+ORDER BY subject_id, charttime, note_id""")
+def q_patient_notes(spark, sf_dir):
+    """Notes of the patients being asked about (batch form of the one-patient load), by chart time."""
+    c = Clinic(spark, sf_dir)
+    asked = question_nonempty(c.questions).select("subject_id")
+    return N.order_notes(N.notes_of(c.notes, asked)).select("note_id", "subject_id", "hadm_id", "charttime", "category")
+
+
 @register("vectorize_notes", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_vectorize_notes(spark, sf_dir):
     notes = write_version(Clinic(spark, sf_dir).notes, shared_path(spark, "notes"))
