@@ -126,10 +126,12 @@ def retrieve_topk_vectors(queries: DataFrame, vectors: DataFrame, k: int = 3) ->
 def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style: str = "api") -> DataFrame:
     """Per question: the hits' "[category]\\ntext" (API) or "[category - charttime]\\ntext" (CLI),
     blank-line separated in rank order. Groups hold at most k rows."""
-    n = notes.select("note_id", "category", F.col("charttime").cast("string").alias("ct"), "text")
+    # metadata values print as Python's str(): a missing category is 'None', a missing time 'NaT'
+    n = notes.select("note_id", F.coalesce(F.col("category").cast("string"), F.lit("None")).alias("cat"),
+                     F.coalesce(F.col("charttime").cast("string"), F.lit("NaT")).alias("ct"), "text")
     j = hits.select("question_id", "note_id", "rank").join(n, "note_id")
-    head = (F.format_string("[%s]", F.col("category").cast("string")) if style == "api"
-            else F.format_string("[%s - %s]", F.col("category").cast("string"), F.col("ct")))
+    head = (F.format_string("[%s]", F.col("cat")) if style == "api"
+            else F.format_string("[%s - %s]", F.col("cat"), F.col("ct")))
     block = F.concat(head, F.lit("\n"), F.col("text"))
     ctx = (j.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("l"))
             .select("question_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("context")))
@@ -140,7 +142,7 @@ def rag_sources(hits: DataFrame, notes: DataFrame, questions: DataFrame) -> Data
     """Per question: number of sources, their metadata as text (rank order), fixed answer when none."""
     n = notes.select("note_id", "subject_id", "hadm_id", "category")
     meta = F.format_string("subject_id=%s, hadm_id=%s, category=%s", F.col("subject_id").cast("string"),
-                           F.col("hadm_id").cast("string"), F.col("category"))
+                           F.col("hadm_id").cast("string"), F.coalesce(F.col("category"), F.lit("None")))
     src = (hits.select("question_id", "note_id", "rank").join(n, "note_id")
            .groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", meta.alias("m")))).alias("l")))
     j = questions.select("question_id", "subject_id").join(src, "question_id", "left")

@@ -89,8 +89,9 @@ def q_retrieve_topk(spark, sf_dir):
     return _Retrieval(spark, sf_dir).hits.select("question_id", "subject_id", "note_id", "score", "rank")
 
 
-_CTX_API = "printf('[%s]', category) || chr(10) || text"
-_CTX_CLI = "printf('[%s - %s]', category, CAST(charttime AS VARCHAR)) || chr(10) || text"
+_CTX_API = "printf('[%s]', COALESCE(category, 'None')) || chr(10) || text"
+_CTX_CLI = ("printf('[%s - %s]', COALESCE(category, 'None'), COALESCE(CAST(charttime AS VARCHAR), 'NaT'))"
+            " || chr(10) || text")
 
 
 def _context_sql(block: str) -> str:
@@ -117,7 +118,7 @@ SELECT q.question_id, q.subject_id, COALESCE(s.n_sources, 0) AS n_sources, COALE
        CASE WHEN s.question_id IS NULL THEN {lit(P.NO_NOTES_ANSWER)} END AS fixed_answer
 FROM questions_ok q LEFT JOIN (
   SELECT h.question_id, COUNT(*) AS n_sources,
-         string_agg(printf('subject_id=%s, hadm_id=%s, category=%s', CAST(n.subject_id AS VARCHAR), CAST(n.hadm_id AS VARCHAR), n.category), '; '
+         string_agg(printf('subject_id=%s, hadm_id=%s, category=%s', CAST(n.subject_id AS VARCHAR), CAST(n.hadm_id AS VARCHAR), COALESCE(n.category, 'None')), '; '
                     ORDER BY h.rank) AS sources
   FROM hits h JOIN notes n ON h.note_id = n.note_id GROUP BY h.question_id) s ON q.question_id = s.question_id""")
 def q_rag_sources(spark, sf_dir):

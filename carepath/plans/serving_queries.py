@@ -129,14 +129,19 @@ def q_dashboard_stats(spark, sf_dir):
     return SV.dashboard_stats(rows)
 
 
-@register("score_histogram", """
+@register("score_histogram", f"""
 SELECT b.bucket, COALESCE(n, 0) AS n,
        CASE WHEN b.bucket / 10.0 >= 0.7 THEN 'HIGH' WHEN b.bucket / 10.0 >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS band
 FROM (SELECT CAST(range AS INTEGER) AS bucket FROM range(10)) b
-LEFT JOIN (SELECT CAST(least(floor(risk_score * 10), 9) AS INTEGER) AS bucket, COUNT(*) AS n FROM scores
+LEFT JOIN (SELECT CAST(least(floor(risk_score * 10), 9) AS INTEGER) AS bucket, COUNT(*) AS n
+           FROM (SELECT DISTINCT {LIST_COLS} FROM scores s JOIN features f USING (subject_id))
            WHERE risk_score IS NOT NULL GROUP BY 1) c ON b.bucket = c.bucket""")
 def q_score_histogram(spark, sf_dir):
-    return SV.score_histogram(spark, Clinic(spark, sf_dir).scores)
+    """Histogram over the dashboard's patient rows (the same rows as dashboard_stats)."""
+    c = Clinic(spark, sf_dir)
+    rows = (SV.join_scores_features(c.scores, c.features)
+            .select("subject_id", "risk_score", "risk_tier", "admission_count", "emergency_ratio").distinct())
+    return SV.score_histogram(spark, rows)
 
 
 _DESCRIBE_COLS = ["age", "charlson_score", "num_diagnoses", "num_icu_stays"]
