@@ -99,6 +99,13 @@ def default_zero(c: str | Column) -> Column:
     return F.coalesce(_c(c), F.lit(0))
 
 
+def stable(x: str | Column, digits: int = 9) -> Column:
+    """Round a floating sum to ``digits`` places. Sums of doubles depend on the order rows
+    arrive in; rounding far below the data's precision makes equal-in-exact-arithmetic
+    values (duplicate documents, tied scores) compare equal, so ties resolve by key."""
+    return F.round(_c(x), digits)
+
+
 # ------------------------------------------------------------- score bands
 def risk_tier(score: str | Column = "risk_score") -> Column:
     """Right-closed bins (0,.3] LOW, (.3,.6] MEDIUM, (.6,1] HIGH; outside -> null."""

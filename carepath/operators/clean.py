@@ -124,8 +124,9 @@ def first_n_by(df: DataFrame, order: str, n: int | None, buckets: int = 1024,
     head = df.filter(o < F.lit(new_lo))
     if n - before <= 0:
         return head
-    cut = df.filter(o.between(new_lo, new_hi)).orderBy(o, *[c for c in df.columns if c != order
-                                                             and dict(df.dtypes)[c] in ("string", "bigint", "int", "double", "timestamp_ntz")])
+    # a total order inside the cut bucket: ties on the order column fall back to the other columns
+    tiebreak = [c for c, t in df.dtypes if c != order and not t.startswith(("array", "map", "struct", "binary"))]
+    cut = df.filter(o.between(new_lo, new_hi)).orderBy(o, *tiebreak)
     return head.unionByName(cut.limit(n - before))
 
 

@@ -125,7 +125,7 @@ def icu_features(icustays: DataFrame) -> DataFrame:
     """ICU stay count (non-null ids), summed length (unscaled, 0 if all null), flag."""
     return (icustays.groupBy("subject_id")
             .agg(F.count("icustay_id").cast("int").alias("num_icu_stays"),
-                 F.coalesce(F.sum("los"), F.lit(0.0)).alias("total_icu_hours"),
+                 X.stable(F.coalesce(F.sum("los"), F.lit(0.0))).alias("total_icu_hours"),
                  F.lit(1).alias("had_icu")))
 
 

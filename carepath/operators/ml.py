@@ -8,8 +8,6 @@ small aggregate row, bound into the plan as literals. Metrics aggregate
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -41,7 +39,7 @@ def training_frame(features: DataFrame, feature_cols: list[str], label: str = "h
 
 def nonzero_variance(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, std, keep): sample std of every candidate in one aggregate."""
-    row = df.agg(*[F.stddev_samp(c).alias(c) for c in cols])
+    row = df.agg(*[X.stable(F.stddev_samp(c)).alias(c) for c in cols])
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col(c).alias("std"))
                       for i, c in enumerate(cols)])
     return (row.select(F.inline(items))
@@ -78,7 +76,8 @@ def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, seed: int
 
 def standardize_params(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population std per column from the training rows (one aggregate row)."""
-    row = train.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    row = train.agg(*[x for c in cols for x in (X.stable(F.avg(c)).alias(f"m_{c}"),
+                                                 X.stable(F.stddev_pop(c)).alias(f"s_{c}"))]).first()
     return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0) for c in cols}
 
 
@@ -197,10 +196,11 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
                                       2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                          .otherwise(F.lit(0.0)))
     tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
+                  X.stable(F.avg("precision")).alias("mp"), X.stable(F.avg("recall")).alias("mr"),
+                  X.stable(F.avg("f1")).alias("mf"),
+                  X.stable(F.sum(F.col("precision") * F.col("support"))).alias("wp"),
+                  X.stable(F.sum(F.col("recall") * F.col("support"))).alias("wr"),
+                  X.stable(F.sum(F.col("f1") * F.col("support"))).alias("wf"))
     acc = tot.select(F.lit("accuracy").alias("cls"), F.col("n").alias("support"),
                      F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
                      (F.col("tp") / F.col("n")).alias("f1"))
@@ -271,7 +271,3 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def ceil_fraction(n: int, f: float) -> int:
-    return math.ceil(n * f)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carepath.functions import scalar as X
 from carepath.operators import prompts as P
 from carepath.operators.joins import spread
 
@@ -57,7 +58,8 @@ def fit_idf(note_tf: DataFrame, n_docs) -> DataFrame:
 def _weights(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
     w = tf.join(idf, "term", "inner").withColumn("w", F.col("tf") * F.col("idf")).filter(F.col("w") != 0)
     norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, id_col).withColumn("weight", F.col("w") / F.col("norm")).drop("w", "norm", "tf", "idf")
+    return (w.join(norms, id_col).withColumn("weight", X.stable(F.col("w") / F.col("norm")))
+             .drop("w", "norm", "tf", "idf"))
 
 
 def vectorize_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,14 +97,15 @@ def retrieve_topk(questions: DataFrame, notes: DataFrame, note_vecs: DataFrame,
 
     Candidates are all notes of that patient (a question scans its patient's
     notes, never all notes); overlapping terms add their weight products.
-    Ties go to the lower note_id. The top-k window is limited per map task
+    Weights and scores are rounded to 9 places, so copies of a document tie
+    exactly and the lower note_id wins. The top-k window is limited per map task
     before its shuffle (WindowGroupLimit), so a patient with a third of all
     notes still ships only k rows per task and question.
     """
     dots = (q_vecs.select("question_id", "subject_id", "term", F.col("weight").alias("qw"))
             .join(note_vecs.select("note_id", "subject_id", "term", F.col("weight").alias("nw")),
                   ["subject_id", "term"])
-            .groupBy("question_id", "note_id").agg(F.sum(F.col("qw") * F.col("nw")).alias("score")))
+            .groupBy("question_id", "note_id").agg(X.stable(F.sum(F.col("qw") * F.col("nw"))).alias("score")))
     cand = questions.select("question_id", "subject_id").join(notes.select("note_id", "subject_id"), "subject_id")
     scored = cand.join(dots, ["question_id", "note_id"], "left").withColumn(
         "score", F.coalesce("score", F.lit(0.0)))

@@ -116,7 +116,8 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     ).select("x.feature", "x.v")
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (long.groupBy("feature")
-            .agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            .agg(F.count("v").alias("count"), X.stable(F.avg("v")).alias("mean"),
+                 X.stable(F.stddev_samp("v")).alias("std"),
                  F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
             .select("feature", "count", "mean", "std", "min",
                     F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max"))
@@ -151,7 +152,7 @@ def top_drivers(shap: DataFrame, k: int = 3) -> DataFrame:
 def shap_global(shap: DataFrame) -> DataFrame:
     """Mean |attribution| per feature (global importance)."""
     return (shap_long(shap).groupBy("feature", "position")
-            .agg(F.avg(F.abs("value")).alias("mean_abs_shap")).drop("position"))
+            .agg(X.stable(F.avg(F.abs("value"))).alias("mean_abs_shap")).drop("position"))
 
 
 def report_driver_rows(shap: DataFrame) -> DataFrame:

@@ -38,8 +38,9 @@ def _holdout(model, split):
 
 
 _NZV_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, stddev_samp({'COALESCE(' + c + ', 0)'}) AS std, "
-    f"COALESCE(stddev_samp({'COALESCE(' + c + ', 0)'}) > 0, false) AS keep FROM features WHERE high_risk_label IS NOT NULL"
+    f"SELECT '{c}' AS feature, round(stddev_samp({'COALESCE(' + c + ', 0)'}), 9) AS std, "
+    f"COALESCE(round(stddev_samp({'COALESCE(' + c + ', 0)'}), 9) > 0, false) AS keep "
+    f"FROM features WHERE high_risk_label IS NOT NULL"
     for c in S.ENHANCED_FEATURES)
 
 
@@ -59,7 +60,7 @@ def q_class_weight(spark, sf_dir):
 
 
 _STD_COLS = ", ".join(
-    f"({x} - AVG({x}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({x}) OVER (), 0), 1) AS {n}"
+    f"({x} - round(AVG({x}) OVER (), 9)) / COALESCE(NULLIF(round(STDDEV_POP({x}) OVER (), 9), 0), 1) AS {n}"
     for n, x in [("admission_count", "CAST(admission_count AS DOUBLE)"), ("emergency_ratio", "COALESCE(emergency_ratio, 0)"),
                  ("days_since_last_admission", "COALESCE(days_since_last_admission, -1)"),
                  ("has_previous_admission", "CAST(has_previous_admission AS DOUBLE)")])
@@ -228,9 +229,9 @@ per AS (
 per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM per)
 SELECT cls, support, precision, recall, f1 FROM per2
 UNION ALL SELECT 'accuracy', (SELECT COUNT(*) FROM pr), NULL, NULL, (SELECT COUNT(*) FROM pr WHERE y = p) / (SELECT COUNT(*) FROM pr)
-UNION ALL SELECT 'macro avg', SUM(support), AVG(precision), AVG(recall), AVG(f1) FROM per2
-UNION ALL SELECT 'weighted avg', SUM(support), SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
-                 SUM(f1 * support) / SUM(support) FROM per2""")
+UNION ALL SELECT 'macro avg', SUM(support), round(AVG(precision), 9), round(AVG(recall), 9), round(AVG(f1), 9) FROM per2
+UNION ALL SELECT 'weighted avg', SUM(support), round(SUM(precision * support), 9) / SUM(support),
+                 round(SUM(recall * support), 9) / SUM(support), round(SUM(f1 * support), 9) / SUM(support) FROM per2""")
 def q_classification_report(spark, sf_dir):
     r = Clinic(spark, sf_dir).risk_fixture
     pred = r.select("label", (F.col("risk_score") > 0.5).cast("int").alias("prediction"))

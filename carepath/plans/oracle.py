@@ -144,7 +144,7 @@ ndiag AS (
   FROM diag_codes GROUP BY subject_id),
 icu AS (
   SELECT subject_id, CAST(COUNT(icustay_id) AS INTEGER) AS num_icu_stays,
-         COALESCE(SUM(los), CAST(0 AS DOUBLE)) AS total_icu_hours, 1 AS had_icu
+         round(COALESCE(SUM(los), CAST(0 AS DOUBLE)), 9) AS total_icu_hours, 1 AS had_icu
   FROM icustays_raw GROUP BY subject_id),
 enhanced AS (
   SELECT a.subject_id, a.age, a.gender_male,
@@ -205,7 +205,7 @@ note_w0 AS (
   SELECT t.note_id, t.subject_id, t.term, t.tf * i.idf AS w FROM note_tf t JOIN idf i ON t.term = i.term
   WHERE t.tf * i.idf <> 0),
 note_vecs AS (
-  SELECT note_id, subject_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY note_id)) AS weight FROM note_w0),
+  SELECT note_id, subject_id, term, round(w / sqrt(SUM(w * w) OVER (PARTITION BY note_id)), 9) AS weight FROM note_w0),
 questions_ok AS (
   SELECT * FROM questions_raw WHERE length(trim(question)) > 0),
 q_tf AS (
@@ -217,9 +217,9 @@ q_w0 AS (
   SELECT t.question_id, t.subject_id, t.term, t.tf * i.idf AS w FROM q_tf t JOIN idf i ON t.term = i.term
   WHERE t.tf * i.idf <> 0),
 q_vecs AS (
-  SELECT question_id, subject_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY question_id)) AS weight FROM q_w0),
+  SELECT question_id, subject_id, term, round(w / sqrt(SUM(w * w) OVER (PARTITION BY question_id)), 9) AS weight FROM q_w0),
 dots AS (
-  SELECT q.question_id, n.note_id, SUM(q.weight * n.weight) AS score
+  SELECT q.question_id, n.note_id, round(SUM(q.weight * n.weight), 9) AS score
   FROM q_vecs q JOIN note_vecs n ON q.subject_id = n.subject_id AND q.term = n.term
   GROUP BY q.question_id, n.note_id),
 hits AS (
@@ -256,11 +256,6 @@ def fill(template: str, values: dict[str, str]) -> str:
     return f"printf({lit(fmt_)}, " + ", ".join(f"CAST({values[n]} AS VARCHAR)" for n in names) + ")"
 
 
-def add_ctes(text: str) -> None:
-    """Register more shared CTEs (later modules build on earlier ones)."""
-    _EXTRA_CTES.append(text.strip().rstrip(","))
-
-
 def sql(body: str) -> str:
     parts = [FIXTURE_CTES.strip(), CLEAN_CTES.strip()] + _EXTRA_CTES
     head = "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts)

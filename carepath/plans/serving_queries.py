@@ -148,7 +148,8 @@ _DESCRIBE_COLS = ["age", "charlson_score", "num_diagnoses", "num_icu_stays"]
 
 
 @register("describe", " UNION ALL ".join(f"""
-SELECT '{c}' AS feature, COUNT({c}) AS count, AVG({c}) AS mean, stddev_samp({c}) AS std, CAST(MIN({c}) AS DOUBLE) AS min,
+SELECT '{c}' AS feature, COUNT({c}) AS count, round(AVG({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std,
+       CAST(MIN({c}) AS DOUBLE) AS min,
        quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75,
        CAST(MAX({c}) AS DOUBLE) AS max FROM enhanced""" for c in _DESCRIBE_COLS))
 def q_describe(spark, sf_dir):
@@ -197,7 +198,7 @@ def q_top3_drivers(spark, sf_dir):
     return SV.top_drivers(Clinic(spark, sf_dir).shap_fixture, 3)
 
 
-@register("shap_global", "SELECT feature, AVG(abs(value)) AS mean_abs_shap FROM shap_long GROUP BY feature")
+@register("shap_global", "SELECT feature, round(AVG(abs(value)), 9) AS mean_abs_shap FROM shap_long GROUP BY feature")
 def q_shap_global(spark, sf_dir):
     return SV.shap_global(Clinic(spark, sf_dir).shap_fixture)
 
