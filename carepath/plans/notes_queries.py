@@ -11,7 +11,6 @@ from carepath.plans.catalog import register
 from carepath.plans.context import Clinic
 from carepath.plans.oracle import fill, lit
 from carepath.session import shared_path
-from carepath.sources.tables import write_version
 
 
 class _Retrieval:
@@ -19,8 +18,8 @@ class _Retrieval:
 
     def __init__(self, spark, sf_dir):
         self.c = Clinic(spark, sf_dir)
-        # the cleaned notes table is stored once and read by every branch below
-        self.notes = write_version(self.c.notes, shared_path(spark, "notes"))
+        # cleaned notes read from the staged table (see Clinic.notes)
+        self.notes = self.c.notes
         # the note index (vectors + idf) is built once and stored, as a vector store is
         self.note_vecs, self.idf = N.build_note_index(self.notes, shared_path(spark, "note_index"))
         self.questions = question_nonempty(self.c.questions)
@@ -67,8 +66,7 @@ def q_patient_notes(spark, sf_dir):
 
 @register("vectorize_notes", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_vectorize_notes(spark, sf_dir):
-    notes = write_version(Clinic(spark, sf_dir).notes, shared_path(spark, "notes"))
-    vecs, _ = N.vectorize_notes(notes)
+    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes)
     return vecs
 
 
@@ -76,8 +74,7 @@ def q_vectorize_notes(spark, sf_dir):
 def q_note_index(spark, sf_dir):
     """Build the stored index (term counts, idf, vectors), then lay the vectors out
     clustered by patient and sorted by note for patient-filtered reads."""
-    notes = write_version(Clinic(spark, sf_dir).notes, shared_path(spark, "notes"))
-    vecs, _ = N.build_note_index(notes, shared_path(spark, "note_index"))
+    vecs, _ = N.build_note_index(Clinic(spark, sf_dir).notes, shared_path(spark, "note_index"))
     path = shared_path(spark, "note_index_by_patient")
     (vecs.repartition("subject_id").sortWithinPartitions("subject_id", "note_id")
          .write.mode("overwrite").parquet(path))
