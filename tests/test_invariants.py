@@ -188,3 +188,26 @@ def test_dense_vector_topk_matches_numpy(spark):
         order = np.lexsort((g.note_id.to_numpy(), d))[:3]
         want = list(g.note_id.to_numpy()[order])
         assert list(got[got.question_id == k].sort_values("rank").note_id) == want
+
+
+def test_sized_broadcast_falls_back_beyond_bound(spark):
+    from carepath.operators.joins import sized_broadcast
+    small = spark.range(10)
+    big = spark.range(1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p_small = spark.range(100).join(sized_broadcast(small, 100), "id")._jdf.queryExecution().executedPlan().toString()
+        p_big = spark.range(100).join(sized_broadcast(big, 100), "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in p_small
+    assert "BroadcastHashJoin" not in p_big
+
+
+def test_point_lookup_reports_missing_ids(spark):
+    table = spark.createDataFrame([(1, 0.5), (2, 0.7)], "subject_id long, risk_score double")
+    req = spark.createDataFrame([(1,), (3,), (3,)], "subject_id long")
+    got = {r.subject_id: (r.found, r.risk_score) for r in SV.point_lookup(req, table).collect()}
+    assert got == {1: (True, 0.5), 3: (False, None)}
