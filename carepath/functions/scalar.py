@@ -129,10 +129,41 @@ def score_bucket(score: str | Column = "risk_score") -> Column:
 
 
 # -------------------------------------------------------------- formatting
+_SPLIT = 134217729.0   # 2^27 + 1, Dekker's splitting constant
+
+
+def _split(a: Column) -> tuple[Column, Column]:
+    t = a * F.lit(_SPLIT)
+    hi = t - (t - a)
+    return hi, a - hi
+
+
+def round_half_even_exact(x: str | Column, digits: int) -> Column:
+    """Round half-even on the *exact* binary value of a double, as Python's format does.
+
+    ``x * 10^d`` is rounded when computed; its exact error comes from Dekker's
+    error-free product (plain double arithmetic, JVM-side), so 2.675 (stored
+    just below) rounds down and 82.825 (stored just above) rounds up, and only
+    true binary ties such as 0.125 go to even. Exact for |x * 10^d| < 2^52.
+    A negative value that rounds to zero keeps its sign, as Python prints -0.00.
+    """
+    v = _c(x).cast("double")
+    b = float(10 ** digits)
+    p = v * F.lit(b)
+    vh, vl = _split(v)
+    bh, bl = _split(F.lit(b))
+    err = ((vh * bh - p) + vh * bl + vl * bh) + vl * bl
+    r = F.floor(p).cast("double")
+    f = p - r
+    up = (f > 0.5) | ((f == 0.5) & ((err > 0) | ((err == 0) & (F.pmod(r, F.lit(2.0)) == 1))))
+    k = F.when(up, r + 1).otherwise(r) / F.lit(b)
+    return F.when(v < 0, -F.abs(k)).otherwise(k)
+
+
 def fmt_fixed(x: str | Column, digits: int, sign: bool = False) -> Column:
-    """Fixed-point text with half-even rounding at ``digits``."""
+    """Fixed-point text exactly as Python's ``f"{x:.{digits}f}"`` (``+`` flag optional)."""
     pattern = f"%{'+' if sign else ''}.{digits}f"
-    return F.format_string(pattern, F.bround(_c(x).cast("double"), digits))
+    return F.format_string(pattern, round_half_even_exact(x, digits))
 
 
 def fmt_percent(x: str | Column, digits: int = 1) -> Column:

@@ -234,14 +234,32 @@ hits AS (
 _EXTRA_CTES: list[str] = [SERVING_CTES, NOTES_CTES]
 
 
+def _round_exact(x: str, digits: int) -> str:
+    """SQL twin of ``scalar.round_half_even_exact`` (Dekker error-free product)."""
+    b = f"CAST({10 ** digits} AS DOUBLE)"
+    v = f"CAST(({x}) AS DOUBLE)"
+    c = "CAST(134217729 AS DOUBLE)"
+    vh = f"(({v}) * {c} - (({v}) * {c} - ({v})))"
+    vl = f"(({v}) - {vh})"
+    bh = f"(({b}) * {c} - (({b}) * {c} - ({b})))"
+    bl = f"(({b}) - {bh})"
+    pr = f"(({v}) * {b})"
+    err = f"((({vh} * {bh} - {pr}) + {vh} * {bl} + {vl} * {bh}) + {vl} * {bl})"
+    r = f"floor({pr})"
+    fr = f"({pr} - {r})"
+    up = f"({fr} > 0.5 OR ({fr} = 0.5 AND ({err} > 0 OR ({err} = 0 AND ({r} - 2 * floor({r} / 2)) = 1))))"
+    k = f"((CASE WHEN {up} THEN {r} + 1 ELSE {r} END) / {b})"
+    return f"(CASE WHEN ({v}) < 0 THEN -abs({k}) ELSE {k} END)"
+
+
 def fmt(x: str, digits: int, sign: bool = False) -> str:
     """SQL twin of ``scalar.fmt_fixed``."""
-    return f"printf('%{'+' if sign else ''}.{digits}f', round_even(CAST({x} AS DOUBLE), {digits}))"
+    return f"printf('%{'+' if sign else ''}.{digits}f', {_round_exact(x, digits)})"
 
 
 def pct(x: str) -> str:
     """SQL twin of ``scalar.fmt_percent``."""
-    return f"(printf('%.1f', round_even(CAST({x} AS DOUBLE) * 100.0, 1)) || '%')"
+    return f"({fmt(f'CAST({x} AS DOUBLE) * 100.0', 1)} || '%')"
 
 
 def lit(text: str) -> str:
