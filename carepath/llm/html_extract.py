@@ -49,6 +49,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("script style noscript template nav header footer aside form iframe object embed svg canvas button "
                     "select option textarea input label dialog menu head title".split())
+#: Of these, the ones that stand in running text: dropping them does not end a block.
+IN_TEXT = INLINE | frozenset("script style noscript template iframe object embed svg canvas button select option textarea "
+                             "input label".split())
 ARTICLE = frozenset(("article", "main"))
 #: Text elements: content, not template, inside a marked article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split()) | INLINE
@@ -202,7 +205,8 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
             elif child.tag == "br":
                 run.append(" ")
             elif boilerplate(child):
-                end()
+                if child.tag not in IN_TEXT:
+                    end()
             elif child.key in template and not (marked and child.tag in PROSE):
                 end()
             elif child.tag in INLINE:

@@ -195,7 +195,8 @@ def redact(docs: DataFrame, *, scope: int = SCOPE, id_col: str = "doc_id", text_
     clean = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")),
                                      lambda g: text.substr(g["a"] + 1, g["b"] - g["a"])), marker)
     hit = F.size("_spans") > 0
-    new = {text_col: F.when(hit, clean).otherwise(F.col(text_col))}
+    done = marked.withColumn("_clean", F.when(hit, clean).otherwise(F.col(text_col)))
+    new = {text_col: F.col("_clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return marked.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(hit, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -74,13 +74,9 @@ def _fields(raw: bytes):
 
 
 def model_kind(raw: bytes) -> int:
-    """Kind of the model: field 3 of the trainer settings (field 2); unigram if unset."""
-    for number, value in _fields(raw):
-        if number == 2:
-            for inner, kind in _fields(value):
-                if inner == 3:
-                    return kind
-    return UNIGRAM
+    """Kind of the model: field 3 of the trainer settings (field 2), of which the last counts; unigram if unset."""
+    kinds = [kind for number, value in _fields(raw) if number == 2 for inner, kind in _fields(value) if inner == 3]
+    return kinds[-1] if kinds else UNIGRAM
 
 
 class Codec:

@@ -62,7 +62,7 @@ def _record(headers: list[tuple[str, str]], body: str, length: int) -> str:
     return "\r\n".join(lines) + _END + body
 
 
-def records(page_id, url: str | None, html: str, refers_to) -> Iterator[str]:
+def records(page_id, url: str | None, html: str, refers_to, chunk_chars: int = CHUNK_CHARS) -> Iterator[str]:
     """The WARC records of a page: one revisit, or its payload in chunks."""
     name = "" if page_id is None else str(page_id)
     target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url is not None else None
@@ -76,9 +76,9 @@ def records(page_id, url: str | None, html: str, refers_to) -> Iterator[str]:
                        ("WARC-Refers-To", _urn(refers_to)), ("X-Refers-To-Page", str(refers_to)),
                        ("X-Payload-Length", str(len(raw))), ("WARC-Payload-Digest", f"sha1:{base32_sha1(raw)}")], "", 0)
         return
-    state, total, n = hashlib.sha1(), 0, max(1, -(-len(html) // CHUNK_CHARS))
+    state, total, n = hashlib.sha1(), 0, max(1, -(-len(html) // chunk_chars))
     for k in range(n):
-        body = html[k * CHUNK_CHARS:(k + 1) * CHUNK_CHARS]
+        body = html[k * chunk_chars:(k + 1) * chunk_chars]
         raw = body.encode()
         state.update(raw)
         total += len(raw)
@@ -108,12 +108,12 @@ def with_references(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
         "page_id", "url", "html", F.when(points, F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, **how) -> None:
+def write(pages: DataFrame, path: str, *, chunk_chars: int = CHUNK_CHARS, **how) -> None:
     """Write the pages as gzip WARC files under ``path``."""
     def run(batch):
         out, size = [], 0
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for record in records(*row):
+            for record in records(*row, chunk_chars):
                 out.append(record)
                 size += len(record)
                 if size > 8_000_000:
@@ -127,31 +127,36 @@ def write(pages: DataFrame, path: str, **how) -> None:
 
 
 class _Reader:
-    """Chunk rows from the pieces of a file between separators, in order."""
+    """Chunk rows from a stream of bytes; holds one chunk at most."""
 
     def __init__(self):
+        self.held = bytearray()
         self.head: dict[str, str] | None = None
-        self.state, self.total = hashlib.sha1(), 0
-        self.left, self.parts = 0, []
+        self.state, self.total, self.left = hashlib.sha1(), 0, 0
 
     def feed(self, piece: bytes) -> Iterator[tuple]:
-        if self.head is None:
-            lines = piece.decode("utf-8", "replace").split("\r\n")
-            if lines[0] != "WARC/1.1":
-                raise ValueError(f"not the start of a record: {lines[0][:60]!r}")
-            self.head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-            self.left, self.parts = int(self.head["Content-Length"]), []
-            return
-        # the separator inside a payload is part of it
-        if self.parts:
-            self.parts.append(_END.encode())
-            self.left -= len(_END)
-        self.parts.append(piece)
-        self.left -= len(piece)
-        if self.left < 0:
-            raise ValueError("a record is longer than it says")
-        if self.left == 0:
-            yield self._row(b"".join(self.parts))
+        """``piece``: what stood before the next separator; its separator is put back, as it may be payload."""
+        self.held += piece + _END.encode()
+        while True:
+            if self.head is None:
+                blank = len(self.held) - len(self.held.lstrip(b"\r\n"))
+                del self.held[:blank]
+                end = self.held.find(_END.encode())
+                if end < 0:
+                    return
+                lines = self.held[:end].decode("utf-8", "replace").split("\r\n")
+                if lines[0] != "WARC/1.1":
+                    raise ValueError(f"not the start of a record: {lines[0][:60]!r}")
+                self.head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+                self.left = int(self.head["Content-Length"])
+                del self.held[:end + len(_END)]
+            if len(self.held) < self.left + len(_END):
+                return
+            body = bytes(self.held[:self.left])
+            if self.held[self.left:self.left + len(_END)] != _END.encode():
+                raise ValueError("a record does not end where it says")
+            del self.held[:self.left + len(_END)]
+            yield self._row(body)
             self.head = None
 
     def _row(self, body: bytes) -> tuple:

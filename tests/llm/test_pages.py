@@ -121,12 +121,11 @@ PAYLOADS = [None, "", "", "a", "a", "é" * 700, "x\r\n\r\ny", "\r\n\r\n", "\r\n"
             "tail\r\n\r", "line\nline\r\nline", "0123456789" * 300, "0123456789" * 300]
 
 
-def test_round_trip(spark, pages_frame, monkeypatch):
-    monkeypatch.setattr(warc, "CHUNK_CHARS", 64)
+def test_round_trip(spark, pages_frame):
     rows = [(i, None if i == 2 else f"http://h.example.com/ü b\r\n/{i}", p) for i, p in enumerate(PAYLOADS)]
     rows += [(None, "http://n.example.com/", "unnamed")]
     path = shared_path(spark, "warc-test")
-    warc.write(pages_frame(rows).repartition(3), path)
+    warc.write(pages_frame(rows).repartition(3), path, chunk_chars=64)
     chunks = warc.read_chunks(spark, path).collect()
     first = {}
     for i, _, p in rows:
@@ -149,9 +148,8 @@ def test_round_trip(spark, pages_frame, monkeypatch):
     assert warc.read_chunks(spark, empty).count() == 0
 
 
-def test_segments_follow_the_standard(spark, pages_frame, monkeypatch):
-    monkeypatch.setattr(warc, "CHUNK_CHARS", 10)
-    got = list(warc.records(5, "http://a/", "é" * 25, None))
+def test_segments_follow_the_standard():
+    got = list(warc.records(5, "http://a/", "é" * 25, None, 10))
     assert ["WARC-Type: response" in got[0], "WARC-Segment-Number: 1" in got[0]] == [True, True]
     assert all("WARC-Type: continuation" in x and "WARC-Segment-Origin-ID" in x for x in got[1:])
     assert "WARC-Segment-Total-Length: 50" in got[2] and "Content-Length: 10\r\n\r\n" in got[2]
