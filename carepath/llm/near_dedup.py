@@ -8,9 +8,9 @@
    collapsed by a partial aggregation before anything else is shuffled.
 3. Bands of the signature put nodes into buckets. In each bucket a pseudo-random
    leader is compared with all members, in several rounds with new leaders; once
-   these have joined most members into components, the pairs of one bucket
-   that still lie in different components are all compared, in blocks.
-   So the pairs grow with the bucket's size, and no candidate is left unchecked
+   these have joined most members into components, the members of one bucket
+   that still lie in different components are all compared, block by block.
+   So pairs grow with a bucket's size, and no candidate is left unchecked
    unless its link could not change a component.
 4. Candidates are verified on the full shingle sets, recomputed from the texts.
 5. Links are merged by ``components``.
@@ -44,6 +44,8 @@ _GOLDEN = _U(0x9E3779B97F4A7C15)
 _LOW32 = _U(0xFFFFFFFF)
 #: Elements whose permutations are held at a time (times signature length, two bytes each).
 _BLOCK = 100_000
+#: Text of one block in the comparison of blocks.
+BLOCK_BYTES = 64 * 1024
 _UNSET = _U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -171,11 +173,64 @@ def _leader_pairs(buckets: DataFrame, turn: int) -> DataFrame:
             .select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct())
 
 
-def _open_pairs(buckets: DataFrame) -> DataFrame:
-    """Every pair of a bucket whose members still lie in different components."""
-    other = buckets.select("h", F.col("node").alias("v"), F.col("root").alias("root_v"))
-    return (buckets.join(other, "h").where("node < v and root != root_v")
-            .select(F.col("node").alias("u"), "v").distinct())
+def _matches(a: list[dict], b: list[dict], shingle: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between two blocks of texts, without those that only close a ring."""
+    both = a + b
+    doc, value = shingle_sets([(x["t"] or "").encode() for x in both], shingle)
+    kinds, at = np.unique(value, return_inverse=True)
+    has = np.zeros((len(both), len(kinds)), dtype=np.float32)
+    has[doc, at] = 1
+    size = np.bincount(doc, minlength=len(both))
+    shared = np.rint(has[:len(a)] @ has[len(a):].T).astype(np.int64)
+    total = size[:len(a), None] + size[None, len(a):]
+    rows, cols = np.nonzero((shared > 0) & (den * shared >= num * (total - shared)))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        x, y = a[i], b[j]
+        ra, rb = find(x["root"]), find(y["root"])
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((x["node"], y["node"]))
+    return out
+
+
+def _block_links(buckets: DataFrame, texts: DataFrame, shingle: int, num: int, den: int,
+                 block_bytes: int | None = None) -> DataFrame:
+    """All links between members of one bucket that still lie in different components.
+
+    The component with most members of a bucket is its main one; all buckets with one main component
+    form a group. The members outside it are strays. Blocks of strays are compared with blocks of the
+    group's members, so a row holds two blocks of bounded size and pairs are never rows.
+    """
+    count = buckets.groupBy("h", "root").agg(F.count("*").alias("n"))
+    main = count.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("g"))
+    group = buckets.join(main, "h").select("g", "node", "root").distinct()
+    held = staged(group.join(texts, group.node == texts.doc_id).select(
+        "g", "node", "root", "t", (F.col("root") != F.col("g")).alias("stray")), "near-open-texts")
+    size = held.groupBy("g", "stray").agg(F.sum(F.octet_length("t") + 64).alias("bytes"))
+    dealt = held.join(size, ["g", "stray"]).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.ceil(F.col("bytes") / (block_bytes or BLOCK_BYTES))))
+    blocks = staged(dealt.groupBy("g", "stray", "block").agg(F.collect_list(F.struct("node", "root", "t")).alias("docs")),
+                    "near-blocks")
+    strays = blocks.where("stray").select("g", F.col("block").alias("block_a"), F.col("docs").alias("docs_a"))
+    pairs = (strays.join(blocks, "g").where("not stray or block_a <= block")
+             .repartition("g", "block_a", "stray", "block").select("docs_a", "docs"))
+
+    def run(batch):
+        for i in range(batch.num_rows):
+            found = _matches(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), shingle, num, den)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                                  pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
+
+    return map_arrow(pairs, run, "u long, v long")
 
 
 def _open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -213,8 +268,10 @@ def classes(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] =
 
     open_ = buckets.withColumn("root", F.col("node"))
     for turn in range(rounds + 1):
-        pairs = _leader_pairs(open_, turn) if turn < rounds else _open_pairs(open_)
-        links = _verified(pairs, texts, shingle, num, den)
+        if turn < rounds:
+            links = _verified(_leader_pairs(open_, turn), texts, shingle, num, den)
+        else:
+            links = _block_links(open_, texts, shingle, num, den)
         roots = components(found.select("u", "v").union(links.select("u", "v")))
         found = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         if turn < rounds:
