@@ -23,7 +23,7 @@ def filter_tier(df: DataFrame, tier: str | None, col: str = "risk_tier") -> Data
 
 def nonblank(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.length(F.trim(c)) > 0
+    return c.rlike(r"\S")
 
 
 def question_nonempty(questions: DataFrame, col: str = "question") -> DataFrame:

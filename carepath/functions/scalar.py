@@ -88,7 +88,7 @@ def encode_gender(g: str | Column = "gender") -> Column:
 
 
 def clean_code(code: str | Column = "icd9_code") -> Column:
-    return F.trim(_c(code).cast("string"))
+    return F.regexp_replace(_c(code).cast("string"), r"^\s+|\s+$", "")
 
 
 def default_recency(c: str | Column = "days_since_last_admission") -> Column:

@@ -55,6 +55,8 @@ def project_admissions(raw: DataFrame) -> DataFrame:
 
 def project_notes(raw: DataFrame) -> DataFrame:
     raw = lower_columns(raw)
+    if "note_id" not in raw.columns and "seq" in raw.columns:
+        raw = raw.withColumn("note_id", F.col("seq"))      # an export names no note: its place does
     keep = [c for c in ("seq", "note_id") if c in raw.columns]
     # a missing category *column* reads as "Unknown"; a null value stays null
     category = F.col("category").cast("string") if "category" in raw.columns else F.lit("Unknown")
@@ -100,9 +102,13 @@ def first_n_by(df: DataFrame, order: str, n: int | None, buckets: int = 1024,
     if n is None:
         return df
     o = F.col(order)
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.min(o).alias("lo"), F.max(o).alias("hi")).first()
-    if st["n"] <= n:
+    st = df.agg(F.count(F.lit(1)).alias("rows"), F.count(o).alias("n"), F.min(o).alias("lo"), F.max(o).alias("hi")).first()
+    if st["rows"] <= n:
         return df
+    tiebreak = [c for c, t in df.dtypes if c != order and not t.startswith(("array", "map", "struct", "binary"))]
+    if st["n"] <= n:      # rows without an order value come last
+        ordered, unordered = df.filter(o.isNotNull()), df.filter(o.isNull())
+        return ordered if st["n"] == n else ordered.unionByName(unordered.orderBy(*tiebreak).limit(n - st["n"]))
     lo, hi, before = int(st["lo"]), int(st["hi"]), 0
     while True:
         width = max(1, math.ceil((hi - lo + 1) / buckets))
@@ -125,13 +131,12 @@ def first_n_by(df: DataFrame, order: str, n: int | None, buckets: int = 1024,
     if n - before <= 0:
         return head
     # a total order inside the cut bucket: ties on the order column fall back to the other columns
-    tiebreak = [c for c, t in df.dtypes if c != order and not t.startswith(("array", "map", "struct", "binary"))]
     cut = df.filter(o.between(new_lo, new_hi)).orderBy(o, *tiebreak)
     return head.unionByName(cut.limit(n - before))
 
 
 def limit_notes(notes: DataFrame, n: int | None = NOTES_LIMIT, order: str = "seq") -> DataFrame:
-    """First ``n`` notes in file order (the load's memory cap, kept as a parameter)."""
+    """First ``n`` notes in file order: the load's memory cap, for callers that want one."""
     return first_n_by(notes, order, n)
 
 
@@ -140,14 +145,7 @@ def drop_null_text(notes: DataFrame) -> DataFrame:
 
 
 def clean_notes(raw: DataFrame, patients: DataFrame, admissions: DataFrame,
-                limit: int | None = NOTES_LIMIT, stage_path: str | None = None) -> DataFrame:
-    """Notes of known patients and admissions, first ``limit`` rows, text present.
-
-    With ``stage_path`` the semi-joined notes are written there first, so the
-    size check of the row cap and the final read do not each re-run the joins.
-    """
+                limit: int | None = None) -> DataFrame:
+    """Notes of known patients and admissions with text; all of them unless a ``limit`` is asked for."""
     valid = semi_valid_notes(lower_columns(raw), patients, admissions)
-    if stage_path is not None and limit is not None:
-        valid.write.mode("overwrite").parquet(stage_path)
-        valid = valid.sparkSession.read.parquet(stage_path)
     return drop_null_text(project_notes(limit_notes(valid, limit)))

@@ -92,9 +92,10 @@ def charlson_lookup(spark: SparkSession) -> DataFrame:
 
 
 def diagnosis_codes(diagnoses_raw: DataFrame) -> DataFrame:
-    """Distinct (patient, raw code) pairs, nulls dropped: shared by both code features."""
+    """Distinct (patient, raw code) pairs: shared by both code features. A missing code stays, so
+    that a patient with no other counts zero codes instead of none."""
     return (diagnoses_raw.select("subject_id", F.col("icd9_code").cast("string").alias("icd9_code"))
-                         .dropna().distinct())
+                         .dropna(subset=["subject_id"]).distinct())
 
 
 def prefix_join_charlson(codes: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -38,12 +38,13 @@ def training_frame(features: DataFrame, feature_cols: list[str], label: str = "h
 
 
 def nonzero_variance(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, std, keep): sample std of every candidate in one aggregate."""
-    row = df.agg(*[X.stable(F.stddev_samp(c)).alias(c) for c in cols])
+    """(feature, std, keep): sample std of every candidate in one aggregate; the exact value decides."""
+    row = df.agg(*[F.stddev_samp(c).alias(c) for c in cols])
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col(c).alias("std"))
                       for i, c in enumerate(cols)])
     return (row.select(F.inline(items))
-               .withColumn("keep", F.coalesce(F.col("std") > 0, F.lit(False))).drop("position"))
+               .withColumn("keep", F.coalesce(F.col("std") > 0, F.lit(False)))
+               .withColumn("std", X.stable(F.col("std"))).drop("position"))
 
 
 def kept_features(df: DataFrame, cols: list[str]) -> list[str]:

@@ -29,7 +29,7 @@ class RawInputs:
 
 def run_batch(spark: SparkSession, raw: RawInputs, root: str, as_of: str = FE.AS_OF,
               ward_labels: DataFrame | None = None, rounds_enhanced: int = 300, rounds_basic: int = 100,
-              ward_trees: int = 100, notes_limit: int | None = clean.NOTES_LIMIT) -> dict[str, str]:
+              ward_trees: int = 100, notes_limit: int | None = None) -> dict[str, str]:
     paths = {n: f"{root.rstrip('/')}/{n}" for n in
              ("patients", "admissions", "notes", "patient_features", "patient_risk_scores",
               "patient_shap_values", "risk_model", "enhanced_model", "ward_model", "training_report")}

@@ -17,13 +17,13 @@ from carepath import schemas as S
 from carepath.functions import scalar as X
 from carepath.operators import clean, features
 from carepath.sources import fixtures as FX
-from carepath.session import ensure_checkpoint_dir, shared_path
+from carepath.session import ensure_checkpoint_dir
 from carepath.sources.tables import evolve_columns, update_by_key
 
 
 class Clinic:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = features.AS_OF,
-                 notes_limit: int | None = clean.NOTES_LIMIT):
+                 notes_limit: int | None = None):
         self.spark, self.sf_dir, self.as_of, self.notes_limit = spark, sf_dir, as_of, notes_limit
         ensure_checkpoint_dir(spark)
 
@@ -59,8 +59,7 @@ class Clinic:
 
     @cached_property
     def notes(self) -> DataFrame:
-        return clean.clean_notes(self.notes_raw, self.patients, self.admissions, self.notes_limit,
-                                 stage_path=shared_path(self.spark, "notes_valid"))
+        return clean.clean_notes(self.notes_raw, self.patients, self.admissions, self.notes_limit)
 
     # features
     @cached_property

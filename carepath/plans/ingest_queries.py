@@ -26,12 +26,13 @@ def q_scan_csv(spark, sf_dir):
     files.write_csv(c.notes_raw, f"{base}/NOTEEVENTS.csv.gz", compression="gzip", upper_headers=True)
     schema = S.T.StructType([S.T.StructField("seq", S.T.LongType()),
                              S.T.StructField("note_id", S.T.LongType())] + S.NOTES_RAW.fields)
-    return files.scan_csv(spark, files.resolve_csv(spark, base, "NOTEEVENTS.csv.gz"), schema)
+    return files.scan_csv(spark, files.resolve_csv(spark, base, "NOTEEVENTS.csv.gz"), schema, multi_line=True)
 
 
 @register("require_inputs", """
 SELECT 'patients' AS table_name, COUNT(*) AS n_rows FROM patients_raw
 UNION ALL SELECT 'admissions', COUNT(*) FROM admissions_raw
+UNION ALL SELECT 'notes', COUNT(*) FROM notes_raw
 UNION ALL SELECT 'icustays', 0""")
 def q_require_inputs(spark, sf_dir):
     """Required exports resolve (.csv.gz, or .csv fallback); the optional one is empty."""
@@ -39,11 +40,13 @@ def q_require_inputs(spark, sf_dir):
     base = shared_path(spark, "exports")
     files.write_csv(c.patients_raw, f"{base}/PATIENTS.csv.gz", compression="gzip", upper_headers=True)
     files.write_csv(c.admissions_raw, f"{base}/ADMISSIONS.csv", upper_headers=True)
-    found = files.require_inputs(spark, base, ["PATIENTS.csv.gz", "ADMISSIONS.csv.gz"])
+    files.write_csv(c.notes_raw, f"{base}/NOTEEVENTS.csv.gz", compression="gzip", upper_headers=True)
+    found = files.require_inputs(spark, base, ["PATIENTS.csv.gz", "ADMISSIONS.csv.gz", "NOTEEVENTS.csv.gz"])
+    notes = files.scan_csv(spark, found["NOTEEVENTS.csv.gz"], S.NOTES_RAW, multi_line=True)
     pats = files.scan_csv(spark, found["PATIENTS.csv.gz"], S.PATIENTS_RAW)
     adms = files.scan_csv(spark, found["ADMISSIONS.csv.gz"], S.ADMISSIONS_RAW)
     icu = files.load_optional(spark, base, "ICUSTAYS.csv.gz", S.ICUSTAYS_RAW)
-    return tables.load_summary({"patients": pats, "admissions": adms, "icustays": icu})
+    return tables.load_summary({"patients": pats, "admissions": adms, "notes": notes, "icustays": icu})
 
 
 @register("lower_columns", "SELECT seq, subject_id, gender, dob FROM patients_raw")
@@ -72,7 +75,8 @@ def q_read_table(spark, sf_dir):
 def q_append_table(spark, sf_dir):
     c = Clinic(spark, sf_dir)
     path = shared_path(spark, "patients")
-    tables.append_table(c.patients, path, max_records_per_file=1000)
+    tables.append_table(c.patients.where("subject_id % 2 = 0"), path)
+    tables.append_table(c.patients.where("subject_id % 2 <> 0"), path)      # to a table that has rows
     return spark.read.parquet(path)
 
 
@@ -297,7 +301,7 @@ def q_had_icu_flag(spark, sf_dir):
     return Clinic(spark, sf_dir).enhanced.select("subject_id", "had_icu")
 
 
-@register("clean_code", "SELECT DISTINCT subject_id, icd9_code, trim(icd9_code) AS code FROM diag_codes")
+@register("clean_code", "SELECT DISTINCT subject_id, icd9_code, regexp_replace(icd9_code, '^[[:space:]]+|[[:space:]]+$', '', 'g') AS code FROM diag_codes")
 def q_clean_code(spark, sf_dir):
     codes = FE.diagnosis_codes(Clinic(spark, sf_dir).diagnoses_raw)
     return codes.select("subject_id", "icd9_code", X.clean_code("icd9_code").alias("code"))
@@ -358,7 +362,7 @@ def q_drop_incomplete_age(spark, sf_dir):
     return rows.dropna(subset=["subject_id", "age", "gender_male"]).select("subject_id", "seq", "age")
 
 
-@register("question_nonempty", "SELECT question_id, subject_id FROM questions_raw WHERE length(trim(question)) > 0")
+@register("question_nonempty", "SELECT question_id, subject_id FROM questions_raw WHERE regexp_matches(question, '[^[:space:]]')")
 def q_question_nonempty(spark, sf_dir):
     from carepath.functions.predicates import question_nonempty
     return question_nonempty(Clinic(spark, sf_dir).questions).select("question_id", "subject_id")

@@ -39,7 +39,7 @@ def _holdout(model, split):
 
 _NZV_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, round(stddev_samp({'COALESCE(' + c + ', 0)'}), 9) AS std, "
-    f"COALESCE(round(stddev_samp({'COALESCE(' + c + ', 0)'}), 9) > 0, false) AS keep "
+    f"COALESCE(stddev_samp({'COALESCE(' + c + ', 0)'}) > 0, false) AS keep "
     f"FROM features WHERE high_risk_label IS NOT NULL"
     for c in S.ENHANCED_FEATURES)
 

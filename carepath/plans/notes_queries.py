@@ -30,7 +30,7 @@ class _Retrieval:
 @register("limit_notes", "SELECT seq, note_id FROM notes_limited")
 def q_limit_notes(spark, sf_dir):
     c = Clinic(spark, sf_dir)
-    return limit_notes(semi_valid_notes(c.notes_raw, c.patients, c.admissions)).select("seq", "note_id")
+    return limit_notes(semi_valid_notes(c.notes_raw, c.patients, c.admissions), 100).select("seq", "note_id")
 
 
 @register("order_notes", "SELECT note_id, subject_id, charttime FROM notes ORDER BY subject_id, charttime, note_id")
@@ -55,7 +55,7 @@ def q_note_documents_api(spark, sf_dir):
 
 @register("patient_notes", """
 SELECT note_id, subject_id, hadm_id, charttime, category FROM notes
-WHERE subject_id IN (SELECT subject_id FROM questions_raw WHERE length(trim(question)) > 0)
+WHERE subject_id IN (SELECT subject_id FROM questions_raw WHERE regexp_matches(question, '[^[:space:]]'))
 ORDER BY subject_id, charttime, note_id""")
 def q_patient_notes(spark, sf_dir):
     """Notes of the patients being asked about (batch form of the one-patient load), by chart time."""

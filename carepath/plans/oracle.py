@@ -98,10 +98,10 @@ notes_valid AS (
   SELECT * FROM notes_raw
   WHERE subject_id IN (SELECT subject_id FROM patients) AND hadm_id IN (SELECT hadm_id FROM admissions)),
 notes_limited AS (
-  SELECT * FROM notes_valid ORDER BY seq LIMIT 50000),
+  SELECT * FROM notes_valid ORDER BY seq LIMIT 100),
 notes AS (
   SELECT seq, note_id, subject_id, hadm_id, TRY_CAST(charttime AS TIMESTAMP) AS charttime, category, text
-  FROM notes_limited WHERE text IS NOT NULL),
+  FROM notes_valid WHERE text IS NOT NULL),
 stays AS (
   SELECT a.*, epoch_us(a.dischtime) - epoch_us(a.admittime) AS stay_us
   FROM patients p JOIN admissions a ON p.subject_id = a.subject_id
@@ -134,11 +134,11 @@ age_block AS (
     FROM age_rows WHERE age IS NOT NULL AND subject_id IS NOT NULL) WHERE rn = 1),
 charlson_lookup AS ({_charlson_values()}),
 diag_codes AS (
-  SELECT DISTINCT subject_id, icd9_code FROM diagnoses_raw WHERE subject_id IS NOT NULL AND icd9_code IS NOT NULL),
+  SELECT DISTINCT subject_id, icd9_code FROM diagnoses_raw WHERE subject_id IS NOT NULL),
 charlson AS (
   SELECT subject_id, CAST(SUM(weight) AS DOUBLE) AS charlson_score FROM (
     SELECT DISTINCT d.subject_id, l.condition, l.weight
-    FROM diag_codes d JOIN charlson_lookup l ON starts_with(trim(d.icd9_code), l.prefix)) GROUP BY subject_id),
+    FROM diag_codes d JOIN charlson_lookup l ON starts_with(regexp_replace(d.icd9_code, '^[[:space:]]+|[[:space:]]+$', '', 'g'), l.prefix)) GROUP BY subject_id),
 ndiag AS (
   SELECT subject_id, CAST(COUNT(DISTINCT icd9_code) AS INTEGER) AS num_diagnoses
   FROM diag_codes GROUP BY subject_id),
@@ -207,7 +207,7 @@ note_w0 AS (
 note_vecs AS (
   SELECT note_id, subject_id, term, round(w / sqrt(SUM(w * w) OVER (PARTITION BY note_id)), 9) AS weight FROM note_w0),
 questions_ok AS (
-  SELECT * FROM questions_raw WHERE length(trim(question)) > 0),
+  SELECT * FROM questions_raw WHERE regexp_matches(question, '[^[:space:]]')),
 q_tf AS (
   SELECT question_id, subject_id, term, COUNT(*) AS tf FROM (
     SELECT question_id, subject_id, unnest(regexp_split_to_array(lower(question), '[ \t\n\r\f]+')) AS term

@@ -13,8 +13,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings a cluster deployment is expected to provide itself; we only fill
-# the ones that are unset so local runs and tests behave the same way.
+# Settings of the sessions built here, for local runs and tests; a cluster
+# deployment brings its own session.
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -42,7 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset.
+    """Return the shared checkpoint folder, creating one only when unset and the master is local.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder
     (HDFS/S3/ABFS) that survives executor loss; it is read, never replaced.
@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="carepath-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -35,23 +35,28 @@ def lower_columns(df: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             min_partitions: int | None = None) -> DataFrame:
-    """Read a CSV export; quoted multi-line text allowed; nothing is inferred.
+             min_partitions: int | None = None, multi_line: bool = False, order: str | None = None) -> DataFrame:
+    """Read a CSV export; nothing is inferred.
 
     Every column is read as text (no inference pass), headers are lower-cased,
     and when ``schema`` is given its columns are picked by name and typed with
     ``try_cast`` (a bad cell becomes null, it does not fail the job). Exports
     carry more columns than used; those are pruned here.
-    Quoted multi-line text makes every file (gzip or not) one task, so the
-    rows are repartitioned right after the read to spread downstream work.
+    ``multi_line`` allows quoted line ends (notes); such a file, like any gzip
+    file, is read by one task, so the rows are repartitioned right after the
+    read. ``order`` names a column for the place of a row: it rises in file
+    order (files in the order Spark splits them), but is not gapless.
     Convert large exports to Parquet once and read that instead.
     """
-    df = (spark.read.option("header", True).option("multiLine", True)
+    df = (spark.read.option("header", True).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
           .csv(path))
     df = lower_columns(df)
+    place = [F.monotonically_increasing_id().alias(order)] if order else []
     if schema is not None:
-        df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name != order], *place)
+    elif place:
+        df = df.select("*", *place)
     if min_partitions != 0:
         df = df.repartition(min_partitions or spark.sparkContext.defaultParallelism)
     return df
