@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from carepath.session import shared_path
 
 #: Upper bound of one in-task slice of text; keeps numpy work arrays small whatever the batch size.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -191,8 +191,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
         def run(batch, shared=shared, held=held):
             if "m" not in held:
                 held["m"] = Matcher(shared.value)
-            rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    if t for hit in held["m"].find(t)]
+            rows = [(i.as_py(), *hit) for i, t in zip(batch.column(0), batch.column(1), strict=True)
+                    for hit in held["m"].find(t.as_py() or "")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)],
                                                  names=["doc_id", "item_id", "start", "end", "distance"])
@@ -224,8 +224,8 @@ def keep(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         def run(batch, shared=shared, held=held):
             if "m" not in held:
                 held["m"] = Matcher(shared.value)
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([not (t and held["m"].find(t)) for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([not held["m"].find(t.as_py() or "") for t in texts], pa.bool_()))
 
         out = map_arrow(out, run, docs.schema).select(*columns)
     return out

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import map_arrow, small_side, staged, text_slices
+from carepath.llm.common import SLICE_BYTES, map_arrow, small_side, staged, text_slices
 from carepath.llm.components import components
 from carepath.llm.textnum import bounds, mix, shingle_sets
 
@@ -43,7 +43,9 @@ _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 _LOW32 = _U(0xFFFFFFFF)
 #: Elements whose permutations are held at a time (times signature length, two bytes each).
-_BLOCK = 100_000
+_BLOCK = 50_000
+#: Pairs whose texts are held at a time.
+PAIRS = 400
 #: Text of one block in the comparison of blocks.
 BLOCK_BYTES = 64 * 1024
 _UNSET = _U(0xFFFFFFFFFFFFFFFF)
@@ -142,12 +144,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.array("tu", "tv").alias("pair"))
 
     def run(batch):
+        for i in range(0, batch.num_rows, PAIRS):
+            yield from judged(batch.slice(i, PAIRS))
+
+    def judged(batch):
         u, v = batch.column(0), batch.column(1)
         texts = [(t or "").encode() for p in batch.column(2).to_pylist() for t in p]
         start = 0
         while start < len(u):
             stop, size = start, 0
-            while stop < len(u) and (size == 0 or size < 2_000_000):
+            while stop < len(u) and (size == 0 or size < SLICE_BYTES):
                 size += len(texts[2 * stop]) + len(texts[2 * stop + 1])
                 stop += 1
             doc, value = shingle_sets(texts[2 * start:2 * stop], shingle)

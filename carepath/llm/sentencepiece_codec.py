@@ -41,8 +41,8 @@ from carepath.llm.common import map_arrow, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-MEMO_WORDS = 800_000
-MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 300_000
+MEMO_PAIRS = 400_000
 MARK = "\u2581"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
@@ -115,7 +115,7 @@ class Codec:
                 self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 0), len(piece))
         self.worst = min(self.score.values()) - 10.0
         self.prefix = sp.normalize("a") != "a"
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # -- words ------------------------------------------------------------
@@ -184,7 +184,7 @@ class Codec:
             before = word
         return out
 
-    def _numbers(self, pieces: list[str]) -> list[int]:
+    def _numbers(self, pieces: list[str]) -> tuple[int, ...]:
         out = []
         for p in pieces:
             i = self.ids.get(p)
@@ -194,7 +194,7 @@ class Codec:
                 out.extend(self.byte_id[b] for b in p.encode())
             else:
                 out.append(self.unk)
-        return out
+        return tuple(out)
 
     # -- texts ------------------------------------------------------------
     def encode(self, texts: list[str]) -> list[list[int]]:
