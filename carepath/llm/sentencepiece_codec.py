@@ -41,7 +41,7 @@ from carepath.llm.common import map_arrow, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 MEMO_PAIRS = 400_000
 MARK = "\u2581"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
