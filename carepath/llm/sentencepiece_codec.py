@@ -108,11 +108,12 @@ class Codec:
                 self.score[piece] = sp.get_score(i)
                 if re.search(f"[^{MARK}]{MARK}", piece):
                     raise ValueError(f"piece {piece!r} reaches over a word's start")
-        #: Longest piece that ends in two given characters.
-        self.reach: dict[str, int] = {}
+        #: Lengths of the pieces that end in two given characters, longest first.
+        lengths: dict[str, set[int]] = {}
         for piece in self.ids:
             if len(piece) > 1:
-                self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 0), len(piece))
+                lengths.setdefault(piece[-2:], set()).add(len(piece))
+        self.ends = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
         self.worst = min(self.score.values()) - 10.0
         self.prefix = sp.normalize("a") != "a"
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -132,38 +133,44 @@ class Codec:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fits(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merge(left + right) == ([left, right] if left else [right])
+    def _fits(self, pair: tuple[str, str]) -> bool:
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        left, right = pair
+        known = self.pairs[pair] = self._merge(left + right) == ([left, right] if left else [right])
         return known
 
-    def _step_bpe(self, word: str, i: int, state: list) -> None:
-        for n in range(min(self.reach.get(word[i - 2:i], 1) if i > 1 else 1, i), 1, -1):
-            piece = word[i - n:i]
-            if piece in self.ids and self._fits(state[i - n], piece):
-                state.append(piece)
-                return
-        state.append(word[i - 1])
-
-    def _step_unigram(self, word: str, i: int, state: list) -> None:
-        best = None
-        for n in range(min(self.reach.get(word[i - 2:i], 1) if i > 1 else 1, i), 0, -1):
-            piece = word[i - n:i]
-            s = self.score.get(piece)
-            if s is None and n == 1:
-                s = self.worst
-            if s is not None and (best is None or state[i - n][0] + s > best[0]):
-                best = (state[i - n][0] + s, piece)
-        state.append(best)
+    def _steps_bpe(self, word: str, start: int, state: list) -> None:
+        ids, ends, pairs = self.ids, self.ends, self.pairs
+        for i in range(start, len(word) + 1):
+            for n in ends.get(word[i - 2:i], ()) if i > 1 else ():
+                if n <= i:
+                    piece = word[i - n:i]
+                    if piece in ids:
+                        pair = (state[i - n], piece)
+                        fits = pairs.get(pair)
+                        if self._fits(pair) if fits is None else fits:
+                            state.append(piece)
+                            break
+            else:
+                state.append(word[i - 1])
+
+    def _steps_unigram(self, word: str, start: int, state: list) -> None:
+        for i in range(start, len(word) + 1):
+            best = None
+            for n in (*(self.ends.get(word[i - 2:i], ()) if i > 1 else ()), 1):
+                piece = word[max(i - n, 0):i]
+                s = self.score.get(piece) if n <= i else None
+                if s is None and n == 1:
+                    s = self.worst
+                if s is not None and (best is None or state[i - n][0] + s > best[0]):
+                    best = (state[i - n][0] + s, piece)
+            state.append(best)
 
     def segment(self, words: list[str]) -> list[list[str]]:
         """Pieces of each of the sorted distinct ``words``."""
         bpe = self.kind == BPE
-        step = self._step_bpe if bpe else self._step_unigram
+        steps = self._steps_bpe if bpe else self._steps_unigram
         state: list = ["" if bpe else (0.0, "")]
         before, out = "", []
         for word in words:
@@ -173,21 +180,23 @@ class Codec:
                     break
                 same += 1
             del state[same + 1:]
-            for i in range(same + 1, len(word) + 1):
-                step(word, i, state)
+            steps(word, same + 1, state)
             pieces, i = [], len(word)
             while i:
                 piece = state[i] if bpe else state[i][1]
                 pieces.append(piece)
                 i -= len(piece)
-            out.append(pieces[::-1])
+            pieces.reverse()
+            out.append(pieces)
             before = word
         return out
 
     def _numbers(self, pieces: list[str]) -> tuple[int, ...]:
+        known = tuple(map(self.ids.get, pieces))
+        if None not in known:
+            return known
         out = []
-        for p in pieces:
-            i = self.ids.get(p)
+        for p, i in zip(pieces, known, strict=True):
             if i is not None:
                 out.append(i)
             elif self.byte_id:
