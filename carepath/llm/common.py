@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,14 +51,28 @@ def _cut(batch, texts, a: int, b: int):
     return batch.slice(a, b - a), [t or b"" for t in texts.slice(a, b - a).to_pylist()]
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` over batches: ``fn(batch)`` yields record batches."""
+def map_arrow(df: DataFrame, fn: Callable, schema: str, at_end: Callable | None = None) -> DataFrame:
+    """``mapInArrow`` over batches: ``fn(batch)`` yields record batches. ``at_end`` is called when a task
+    ends; then its memory goes back to the system, as the worker is kept for later tasks."""
     def run(batches):
-        for batch in batches:
-            yield from fn(batch)
+        try:
+            for batch in batches:
+                yield from fn(batch)
+        finally:
+            batch = None
+            if at_end:
+                at_end()
+            _give_back()
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def within(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows (reads no more than it needs)."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -16,8 +16,9 @@ The state of a prefix depends on the model's kind:
 
 The model file is a public one, named by a path on the driver and sent to the
 executors once (at most ``MAX_MODEL_BYTES``); nothing is trained. Text
-normalisation is that of the model. Words are remembered between slices up to
-``MEMO_WORDS``. There is no shuffle.
+normalisation is that of the model. Words are remembered between the slices of
+a task, up to ``MEMO_WORDS``, and forgotten at its end, as workers go on to other
+stages. There is no shuffle.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 repeated rows are encoded alike; an empty table gives an empty table; other
@@ -41,8 +42,8 @@ from carepath.llm.common import map_arrow, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-MEMO_WORDS = 400_000
-MEMO_PAIRS = 400_000
+MEMO_WORDS = 250_000
+MEMO_PAIRS = 250_000
 MARK = "\u2581"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNIGRAM, BPE = 1, 2
@@ -237,6 +238,12 @@ def codec(raw: bytes) -> Codec:
     return _CODECS[key]
 
 
+def forget() -> None:
+    """Drops the words and pairs this process remembers."""
+    for known in _CODECS.values():
+        known.memo, known.pairs = {}, {}
+
+
 def load_model(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:
         raw = f.read(MAX_MODEL_BYTES + 1)
@@ -275,7 +282,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verif
             yield pa.RecordBatch.from_arrays(list(part.columns) + cols, names=part.schema.names + names)
 
     extra = "ids array<int>, n_ids long" + (", round_trip boolean" if verify else "")
-    return map_arrow(part_df, run, f"{fields}, {extra}")
+    return map_arrow(part_df, run, f"{fields}, {extra}", at_end=forget)
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
