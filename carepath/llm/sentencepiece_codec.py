@@ -17,7 +17,7 @@ The state of a prefix depends on the model's kind:
 The model file is a public one, named by a path on the driver and sent to the
 executors once (at most ``MAX_MODEL_BYTES``); nothing is trained. Text
 normalisation is that of the model. Words are remembered between the slices of
-a task, up to ``MEMO_WORDS``, and forgotten at its end, as workers go on to other
+a task, up to ``memo_words``, and forgotten at its end, as workers go on to other
 stages. There is no shuffle.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
@@ -207,10 +207,10 @@ class Codec:
         return tuple(out)
 
     # -- texts ------------------------------------------------------------
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str], memo_words: int = MEMO_WORDS) -> list[list[int]]:
         units = [_UNIT.findall(self.sp.normalize(t)) if t else [] for t in texts]
         new = sorted(set(chain.from_iterable(units)).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        if len(self.memo) + len(new) > memo_words:
             self.memo.clear()
             new = sorted(set(chain.from_iterable(units)))
         self.memo.update(zip(new, map(self._numbers, self.segment(new)), strict=True))
@@ -264,9 +264,10 @@ def _list(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verify: bool = False,
+           memo_words: int = MEMO_WORDS) -> DataFrame:
     """``docs`` with ``ids array<int>`` and ``n_ids long``; with ``verify`` also ``round_trip``: decoding the
-    ids gives back the normalised text."""
+    ids gives back the normalised text. ``memo_words`` bounds the words a task remembers (some 200 bytes each)."""
     names = ["ids", "n_ids"] + (["round_trip"] if verify else [])
     part_df, fields = _carried(docs, set(names), text_col)
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verif
         c = codec(shared.value)
         for part, blobs in text_slices(batch, text_col):
             texts = [b.decode("utf-8", "replace") for b in blobs]
-            ids = c.encode(texts)
+            ids = c.encode(texts, memo_words)
             cols = [_list(ids), pa.array([len(x) for x in ids], pa.int64())]
             if verify:
                 cols.append(pa.array([c.decode(x) == c.plain(t) for x, t in zip(ids, texts, strict=True)], pa.bool_()))
@@ -299,8 +300,8 @@ def decode(df: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", mod
     return map_arrow(part_df, run, f"{fields}, `{out_col}` string")
 
 
-def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def report(docs: DataFrame, model: str = MODEL, memo_words: int = 800_000) -> DataFrame:
     """doc_id, ids, their number and digest, and whether decoding gives the text back."""
-    out = encode(docs.select("doc_id", "text"), model=model, verify=True)
+    out = encode(docs.select("doc_id", "text"), model=model, verify=True, memo_words=memo_words)
     return out.select("doc_id", "n_ids", F.md5(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_md5"),
                       "round_trip", "ids")
