@@ -18,7 +18,7 @@ The model file is a public one, named by a path on the driver and sent to the
 executors once (at most ``MAX_MODEL_BYTES``); nothing is trained. Text
 normalisation is that of the model. Words are remembered between the slices of
 a task, up to ``memo_words``, and forgotten at its end, as workers go on to other
-stages. There is no shuffle.
+stages (unless ``keep_words``). There is no shuffle.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 repeated rows are encoded alike; an empty table gives an empty table; other
@@ -265,9 +265,10 @@ def _list(rows: list[list[int]]) -> pa.Array:
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verify: bool = False,
-           memo_words: int = MEMO_WORDS) -> DataFrame:
+           memo_words: int = MEMO_WORDS, keep_words: bool = False) -> DataFrame:
     """``docs`` with ``ids array<int>`` and ``n_ids long``; with ``verify`` also ``round_trip``: decoding the
-    ids gives back the normalised text. ``memo_words`` bounds the words a task remembers (some 200 bytes each)."""
+    ids gives back the normalised text. ``memo_words`` bounds the words a task remembers (some 200 bytes each);
+    with ``keep_words`` a worker keeps them for its later tasks."""
     names = ["ids", "n_ids"] + (["round_trip"] if verify else [])
     part_df, fields = _carried(docs, set(names), text_col)
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))
@@ -283,7 +284,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verif
             yield pa.RecordBatch.from_arrays(list(part.columns) + cols, names=part.schema.names + names)
 
     extra = "ids array<int>, n_ids long" + (", round_trip boolean" if verify else "")
-    return map_arrow(part_df, run, f"{fields}, {extra}", at_end=forget)
+    return map_arrow(part_df, run, f"{fields}, {extra}", at_end=None if keep_words else forget)
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -302,6 +303,6 @@ def decode(df: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", mod
 
 def report(docs: DataFrame, model: str = MODEL, memo_words: int = 800_000) -> DataFrame:
     """doc_id, ids, their number and digest, and whether decoding gives the text back."""
-    out = encode(docs.select("doc_id", "text"), model=model, verify=True, memo_words=memo_words)
+    out = encode(docs.select("doc_id", "text"), model=model, verify=True, memo_words=memo_words, keep_words=True)
     return out.select("doc_id", "n_ids", F.md5(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_md5"),
                       "round_trip", "ids")
