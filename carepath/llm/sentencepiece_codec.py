@@ -80,6 +80,23 @@ def model_kind(raw: bytes) -> int:
     return kinds[-1] if kinds else UNIGRAM
 
 
+#: ``next`` of a prefix that no text has left yet; never written to.
+NOWHERE: dict[str, Prefix] = {}
+
+
+class Prefix:
+    """A start of pieces: the pieces of two and more characters that it ends in, longest first, and where the
+    next character leads."""
+
+    __slots__ = ("text", "ends", "next")
+
+    def __init__(self, text: str, owner: Codec | None):
+        self.text = text
+        ids = owner.ids if owner else {}
+        self.ends = tuple((text[i:], len(text) - i) for i in range(len(text) - 1) if text[i:] in ids)
+        self.next = NOWHERE
+
+
 class Codec:
     """Encoder and decoder of one model."""
 
@@ -109,12 +126,13 @@ class Codec:
                 self.score[piece] = sp.get_score(i)
                 if re.search(f"[^{MARK}]{MARK}", piece):
                     raise ValueError(f"piece {piece!r} reaches over a word's start")
-        #: Lengths of the pieces that end in two given characters, longest first.
-        lengths: dict[str, set[int]] = {}
-        for piece in self.ids:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self.ends = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
+        self.root = Prefix("", None)
+        self.prefixes: dict[str, Prefix] = {"": self.root}
+        for piece in sorted(self.ids, key=len):
+            for i in range(1, len(piece) + 1):
+                if piece[:i] not in self.prefixes:
+                    self.prefixes[piece[:i]] = Prefix(piece[:i], self)
+        self.n_next = 0
         self.worst = min(self.score.values()) - 10.0
         self.prefix = sp.normalize("a") != "a"
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -141,31 +159,50 @@ class Codec:
         known = self.pairs[pair] = self._merge(left + right) == ([left, right] if left else [right])
         return known
 
-    def _steps_bpe(self, word: str, start: int, state: list) -> None:
-        ids, ends, pairs = self.ids, self.ends, self.pairs
-        for i in range(start, len(word) + 1):
-            for n in ends.get(word[i - 2:i], ()) if i > 1 else ():
-                if n <= i:
-                    piece = word[i - n:i]
-                    if piece in ids:
-                        pair = (state[i - n], piece)
-                        fits = pairs.get(pair)
-                        if self._fits(pair) if fits is None else fits:
-                            state.append(piece)
-                            break
+    def _step(self, at: Prefix, char: str) -> Prefix:
+        """The longest suffix of ``at.text + char`` that starts a piece; remembered in ``at.next``."""
+        if char not in self.prefixes:
+            return self.root
+        if self.n_next >= MEMO_PAIRS:
+            self.forget_steps()
+        text = at.text + char
+        while text not in self.prefixes:
+            text = text[1:]
+        found = self.prefixes[text]
+        at.next = at.next or {}
+        at.next[char] = found
+        self.n_next += 1
+        return found
+
+    def forget_steps(self) -> None:
+        for known in self.prefixes.values():
+            known.next = NOWHERE
+        self.n_next = 0
+
+    def _steps_bpe(self, word: str, start: int, state: list, spots: list) -> None:
+        pairs, at = self.pairs, spots[-1]
+        for i, char in enumerate(word[start - 1:], start):
+            at = at.next.get(char) or self._step(at, char)
+            spots.append(at)
+            for piece, n in at.ends:
+                pair = (state[i - n], piece)
+                fits = pairs.get(pair)
+                if self._fits(pair) if fits is None else fits:
+                    state.append(piece)
+                    break
             else:
-                state.append(word[i - 1])
-
-    def _steps_unigram(self, word: str, start: int, state: list) -> None:
-        for i in range(start, len(word) + 1):
-            best = None
-            for n in (*(self.ends.get(word[i - 2:i], ()) if i > 1 else ()), 1):
-                piece = word[max(i - n, 0):i]
-                s = self.score.get(piece) if n <= i else None
-                if s is None and n == 1:
-                    s = self.worst
-                if s is not None and (best is None or state[i - n][0] + s > best[0]):
-                    best = (state[i - n][0] + s, piece)
+                state.append(char)
+
+    def _steps_unigram(self, word: str, start: int, state: list, spots: list) -> None:
+        at = spots[-1]
+        for i, char in enumerate(word[start - 1:], start):
+            at = at.next.get(char) or self._step(at, char)
+            spots.append(at)
+            best = (state[i - 1][0] + self.score.get(char, self.worst), char)
+            for piece, n in at.ends:
+                s = state[i - n][0] + self.score[piece]
+                if s > best[0] or s == best[0] and n > len(best[1]):
+                    best = (s, piece)
             state.append(best)
 
     def segment(self, words: list[str]) -> list[list[str]]:
@@ -173,6 +210,7 @@ class Codec:
         bpe = self.kind == BPE
         steps = self._steps_bpe if bpe else self._steps_unigram
         state: list = ["" if bpe else (0.0, "")]
+        spots = [self.root]
         before, out = "", []
         for word in words:
             same = 0
@@ -180,8 +218,8 @@ class Codec:
                 if a != b:
                     break
                 same += 1
-            del state[same + 1:]
-            steps(word, same + 1, state)
+            del state[same + 1:], spots[same + 1:]
+            steps(word, same + 1, state, spots)
             pieces, i = [], len(word)
             while i:
                 piece = state[i] if bpe else state[i][1]
@@ -242,6 +280,7 @@ def forget() -> None:
     """Drops the words and pairs this process remembers."""
     for known in _CODECS.values():
         known.memo, known.pairs = {}, {}
+        known.forget_steps()
 
 
 def load_model(path: str = MODEL) -> bytes:
