@@ -135,7 +135,8 @@ class Codec:
         self.n_next = 0
         self.worst = min(self.score.values()) - 10.0
         self.prefix = sp.normalize("a") != "a"
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.packed = {piece: np.int32(i).tobytes() for piece, i in self.ids.items()}
+        self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # -- words ------------------------------------------------------------
@@ -230,22 +231,24 @@ class Codec:
             before = word
         return out
 
-    def _numbers(self, pieces: list[str]) -> tuple[int, ...]:
-        known = tuple(map(self.ids.get, pieces))
-        if None not in known:
-            return known
-        out = []
-        for p, i in zip(pieces, known, strict=True):
-            if i is not None:
-                out.append(i)
-            elif self.byte_id:
-                out.extend(self.byte_id[b] for b in p.encode())
-            else:
-                out.append(self.unk)
-        return tuple(out)
+    def _numbers(self, pieces: list[str]) -> bytes:
+        """The ids of ``pieces`` as int32s; a character out of the vocabulary is its bytes, or the unknown id."""
+        try:
+            return b"".join(map(self.packed.__getitem__, pieces))
+        except KeyError:
+            out = []
+            for p in pieces:
+                if p in self.ids:
+                    out.append(self.ids[p])
+                elif self.byte_id:
+                    out.extend(self.byte_id[b] for b in p.encode())
+                else:
+                    out.append(self.unk)
+            return np.array(out, np.int32).tobytes()
 
     # -- texts ------------------------------------------------------------
-    def encode(self, texts: list[str], memo_words: int = MEMO_WORDS) -> list[list[int]]:
+    def encode_packed(self, texts: list[str], memo_words: int = MEMO_WORDS) -> list[bytes]:
+        """The ids of each text as int32s."""
         units = [_UNIT.findall(self.sp.normalize(t)) if t else [] for t in texts]
         new = sorted(set(chain.from_iterable(units)).difference(self.memo))
         if len(self.memo) + len(new) > memo_words:
@@ -253,7 +256,10 @@ class Codec:
             new = sorted(set(chain.from_iterable(units)))
         self.memo.update(zip(new, map(self._numbers, self.segment(new)), strict=True))
         get = self.memo.__getitem__
-        return [list(chain.from_iterable(map(get, u))) for u in units]
+        return [b"".join(map(get, u)) for u in units]
+
+    def encode(self, texts: list[str], memo_words: int = MEMO_WORDS) -> list[list[int]]:
+        return [_ids(x).tolist() for x in self.encode_packed(texts, memo_words)]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -297,10 +303,13 @@ def _carried(df: DataFrame, out: set[str], keep: str):
     return part, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema)
 
 
-def _list(rows: list[list[int]]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64))).astype(np.int32)
-    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.int32)
+
+
+def _list(rows: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in rows], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_ids(b"".join(rows))))
 
 
 def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verify: bool = False,
@@ -316,10 +325,11 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, verif
         c = codec(shared.value)
         for part, blobs in text_slices(batch, text_col):
             texts = [b.decode("utf-8", "replace") for b in blobs]
-            ids = c.encode(texts, memo_words)
-            cols = [_list(ids), pa.array([len(x) for x in ids], pa.int64())]
+            ids = c.encode_packed(texts, memo_words)
+            cols = [_list(ids), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if verify:
-                cols.append(pa.array([c.decode(x) == c.plain(t) for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                cols.append(pa.array([c.decode(_ids(x).tolist()) == c.plain(t)
+                                      for x, t in zip(ids, texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(list(part.columns) + cols, names=part.schema.names + names)
 
     extra = "ids array<int>, n_ids long" + (", round_trip boolean" if verify else "")
