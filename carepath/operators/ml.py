@@ -118,8 +118,9 @@ def train_logistic(train: DataFrame, cols: list[str]) -> PipelineModel:
     return Pipeline(stages=[_assembler(cols), lr]).fit(train)
 
 
-def train_forest(train: DataFrame, cols: list[str], trees: int = 100) -> PipelineModel:
-    rf = RandomForestClassifier(numTrees=trees, weightCol="weight", seed=SEED)
+def train_forest(train: DataFrame, cols: list[str], trees: int = 100, depth: int = 30) -> PipelineModel:
+    """Balanced forest; ``depth`` is the deepest Spark grows, in place of no limit."""
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=SEED)
     return Pipeline(stages=[_assembler(cols), rf]).fit(train)
 
 

@@ -1,7 +1,8 @@
 """Model training, scoring, evaluation and attribution.
 
-Training rounds are kept low in these registered queries so the whole
-catalog runs in minutes; the library defaults are the full settings.
+All models train with the library defaults (100 rounds or trees, 300 rounds for
+the enhanced model). Queries that use the final risk model of a data directory
+share one stored fit per session.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from carepath.plans.context import Clinic
 from carepath.session import shared_path
 from carepath.sources.tables import write_version
 
-GBT_ROUNDS = 20
-FOREST_TREES = 20
+#: (application, data directory) -> (stored training rows, stored final model) of this session.
+_FITTED: dict[tuple[str, str], tuple] = {}
 
 
 def _train_input(c: Clinic, cols=S.BASIC_FEATURES, recency=-1.0):
@@ -90,14 +91,14 @@ def q_train_logistic(spark, sf_dir):
 @register("train_forest")
 def q_train_forest(spark, sf_dir):
     sp = ML.class_weights(_split(Clinic(spark, sf_dir)))
-    model = ML.train_forest(sp.filter("split = 'train'"), S.BASIC_FEATURES, trees=FOREST_TREES)
+    model = ML.train_forest(sp.filter("split = 'train'"), S.BASIC_FEATURES)
     return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
 
 
 @register("train_gbt_base")
 def q_train_gbt_base(spark, sf_dir):
     sp = ML.class_weights(_split(Clinic(spark, sf_dir)), mode="pos_scale")
-    model = ML.train_gbt_base(sp.filter("split = 'train'"), rounds=GBT_ROUNDS)
+    model = ML.train_gbt_base(sp.filter("split = 'train'"))
     return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
 
 
@@ -107,7 +108,7 @@ def q_train_gbt_enhanced(spark, sf_dir):
     base = _train_input(c, S.ENHANCED_FEATURES, 0.0)
     cols = ML.kept_features(base, S.ENHANCED_FEATURES)
     sp = ML.class_weights(ML.stratified_split(base).checkpoint(eager=True), mode="pos_scale")
-    model = ML.train_gbt_enhanced(sp.filter("split = 'train'"), cols, rounds=GBT_ROUNDS)
+    model = ML.train_gbt_enhanced(sp.filter("split = 'train'"), cols)
     return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
 
 
@@ -121,8 +122,8 @@ def q_compare_models(spark, sf_dir):
     posw = ML.class_weights(sp, mode="pos_scale")
     runs = {
         "logistic": _holdout(ML.train_logistic(std.filter("split = 'train'"), S.BASIC_FEATURES), std),
-        "forest": _holdout(ML.train_forest(bal.filter("split = 'train'"), S.BASIC_FEATURES, FOREST_TREES), bal),
-        "gbt": _holdout(ML.train_gbt_base(posw.filter("split = 'train'"), rounds=GBT_ROUNDS), posw),
+        "forest": _holdout(ML.train_forest(bal.filter("split = 'train'"), S.BASIC_FEATURES), bal),
+        "gbt": _holdout(ML.train_gbt_base(posw.filter("split = 'train'")), posw),
     }
     out = None
     for name, pred in runs.items():
@@ -169,7 +170,7 @@ def q_train_ward(spark, sf_dir):
     c = Clinic(spark, sf_dir)
     data = _ward_data(c).filter(F.col("predicted_ward").isNotNull())
     sp = ML.stratified_split(data, label="predicted_ward").checkpoint(eager=True)
-    model = ML.train_ward(sp.filter("split = 'train'"), trees=FOREST_TREES)
+    model = ML.train_ward(sp.filter("split = 'train'"))
     pred = ML.score_ward(model, sp.filter("split = 'test'"))
     return ML.classification_report(pred, label="predicted_ward", prediction="ward_pred")
 
@@ -179,7 +180,7 @@ def q_score_ward(spark, sf_dir):
     """Ward and confidence for every scored patient; trained on the labelled ones."""
     c = Clinic(spark, sf_dir)
     data = _ward_data(c)
-    model = ML.train_ward(data.filter(F.col("predicted_ward").isNotNull()), trees=FOREST_TREES)
+    model = ML.train_ward(data.filter(F.col("predicted_ward").isNotNull()))
     return ML.score_ward(model, data).select("subject_id", "risk_score", F.col("ward_pred").alias("predicted_ward"),
                                              "ward_probability")
 
@@ -193,17 +194,15 @@ def q_round_confidence(spark, sf_dir):
 @register("score_patients")
 def q_score_patients(spark, sf_dir):
     """Final model on all labelled rows, then risk score, prediction and tier for each."""
-    c = Clinic(spark, sf_dir)
-    df = ML.class_weights(_train_input(c), mode="pos_scale")
-    model = ML.train_gbt_base(df, rounds=GBT_ROUNDS)
-    return ML.score(model, df).select("subject_id", "risk_score", "risk_prediction", "risk_tier")
+    df, path = _fitted_gbt(spark, sf_dir)
+    return ML.score(ML.load_model(path), df).select("subject_id", "risk_score", "risk_prediction", "risk_tier")
 
 
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     c = Clinic(spark, sf_dir)
     df = ML.class_weights(_train_input(c), mode="pos_scale")
-    return ML.cross_validate(df, S.BASIC_FEATURES, lambda tr: ML.train_gbt_base(tr, rounds=10))
+    return ML.cross_validate(df, S.BASIC_FEATURES, ML.train_gbt_base)
 
 
 @register("cv_summary")
@@ -213,9 +212,8 @@ def q_cv_summary(spark, sf_dir):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    c = Clinic(spark, sf_dir)
-    df = ML.class_weights(_train_input(c), mode="pos_scale")
-    return ML.feature_importance(spark, ML.train_gbt_base(df, rounds=GBT_ROUNDS), S.BASIC_FEATURES)
+    _, path = _fitted_gbt(spark, sf_dir)
+    return ML.feature_importance(spark, ML.load_model(path), S.BASIC_FEATURES)
 
 
 @register("classification_report", """
@@ -268,27 +266,28 @@ def q_quality_gate(spark, sf_dir):
     return ML.quality_gate(ML.roc_auc(Clinic(spark, sf_dir).risk_fixture))
 
 
-def _fitted_gbt(spark, c: Clinic, rounds=GBT_ROUNDS):
-    df = ML.class_weights(_train_input(c), mode="pos_scale")
-    model = ML.train_gbt_base(df, rounds=rounds)
-    path = shared_path(spark, "risk_model")
-    ML.save_model(model, path)
-    return df, model, path
+def _fitted_gbt(spark, sf_dir: str):
+    """The weighted training rows and the path of the final risk model, fitted and stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        df = ML.class_weights(_train_input(Clinic(spark, sf_dir)), mode="pos_scale")
+        path = shared_path(spark, "risk_model")
+        ML.save_model(ML.train_gbt_base(df), path)
+        _FITTED[key] = df, path
+    return _FITTED[key]
 
 
 @register("model_store")
 def q_model_store(spark, sf_dir):
     """Save the pipeline (features live in its assembler), reload, score."""
-    c = Clinic(spark, sf_dir)
-    df, _, path = _fitted_gbt(spark, c)
+    df, path = _fitted_gbt(spark, sf_dir)
     return ML.score(ML.load_model(path), df).select("subject_id", "risk_score", "risk_tier")
 
 
 @register("shap_values")
 def q_shap_values(spark, sf_dir):
     """Log-odds attributions of the risk model for every labelled patient."""
-    c = Clinic(spark, sf_dir)
-    df, _, path = _fitted_gbt(spark, c)
+    df, path = _fitted_gbt(spark, sf_dir)
     return SH.shap_values(spark, df, S.BASIC_FEATURES, SH.gbt_stage_path(path, spark))
 
 
