@@ -1,15 +1,19 @@
 """Repeated-passage removal by hashing units.
 
-Units are the sentences of every line (a line without sentence ends is one unit;
-lines and paragraphs are runs of units). A unit is normalised (lower case, white
-space as one space) and hashed. All digests are grouped over the corpus; the
+Units are whole lines, the sentences of every line (a line without sentence ends is
+one sentence) and winnowed windows of ``WINDOW`` words: of every ``PASSAGE`` - ``WINDOW``
++ 1 neighbouring windows, the one with the smallest hash. A unit is normalised (lower
+case, white space as one space) and hashed. All digests are grouped over the corpus; the
 earliest occurrence by (doc_id, text hash, place) is kept. In every document the units
 that occur earlier are joined to runs of neighbours, and runs of at least
-``min_words`` words are removed, with their offsets in the original text.
+``min_words`` words are removed, with their offsets in the original text. A line that
+occurs earlier, as a line or as a sentence, is removed at any length, and so are
+paragraphs, line by line.
 
-A run is what makes a passage: a short sentence that happens to recur stays where
-it is. A passage that was set into a line leaves a torn sentence at either end, so a
-run only has to reach ``min_words`` (default 25) for passages of 50 words and more.
+Inside a line, a short sentence that happens to recur stays where it is. Two texts that
+share ``PASSAGE`` words share a window within them, wherever sentences are torn or
+edited, so a part of every such passage goes: all whole sentences next to the window,
+and all of the passage's words but for at most ``PASSAGE`` - ``WINDOW`` at either end.
 
 Units are counted with a partial aggregation, so a line that a third of all
 documents share is one row per task; only digests that occur twice travel on.
@@ -25,96 +29,158 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepath.llm.common import map_arrow, staged
+from carepath.llm.textnum import mix, words
 
 MIN_WORDS = 25
+#: Words of a shared passage that is always found, and of the windows it is found by (a power of two).
+PASSAGE = 50
+WINDOW = 32
+DIGEST = 12
 _SENTENCE = re.compile(r"[^\n.!?]*[.!?]+[^\s.!?]*[ \t]*|[^\n.!?]+")
+_LINE = re.compile(r"[^\n]+")
 _WS_RUN = " \t\r\x0b\x0c"
 
 
-def units(text: str) -> list[tuple[int, int]]:
-    """Spans (code points, end exclusive) of the units with at least one word."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        while a < b and text[a] in _WS_RUN:
-            a += 1
-        while b > a and text[b - 1] in _WS_RUN:
-            b -= 1
-        if a < b:
-            out.append((a, b))
+def _spread(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = pick(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def _windows(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """Spans of each text's winnowed windows; of equal ones that overlap, the first."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    w = words([t.encode() for t in texts], lower=True)
+    wide = PASSAGE - WINDOW + 1
+    if len(w.value) < PASSAGE:
+        return out
+    h, size = w.value, 1
+    with np.errstate(over="ignore"):
+        while size < WINDOW:
+            h = mix(h[:-size] * np.uint64(3) + h[size:])
+            size *= 2
+    inside = w.doc[:len(w.doc) - PASSAGE + 1] == w.doc[PASSAGE - 1:]
+    least = np.pad(np.where(inside, _spread(h, wide, np.minimum), np.uint64(0)), wide - 1)
+    at = np.flatnonzero(_spread(least, wide, np.maximum) == h)
+    point = np.cumsum((w.buf & 0xC0) != 0x80)       # code points up to a byte, itself included
+    base = point[w.text_start] - 1
+    doc = w.doc[at]
+    start, end = point[w.start[at]] - 1 - base[doc], point[w.end[at + WINDOW - 1]] - 1 - base[doc]
+    free: dict[tuple[int, int], int] = {}
+    for i, n, value, a, b in zip(at.tolist(), doc.tolist(), h[at].tolist(), start.tolist(), end.tolist(), strict=True):
+        if free.get((n, value), 0) <= i:
+            free[n, value] = i + WINDOW
+            out[n].append((a, b))
     return out
 
 
+def _kinds(text: str, windows: list[tuple[int, int]], min_words: int) -> list[tuple[tuple[int, int], bool]]:
+    """Spans of the units in text order, and whether they are a whole line. Lines of several sentences and
+    ``min_words`` words need no unit: their sentences make a run of that length."""
+    out = dict.fromkeys(windows, False)
+    for found in _LINE.finditer(text):
+        at, parts = found.start(), []
+        for m in _SENTENCE.finditer(found[0]):
+            part = m[0].lstrip(_WS_RUN)
+            if part:
+                a = at + m.end() - len(part)
+                parts.append((a, a + len(part.rstrip(_WS_RUN))))
+        if len(parts) == 1:
+            out[parts[0]] = True
+        elif parts:
+            for span in parts:
+                out.setdefault(span, False)
+            line = parts[0][0], parts[-1][1]
+            if len(text[line[0]:line[1]].split()) < min_words:
+                out[line] = True
+    return sorted(out.items())
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """Spans (code points, end exclusive) of the units with at least one word, in text order."""
+    return [span for span, _ in _kinds(text, _windows([text])[0], min_words)]
+
+
 def normal(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
 def _key(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.hash(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(digest, missing, doc_id, text_key, place) of every unit."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), _key(text_col).alias("k"))
 
     def run(batch):
         ids, texts, keys = (batch.column(j).to_pylist() for j in range(3))
+        texts = [t or "" for t in texts]
         start = 0
         while start < len(ids):
-            digest, doc, key, place, size = [], [], [], [], 0
-            while start < len(ids) and size < 4_000_000:
-                i, t, k = ids[start], texts[start] or "", keys[start]
-                found = [xxhash.xxh3_128_digest(normal(t[a:b])) for a, b in units(t)]
+            digest, doc, key, place, size, end = [], [], [], [], 0, start
+            while end < len(ids) and size < 1_000_000:
+                size += len(texts[end]) + 100
+                end += 1
+            part = slice(start, end)
+            for i, t, k, spans in zip(ids[part], texts[part], keys[part], _windows(texts[part]), strict=True):
+                found = [xxhash.xxh3_128_digest(normal(t[a:b]))[:DIGEST] for (a, b), _ in _kinds(t, spans, min_words)]
                 digest += found
                 doc += [i] * len(found)
                 key += [k] * len(found)
                 place += range(len(found))
-                size += len(t) + 100
-                start += 1
+            start = end
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digest, pa.binary()), pa.array([d is None for d in doc], pa.bool_()), pa.array(doc, pa.int64()),
-                 pa.array(key, pa.int64()), pa.array(place, pa.int32())],
+                 pa.array(key, pa.int32()), pa.array(place, pa.int32())],
                 names=["digest", "missing", "doc_id", "text_key", "place"])
 
-    return map_arrow(read, run, "digest binary, missing boolean, doc_id long, text_key long, place int")
+    return map_arrow(read, run, "digest binary, missing boolean, doc_id long, text_key int, place int")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, places array<int>, kept_in array<long>): the units of a text that occur earlier in
     the corpus, and the documents that hold those occurrences."""
     rank = F.struct("missing", "doc_id", "text_key", "place")
-    table = unit_table(docs, id_col, text_col)
-    first = (table.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-             .where("first != last").select("digest", "first"))
+    table = unit_table(docs, id_col, text_col, min_words)
+    first = (table.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+             .where("n > 1").select("digest", "first"))
     later = table.join(first, "digest").where(rank != F.col("first"))
     return later.groupBy("missing", "doc_id", "text_key").agg(
         F.sort_array(F.collect_set("place")).alias("places"),
         F.sort_array(F.collect_set("first.doc_id")).alias("kept_in")).drop("missing")
 
 
-def _runs(text: str, places: set[int], min_words: int) -> list[tuple[int, int]]:
-    out, run = [], []
-
-    def end() -> None:
-        if run and len(text[run[0][0]:run[-1][1]].split()) >= min_words:
-            out.append((run[0][0], run[-1][1]))
-        run.clear()
-
-    for i, span in enumerate(units(text)):
-        if i in places:
-            run.append(span)
+def _joined(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of start as runs: joined if they overlap or only white space is between."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and (a <= out[-1][1] or text[out[-1][1]:a].isspace()):
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            end()
-    end()
+            out.append((a, b))
     return out
 
 
+def _runs(text: str, places: set[int], min_words: int) -> list[tuple[int, int]]:
+    known = _kinds(text, _windows([text])[0], min_words)
+    again = [x for i, x in enumerate(known) if i in places]
+    long = [(a, b) for a, b in _joined(text, [span for span, _ in again]) if len(text[a:b].split()) >= min_words]
+    return _joined(text, sorted(long + [span for span, line in again if line]))
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     kept, at = [], 0
     for a, b in spans:
@@ -128,7 +194,7 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id"
           changed_only: bool = False) -> DataFrame:
     """``docs`` with the repeated passages cut out of the text and ``removed`` array<struct<start, end>> in
     code points of the original text, and ``kept_in``, the documents that keep an occurrence."""
-    found = staged(repeated(docs, id_col, text_col), "repeats").select(
+    found = staged(repeated(docs, id_col, text_col, min_words), "repeats").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("places").alias("_places"),
         F.col("kept_in").alias("_kept_in"))
     columns = [c for c in docs.columns if c not in ("removed", "kept_in") or c == text_col]

@@ -449,3 +449,29 @@ def test_repeated_rows_are_one_occurrence(docs_frame):
     text = " ".join(f"word{i}" for i in range(60)) + "."
     got = substring_dedup.dedup(docs_frame([(1, text), (1, text), (2, text)])).collect()
     assert [(r.doc_id, r.text) for r in sorted(got, key=lambda r: r.doc_id)] == [(1, text), (1, text), (2, "")]
+
+
+def test_repeated_lines_go_at_any_length(docs_frame):
+    rows = [(i, f"Own start {i}.\nShort line. Of two parts.\nLicensed to all.\nAn own line {i}. Of two parts. And more {i}.")
+            for i in range(3)]
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs_frame(rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == f"Own start {i}.\n\nAn own line {i}. Of two parts. And more {i}." for i in (1, 2))
+
+
+def test_torn_passages_go(rng, docs_frame):
+    """A passage of 50 words goes, wherever its sentences are torn, and also without any."""
+    words = [f"w{i}" for i in range(9000)]
+    rows = []
+    for n in range(40):
+        passage = [w + "." if n % 2 and j % 20 == 9 else w for j, w in enumerate(rng.sample(words, 50))]
+        for half in (0, 100):
+            own = [f"own{n}x{half}x{j}" for j in range(80)]
+            at = rng.randrange(10, 70)
+            rows.append((n + half, " ".join(own[:at] + passage + own[at:])))
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs_frame(rows)).collect()}
+    wide = substring_dedup.PASSAGE - substring_dedup.WINDOW
+    for i, text in rows:
+        left = got[i].text.split()
+        assert [w for w in left if w.startswith("own")] == [w for w in text.split() if w.startswith("own")]
+        assert (got[i].text == text) if i < 100 else (len(left) <= 80 + wide)
