@@ -60,6 +60,27 @@ def test_quality_bands(docs_frame):
     assert not got[2].base_failed
 
 
+def test_bands_reject_base64_of_every_length():
+    import base64
+    import random
+
+    import zstandard
+    rnd = random.Random(3)
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    good = lambda raw: quality._compression(raw, packer, quality.BANDS)[-1]
+    for n in [192, 223, 224, 255, 256, 319, 320, 383, 384, 400, 511, 512, 767, 768, 800, 1023, 1024, 1500, 2047, 2048, 3000, 4095, 4096,
+              16383, 16384, 50_000]:
+        for _ in range(20):
+            raw = rnd.randbytes(n)
+            assert not good(base64.b64encode(raw)[:n]) and not good(base64.encodebytes(raw)[:n]), n
+            assert not good(b" ".join(base64.b64encode(raw[i:i + 30]) for i in range(0, n, 30))[:n]), n
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(400)]
+    prose = " ".join(rnd.choices(vocabulary, k=5000)).encode()
+    assert good(prose[:20_000])
+    assert not good(prose[:10_000] + base64.b64encode(rnd.randbytes(10_000))[:10_000])
+    assert not good(prose[:14_000] + base64.b64encode(rnd.randbytes(10_000))[:8_000] + prose[14_000:20_000])
+
+
 def test_quality_keep_is_the_verdict(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept = quality.keep(docs)
