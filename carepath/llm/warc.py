@@ -8,8 +8,9 @@ last). A row therefore never exceeds a chunk, whatever the payload's size. Of
 equal payloads the one with the smallest id is the response, the others are
 revisits that name it.
 
-Spark's text writer puts the rows into gzip files (its committer makes them
-safe against lost tasks); the separator of the rows is the blank pair of lines that
+Spark's text writer puts the rows of a task into one gzip file, whatever their number,
+as a payload must not go on in another file (its committer makes the files safe
+against lost tasks); the separator of the rows is the blank pair of lines that
 ends a WARC record.
 
 Reading: files are streamed as text; a small state machine gives back the chunk
@@ -41,7 +42,6 @@ from carepath.llm.common import map_arrow, small_side
 from carepath.session import shared_path
 
 CHUNK_CHARS = 256 * 1024
-RECORDS_PER_FILE = 50_000
 MIN_REVISIT_BYTES = 0
 _END = "\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -123,7 +123,7 @@ def write(pages: DataFrame, path: str, *, chunk_chars: int = CHUNK_CHARS, **how)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     (map_arrow(with_references(pages, **how), run, "value string").write.option("lineSep", _END)
-     .option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", 0).text(path))
 
 
 class _Reader:

@@ -148,6 +148,19 @@ def test_round_trip(spark, pages_frame):
     assert warc.read_chunks(spark, empty).count() == 0
 
 
+def test_payloads_are_not_cut_by_files(spark, pages_frame, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 2, raising=False)
+    rows = [(i, f"http://h.example.com/{i}", f"{i} payload " * 60) for i in range(9)]
+    path = shared_path(spark, "warc-test")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        warc.write(pages_frame(rows).coalesce(1), path, chunk_chars=64)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = {r.page_id: r for r in warc.payloads(warc.read_chunks(spark, path)).collect()}
+    assert {i: r.payload_bytes for i, r in got.items()} == {i: len(p) for i, _, p in rows}
+
+
 def test_segments_follow_the_standard():
     got = list(warc.records(5, "http://a/", "é" * 25, None, 10))
     assert ["WARC-Type: response" in got[0], "WARC-Segment-Number: 1" in got[0]] == [True, True]
