@@ -1,8 +1,8 @@
 """Main text of web pages with site template removal.
 
 Pass 1 parses every page and hashes its element subtrees (tag, class, and the
-content of all children). Spark counts, per host, on how many pages each subtree
-occurs; one that recurs on at least ``min_pages`` pages and a share
+content of all children). Spark counts, per host, on how many distinct pages each
+subtree occurs (copies of a page count once); one that recurs on at least ``min_pages`` pages and a share
 ``min_share`` of the host's pages belongs to the site's template. Pass 2 parses
 again and drops, besides elements that name themselves boilerplate (nav, header,
 footer, aside, form, script, ...; class, id or role tokens such as ``ad`` or
@@ -10,8 +10,11 @@ footer, aside, form, script, ...; class, id or role tokens such as ``ad`` or
 ``main``), only that is read.
 
 Paragraphs, headings and quotations inside a marked article are never counted as
-template, however often they recur: a quotation or a copied article is content.
-Without a marked article they are counted like everything else.
+template, however often they recur: a quotation or a copied article is content. Nor
+is an element that holds such text outside links. Without a marked article they are counted like everything else.
+
+A host that holds nothing but copies of one page with a marked article counts them as
+pages; text that stands there in no text element is taken for template.
 
 A host keeps at most (subtrees per page) / ``min_share`` template hashes, so the
 list per host is bounded by page size. Hosts with hot counts are aggregated
@@ -24,7 +27,7 @@ by two line feeds in page order. Character references are decoded.
 
 Defined cases: a null or empty html has an empty text; a null url counts under the
 empty host; an unclosed or malformed element ends with its parent or the page;
-repeated rows are separate pages; an empty table gives an empty table; nesting
+repeated rows each have their text; an empty table gives an empty table; nesting
 beyond ``MAX_DEPTH`` is read flat; only the named columns are read.
 """
 
@@ -54,7 +57,8 @@ IN_TEXT = INLINE | frozenset("script style noscript template iframe object embed
                              "input label".split())
 ARTICLE = frozenset(("article", "main"))
 #: Text elements: content, not template, inside a marked article.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split()) | INLINE
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+PROSE = TEXT | INLINE
 #: Tokens of class, id and role that name boilerplate.
 NAMED = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu "
                   "breadcrumb breadcrumbs header masthead footer sidebar aside widget notice cookie cookies consent "
@@ -168,8 +172,15 @@ def _has_text(node: Node) -> bool:
     return any(c.strip() if isinstance(c, str) else _has_text(c) for c in node.children)
 
 
-def subtrees(html: str) -> set[int]:
-    """Hashes of the subtrees of a page that could belong to a template."""
+def _has_prose(node: Node, inside: bool = False) -> bool:
+    """Whether an element holds text of paragraphs, headings or the like outside links."""
+    inside = inside or node.tag in TEXT
+    return any(inside and bool(c.strip()) if isinstance(c, str) else
+               c.tag != "a" and not boilerplate(c) and _has_prose(c, inside) for c in node.children)
+
+
+def subtrees(html: str) -> tuple[set[int], bool]:
+    """Hashes of the subtrees of a page that could belong to a template; whether an article is marked."""
     out: set[int] = set()
 
     def walk(node: Node, marked: bool) -> None:
@@ -177,14 +188,14 @@ def subtrees(html: str) -> set[int]:
             if isinstance(child, str) or boilerplate(child):
                 continue
             if child.tag not in ("html", "body") and child.tag not in INLINE and not (marked and child.tag in PROSE) \
-                    and _has_text(child):
+                    and _has_text(child) and not (marked and _has_prose(child)):
                 out.add(child.key)
             walk(child, marked)
 
     tops, marked = _content(parse(html))
     for top in tops:
         walk(top, marked)
-    return out
+    return out, marked
 
 
 def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -207,7 +218,7 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
             elif boilerplate(child):
                 if child.tag not in IN_TEXT:
                     end()
-            elif child.key in template and not (marked and child.tag in PROSE):
+            elif child.key in template and not (marked and (child.tag in PROSE or _has_prose(child))):
                 end()
             elif child.tag in INLINE:
                 walk(child, marked)
@@ -230,21 +241,33 @@ def _host(df: DataFrame, url_col: str):
 def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
               min_share: float = MIN_SHARE) -> DataFrame:
     """(host, template array<long>): the subtrees that recur over a host's pages."""
-    read = pages.select(_host(pages, url_col).alias("host"), F.col(html_col).alias("h"))
+    read = pages.select(_host(pages, url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
+    read = read.withColumn("page", F.sha1("h"))
+    again = read.groupBy("host", "page").agg(F.count("*").alias("rows")).where("rows > 1")
+    known = read.join(small_side(again, 128), ["host", "page"], "left")
+    copied = known.where("rows is not null").groupBy("host", "page").agg(F.min("h").alias("h"), F.min("rows").alias("rows"))
+    distinct = known.where("rows is null").select("host", "h", F.lit(1).cast("long").alias("rows")).unionByName(
+        copied.select("host", "h", "rows"))
 
     def run(batch):
-        host, key = [], []
-        for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys = [0, *(k - (1 << 64) if k >> 63 else k for k in subtrees(html or ""))]   # 0 counts the page
+        host, key, rows = [], [], []
+        for name, html, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found, marked = subtrees(html)
+            keys = [0, *(k - (1 << 64) if k >> 63 else k for k in found)]   # 0 counts the page
             host += [name] * len(keys)
             key += keys
+            rows += [n if marked else 1] * len(keys)
         if host:
-            yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(key, pa.int64())], names=["host", "key"])
-
-    seen = staged(map_arrow(read, run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")),
-                  "subtrees").where(F.col("n") >= min_pages)
-    size = seen.where("key = 0").select("host", F.col("n").alias("pages"))
-    often = seen.where("key != 0").join(size, "host").where(F.col("n") >= min_share * F.col("pages"))
+            yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(key, pa.int64()), pa.array(rows, pa.int64())],
+                                             names=["host", "key", "rows"])
+
+    seen = staged(map_arrow(distinct, run, "host string, key long, rows long").groupBy("host", "key").agg(
+        F.count("*").alias("n"), F.sum("rows").alias("rows")), "subtrees").where(F.col("rows") >= min_pages)
+    size = seen.where("key = 0").select("host", F.col("n").alias("pages"), F.col("rows").alias("all_rows"))
+    one = F.col("pages") == 1
+    times = F.when(one, F.col("rows")).otherwise(F.col("n"))
+    often = seen.where("key != 0").join(size, "host").where(
+        (times >= min_pages) & (times >= min_share * F.when(one, F.col("all_rows")).otherwise(F.col("pages"))))
     return often.groupBy("host").agg(F.collect_list("key").alias("template"))
 
 

@@ -105,6 +105,23 @@ def test_templates_are_counted_per_host(pages_frame):
     assert html_extract.main_text(pages_frame([])).count() == 0
 
 
+def test_copies_are_not_templates(pages_frame):
+    """Copies of a page count once; containers of a marked article that hold prose stay."""
+    box = "<div>Our site, our pride</div>"
+    plain = f"<body>{box}<div><p>A long story</p>told again</div></body>"
+    rows = [(i, f"http://a.example.com/{i}", plain) for i in range(6)]
+    rows += [(10 + i, f"http://a.example.com/x{i}", f"<body>{box}<p>Other {i}</p></body>") for i in range(8)]
+    inner = "<div><p>One</p><ul><li>two</li></ul></div><section><table><tr><td>three</td></tr></table></section>"
+    rows += [(30 + i, f"http://b.example.com/{i}", f"<article>{inner}<div>Keep reading</div><ul><li><a>More</a></ul>"
+              f"<p>{i}</p></article>") for i in range(9)]
+    rows += [(50 + i, f"http://c.example.com/{i}", plain) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.main_text(pages_frame(rows)).collect()}
+    assert all(got[i] == "A long story\n\ntold again" for i in range(6))
+    assert all(got[10 + i] == f"Other {i}" for i in range(8))
+    assert all(got[30 + i] == f"One\n\ntwo\n\nthree\n\n{i}" for i in range(9))
+    assert all(got[50 + i] == "Our site, our pride\n\nA long story\n\ntold again" for i in range(9))
+
+
 def test_articles_of_the_tables(spark):
     """The tables' pages mark their article and hold only headings, paragraphs and bold text in it."""
     rows = duckdb.sql(f"select page_id, html from '{SF_SMALL}/pages.parquet'").fetchall()
