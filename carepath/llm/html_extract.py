@@ -88,11 +88,13 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#", "")
         self.open = [self.root]
+        self.flat: dict[str, int] = {}      # elements beyond MAX_DEPTH that wait for their end tags
 
     def _end_to(self, tags, stop) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 del self.open[i:]
+                self.flat.clear()
                 return
             if self.open[i].tag in stop:
                 return
@@ -105,18 +107,25 @@ class _Tree(HTMLParser):
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
         node = Node(tag, names)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+        if tag not in VOID:
+            if len(self.open) < MAX_DEPTH:
+                self.open.append(node)
+            else:
+                self.flat[tag] = self.flat.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
+                self.flat.clear()
                 return
 
     def handle_data(self, data):

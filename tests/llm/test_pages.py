@@ -88,6 +88,11 @@ def test_extraction_of_a_page():
     assert html_extract.extract(deep) == "x"
 
 
+def test_ends_beyond_the_depth_close_no_ancestor():
+    page = "<div><article><p>a</p>" + "<div>" * 420 + "x<div/>y" + "</div>" * 420 + "<p>after</p></article></div>"
+    assert html_extract.extract(page).split() == ["a", "x", "y", "after"]
+
+
 def test_templates_are_counted_per_host(pages_frame):
     box = "<div><section>Our site, our pride</section><p>Follow us today</p></div>"
     rows = [(i, f"http://site.example.com/{i}", f"<body>{box}<div><p>Story number {i}</p></div></body>") for i in range(12)]
