@@ -82,3 +82,14 @@ def small_side(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> Data
     """Hint a broadcast only for a side whose measured rows times ``row_bytes``
     stay under ``max_bytes``; beyond it the planner joins by shuffle."""
     return F.broadcast(df) if within(df, max_bytes // row_bytes) else df
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n: str, parts: int = 2000) -> DataFrame:
+    """``rows`` joined to the written table ``keyed``, which has one row per key and in ``n`` the number of
+    ``rows`` with it. Keys of more than a ``parts``-th of all rows (so at most ``parts`` of them) are
+    broadcast and their rows never shuffled; the others are joined by shuffle."""
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    bound = max(64, total // parts)
+    hot, rest = keyed.where(F.col(n) > bound).drop(n), keyed.where(F.col(n) <= bound).drop(n)
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
