@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.llm import (decontaminate, html_extract, near_dedup, quality, secret_scan, sentencepiece_codec, sharding,
-                          substring_dedup, token_counts, url_filter, warc)
+                          substring_dedup, token_counts, url_filter, warc, word_runs)
 from carepath.llm.common import table
 
 
@@ -57,9 +57,13 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_url_filters, op3_html_extraction, op4_sharding, op5_secret_scans, op6_near_dedup,
     op7_decontamination, op8_quality_rules, op9_warc, op10_substring_dedup,
-    op12_token_counts)}
+    op12_token_counts, op13_word_runs)}
 
 ORACLE_SQL = {"op2_url_filters": url_filter.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
