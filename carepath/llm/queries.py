@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import (decontaminate, html_extract, near_dedup, quality, secret_scan, sentencepiece_codec, sharding,
-                          substring_dedup, token_counts, url_filter, warc, word_runs)
+from carepath.llm import (decontaminate, html_extract, near_dedup, prefix_trie, quality, secret_scan, sentencepiece_codec,
+                          sharding, substring_dedup, token_counts, url_filter, warc, word_runs)
 from carepath.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,6 +68,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_url_filters, op3_html_extraction, op4_sharding, op5_secret_scans, op6_near_dedup,
     op7_decontamination, op8_quality_rules, op9_warc, op10_substring_dedup,
-    op12_token_counts, op13_word_runs)}
+    op11_prefix_trie, op12_token_counts, op13_word_runs)}
 
-ORACLE_SQL = {"op2_url_filters": url_filter.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_url_filters": url_filter.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL,
+              "op11_prefix_trie": prefix_trie.ORACLE_SQL}
