@@ -95,6 +95,7 @@ DOCTOR'S QUESTION: {question}
 Answer based only on the notes provided. Be concise and clinical.
 If the notes don't contain enough information, say so clearly."""
 
+# Fixed value: the answer when a patient has no notes.
 NO_NOTES_ANSWER = "No clinical notes found for this patient."
 
 _FIELD = re.compile(r"\{(\w+)\}")
@@ -115,34 +116,32 @@ def _py_str(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-def driver_lines(shap: DataFrame, style: str = "api") -> DataFrame:
-    """(subject_id, driver_lines): all attributions, |value| desc, one line each."""
-    r = serve.rank_drivers(shap)
-    name = X.driver_key("feature")
-    if style == "api":
-        line = F.format_string("  - %s: %s risk (impact=%s)", name, X.driver_direction("value"),
-                               X.fmt_fixed(F.abs("value"), 3))
-    else:
-        line = F.format_string("  - %s: SHAP=%s (%s risk)", name, X.fmt_fixed("value", 4, sign=True),
-                               X.driver_direction("value"))
-    return (r.groupBy("subject_id")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
-            .select("subject_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("driver_lines")))
+def driver_lines(drivers: Column, style: str = "api") -> Column:
+    """All ranked drivers of a row, one line each."""
+    def line(x: Column) -> Column:
+        name = X.driver_key(x["feature"])
+        if style == "api":
+            return F.format_string("  - %s: %s risk (impact=%s)", name, X.driver_direction(x["value"]),
+                                   X.fmt_fixed(F.abs(x["value"]), 3))
+        return F.format_string("  - %s: SHAP=%s (%s risk)", name, X.fmt_fixed(x["value"], 4, sign=True),
+                               X.driver_direction(x["value"]))
+    return F.array_join(F.transform(drivers, line), "\n")
 
 
-def top_driver_text(shap: DataFrame, k: int = 3) -> DataFrame:
-    """(subject_id, top_drivers): 'name (high|low impact)' for the k largest, comma separated."""
-    r = serve.top_drivers(shap, k)
-    item = F.format_string("%s (%s impact)", X.driver_key("feature"), X.driver_direction("value", "high", "low"))
-    return (r.groupBy("subject_id")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("s")))).alias("l"))
-            .select("subject_id", F.array_join(F.transform("l", lambda x: x["s"]), ", ").alias("top_drivers")))
+def top_driver_text(drivers: Column, k: int = 3) -> Column:
+    """'name (high|low impact)' for the k largest drivers of a row, comma separated."""
+    return F.array_join(F.transform(F.slice(drivers, 1, k), lambda x: F.format_string(
+        "%s (%s impact)", X.driver_key(x["feature"]), X.driver_direction(x["value"], "high", "low"))), ", ")
 
 
-def prompt_risk(profile: DataFrame, shap: DataFrame, style: str = "api") -> DataFrame:
-    """Risk explanation prompt per patient that has attributions."""
-    j = profile.join(driver_lines(shap, style), "subject_id", "inner")
-    vals = {
+def with_drivers(profile: DataFrame, shap: DataFrame, how: str) -> DataFrame:
+    """Profile rows with their ranked attributions in a column ``drivers`` (null without any)."""
+    return profile.join(shap.select("subject_id", serve.ranked_drivers(shap).alias("drivers")), "subject_id", how)
+
+
+def risk_text(style: str = "api") -> Column:
+    """Risk explanation prompt of a row of ``with_drivers``."""
+    return fill(RISK_PROMPT if style == "api" else RISK_PROMPT_CLI, {
         "subject_id": F.col("subject_id"),
         "risk_pct": X.fmt_percent("risk_score"),
         "risk_tier": _py_str(F.col("risk_tier")),
@@ -150,26 +149,45 @@ def prompt_risk(profile: DataFrame, shap: DataFrame, style: str = "api") -> Data
         "emergency_pct": X.fmt_percent("emergency_ratio"),
         "avg_stay": X.fmt_fixed("avg_los_days", 1),
         "days_since": X.fmt_fixed("days_since_last_admission", 0),
-        "driver_lines": F.col("driver_lines"),
-    }
-    return j.select("subject_id", fill(RISK_PROMPT if style == "api" else RISK_PROMPT_CLI, vals).alias("prompt"))
+        "driver_lines": driver_lines(F.col("drivers"), style),
+    })
 
 
-def prompt_discharge(profile: DataFrame, shap: DataFrame) -> DataFrame:
-    """Discharge-planning prompt per patient; missing ward/stay/score/drivers take defaults."""
-    j = profile.join(top_driver_text(shap), "subject_id", "left")
-    vals = {
+def discharge_text() -> Column:
+    """Discharge-planning prompt of a row of ``with_drivers``; missing ward/stay/score/drivers take defaults."""
+    return fill(DISCHARGE_PROMPT, {
         "subject_id": F.col("subject_id"),
         "risk_pct": X.fmt_percent(F.coalesce("risk_score", F.lit(0.0))),
         "risk_tier": _py_str(F.col("risk_tier")),
         "ward": F.coalesce("predicted_ward", F.lit("General")),
         "ward_context": X.ward_context(F.coalesce("predicted_ward", F.lit("General"))),
         "los": X.fmt_fixed(F.coalesce("estimated_los_days", F.lit(3.0)), 1),
-        "top_drivers": F.coalesce("top_drivers", F.lit("")),
+        "top_drivers": F.coalesce(top_driver_text(F.col("drivers")), F.lit("")),
         "admission_count": F.col("admission_count"),
         "emergency_pct": X.fmt_percent("emergency_ratio"),
-    }
-    return j.select("subject_id", fill(DISCHARGE_PROMPT, vals).alias("prompt"))
+    })
+
+
+def prompt_risk(profile: DataFrame, shap: DataFrame, style: str = "api") -> DataFrame:
+    """Risk explanation prompt per patient that has attributions."""
+    return with_drivers(profile, shap, "inner").select("subject_id", risk_text(style).alias("prompt"))
+
+
+def prompt_discharge(profile: DataFrame, shap: DataFrame) -> DataFrame:
+    """Discharge-planning prompt per patient."""
+    return with_drivers(profile, shap, "left").select("subject_id", discharge_text().alias("prompt"))
+
+
+def patient_report(profile: DataFrame, shap: DataFrame) -> DataFrame:
+    """One nested row per scored patient: summary and driver entries, both prompts.
+
+    Profile and attributions meet in one join; everything else is computed in the row.
+    """
+    j = with_drivers(profile, shap, "left")
+    return j.select("subject_id", serve.report_summary().alias("summary"),
+                    F.coalesce(serve.report_drivers(F.col("drivers")), F.array()).alias("drivers"),
+                    F.when(F.col("drivers").isNotNull(), risk_text()).alias("explanation_prompt"),
+                    discharge_text().alias("discharge_prompt"))
 
 
 def prompt_rag(context: DataFrame, style: str = "api") -> DataFrame:

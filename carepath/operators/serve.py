@@ -6,7 +6,7 @@ buckets, one stats row) are small enough to reach a client.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath import schemas as S
@@ -139,10 +139,26 @@ def shap_long(shap: DataFrame, key: str = "subject_id") -> DataFrame:
     return shap.select(key, F.inline(items))
 
 
+def ranked_drivers(shap: DataFrame) -> Column:
+    """A row's attributions as an array of (feature, position, value), |value| desc, feature order on ties.
+
+    The row holds every attribution of its patient, so ranking is a sort inside the row: no
+    shuffle and no window. Missing values come last.
+    """
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col(c).cast("double").alias("value"))
+                      for i, c in enumerate(c for c in shap.columns if c.startswith("shap_"))])
+
+    def earlier(a: Column, b: Column) -> Column:
+        x, y = (F.coalesce(F.abs(s["value"]), F.lit(-1.0)) for s in (a, b))
+        return F.when(x > y, -1).when(x < y, 1).otherwise(a["position"] - b["position"])
+    return F.array_sort(items, earlier)
+
+
 def rank_drivers(shap: DataFrame) -> DataFrame:
-    """Attributions of each patient ordered by |value| desc (stable: feature order breaks ties)."""
-    w = Window.partitionBy("subject_id").orderBy(F.desc(F.abs("value")), F.asc("position"))
-    return shap_long(shap).withColumn("rank", F.row_number().over(w))
+    """(subject_id, feature, position, value, rank): one row per attribution, in the order of ``ranked_drivers``."""
+    ranked = F.transform(ranked_drivers(shap), lambda x, i: F.struct(
+        x["feature"].alias("feature"), x["position"].alias("position"), x["value"].alias("value"), (i + 1).alias("rank")))
+    return shap.select("subject_id", F.inline(ranked))
 
 
 def top_drivers(shap: DataFrame, k: int = 3) -> DataFrame:
@@ -155,21 +171,25 @@ def shap_global(shap: DataFrame) -> DataFrame:
             .agg(X.stable(F.avg(F.abs("value"))).alias("mean_abs_shap")).drop("position"))
 
 
+def report_drivers(drivers: Column) -> Column:
+    """Report table lines of ranked drivers: readable name, |impact| to 4 dp, direction."""
+    return F.transform(drivers, lambda x, i: F.struct(
+        (i + 1).alias("rank"), X.driver_name(x["feature"]).alias("feature_name"),
+        X.fmt_fixed(F.abs(x["value"]), 4).alias("impact"),
+        X.driver_direction(x["value"], "↑ Increases Risk", "↓ Decreases Risk").alias("direction")))
+
+
 def report_driver_rows(shap: DataFrame) -> DataFrame:
-    """Report table rows: readable feature name, |impact| to 4 dp, direction."""
-    r = rank_drivers(shap)
-    return r.select("subject_id", "rank",
-                    X.driver_name("feature").alias("feature_name"),
-                    X.fmt_fixed(F.abs("value"), 4).alias("impact"),
-                    X.driver_direction("value", "↑ Increases Risk", "↓ Decreases Risk").alias("direction"))
+    return shap.select("subject_id", F.inline(report_drivers(ranked_drivers(shap))))
 
 
+# The report's summary fields.
 REPORT_FIELDS = ["Patient ID", "Risk Score", "Risk Tier", "Assigned Ward", "Est. Stay",
                  "Admissions", "Emergency Rate", "Avg Stay"]
 
 
-def report_summary_rows(profile: DataFrame) -> DataFrame:
-    """Eight (field, value) rows per patient for the report's summary table."""
+def report_summary() -> Column:
+    """Eight (position, field, value) entries of a profile row for the report's summary table."""
     vals = [
         F.col("subject_id").cast("string"),
         X.fmt_percent(F.coalesce("risk_score", F.lit(0.0))),
@@ -180,9 +200,12 @@ def report_summary_rows(profile: DataFrame) -> DataFrame:
         X.fmt_percent(F.coalesce("emergency_ratio", F.lit(0.0))),
         F.concat(X.fmt_fixed(F.coalesce("avg_los_days", F.lit(0.0)), 1), F.lit(" days")),
     ]
-    items = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("field"), v.alias("value"))
-                      for i, (name, v) in enumerate(zip(REPORT_FIELDS, vals))])
-    return profile.select("subject_id", F.inline(items))
+    return F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(name).alias("field"), v.alias("value"))
+                     for i, (name, v) in enumerate(zip(REPORT_FIELDS, vals, strict=True))])
+
+
+def report_summary_rows(profile: DataFrame) -> DataFrame:
+    return profile.select("subject_id", F.inline(report_summary()))
 
 
 def ward_summary(profile: DataFrame) -> DataFrame:

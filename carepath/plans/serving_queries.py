@@ -287,12 +287,12 @@ def q_report_summary_rows(spark, sf_dir):
     return SV.report_summary_rows(_profile(Clinic(spark, sf_dir)))
 
 
+_FEATURE_NAME = ("CASE feature WHEN 'shap_admission_count' THEN 'Admission Count' WHEN 'shap_emergency_ratio' THEN 'Emergency Ratio' "
+                 "WHEN 'shap_days_since_last_admission' THEN 'Days Since Last Admission' ELSE 'Has Previous Admission' END")
+
+
 @register("report_driver_rows", f"""
-SELECT subject_id, rank,
-       CASE feature WHEN 'shap_admission_count' THEN 'Admission Count' WHEN 'shap_emergency_ratio' THEN 'Emergency Ratio'
-            WHEN 'shap_days_since_last_admission' THEN 'Days Since Last Admission' ELSE 'Has Previous Admission' END
-         AS feature_name,
-       {fmt('abs(value)', 4)} AS impact,
+SELECT subject_id, rank, {_FEATURE_NAME} AS feature_name, {fmt('abs(value)', 4)} AS impact,
        CASE WHEN value > 0 THEN '↑ Increases Risk' ELSE '↓ Decreases Risk' END AS direction
 FROM drivers""")
 def q_report_driver_rows(spark, sf_dir):
@@ -340,30 +340,35 @@ _DISCHARGE_VALS = {
 }
 
 
-@register("prompt_discharge", f"""
+_DISCHARGE_SQL = f"""
 SELECT p.subject_id, {fill(P.DISCHARGE_PROMPT, _DISCHARGE_VALS)} AS prompt
 FROM profile p LEFT JOIN (
   SELECT subject_id, string_agg(printf('%s (%s impact)', replace(feature, 'shap_', ''),
                                        CASE WHEN value > 0 THEN 'high' ELSE 'low' END), ', ' ORDER BY rank) AS top_drivers
-  FROM drivers WHERE rank <= 3 GROUP BY subject_id) t ON p.subject_id = t.subject_id""")
+  FROM drivers WHERE rank <= 3 GROUP BY subject_id) t ON p.subject_id = t.subject_id"""
+
+
+@register("prompt_discharge", _DISCHARGE_SQL)
 def q_prompt_discharge(spark, sf_dir):
     c = Clinic(spark, sf_dir)
     return P.prompt_discharge(_profile(c), c.shap_fixture)
 
 
-@register("patient_report")
+_DIRECTION = "CASE WHEN value > 0 THEN '↑ Increases Risk' ELSE '↓ Decreases Risk' END"
+_SUMMARY_LIST = ", ".join(f"{{'position': {i + 1}, 'field': {lit(name)}, 'value': {v}}}"
+                          for i, (name, v) in enumerate(_SUMMARY_VALUES))
+
+
+@register("patient_report", f"""
+SELECT p.subject_id, p.summary, COALESCE(d.drivers, '[]') AS drivers, r.prompt AS explanation_prompt, g.prompt AS discharge_prompt
+FROM (SELECT subject_id, CAST(to_json([{_SUMMARY_LIST}]) AS VARCHAR) AS summary FROM profile) p LEFT JOIN (
+  SELECT subject_id, CAST(to_json(list({{'rank': rank, 'feature_name': {_FEATURE_NAME}, 'impact': {fmt('abs(value)', 4)},
+                                        'direction': {_DIRECTION}}} ORDER BY rank)) AS VARCHAR) AS drivers
+  FROM drivers GROUP BY subject_id) d ON d.subject_id = p.subject_id
+LEFT JOIN ({_risk_prompt_sql(P.RISK_PROMPT, _API_LINE)}) r ON r.subject_id = p.subject_id
+LEFT JOIN ({_DISCHARGE_SQL}) g ON g.subject_id = p.subject_id""")
 def q_patient_report(spark, sf_dir):
-    """One nested row per scored patient: summary rows, driver rows, both prompts."""
+    """One row per scored patient: summary and driver entries as JSON, both prompts."""
     c = Clinic(spark, sf_dir)
-    prof = _profile(c)
-    summary = (SV.report_summary_rows(prof).groupBy("subject_id")
-               .agg(F.array_sort(F.collect_list(F.struct("position", "field", "value"))).alias("summary")))
-    drivers = (SV.report_driver_rows(c.shap_fixture).groupBy("subject_id")
-               .agg(F.array_sort(F.collect_list(F.struct("rank", "feature_name", "impact", "direction")))
-                    .alias("drivers")))
-    risk = P.prompt_risk(prof, c.shap_fixture).withColumnRenamed("prompt", "explanation_prompt")
-    dis = P.prompt_discharge(prof, c.shap_fixture).withColumnRenamed("prompt", "discharge_prompt")
-    out = (prof.select("subject_id").join(summary, "subject_id", "left").join(drivers, "subject_id", "left")
-           .join(risk, "subject_id", "left").join(dis, "subject_id", "left"))
-    return out.select("subject_id", "summary", F.coalesce("drivers", F.array()).alias("drivers"),
-                      "explanation_prompt", "discharge_prompt")
+    return P.patient_report(_profile(c), c.shap_fixture).withColumns(
+        {k: F.to_json(k) for k in ("summary", "drivers")})

@@ -47,3 +47,21 @@ def test_scans_prune_columns(spark):
     c = Clinic(spark, SF_SMALL)
     plan = _plan(c.base_features)
     assert "o_totalprice" not in plan and "o_orderstatus" not in plan
+
+
+def test_drivers_are_ranked_in_the_row(spark):
+    for name in ("rank_drivers", "top3_drivers", "report_driver_rows"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "Exchange" not in plan and "Window" not in plan, name
+
+
+def test_report_reads_each_table_once(spark):
+    from carepath.operators import serve as SV
+    c = Clinic(spark, SF_SMALL)
+    used = SV.patient_profile(c.scores, c.features).select(
+        "subject_id", "risk_score", "risk_tier", "predicted_ward", "estimated_los_days", "admission_count", "emergency_ratio",
+        "avg_los_days", "days_since_last_admission")
+    report, profile = (df._jdf.queryExecution().optimizedPlan().toString()
+                       for df in (E.queries()["patient_report"](spark, SF_SMALL), used))
+    # the profile's scans and one more of the attributions' table
+    assert report.count("Relation [") == profile.count("Relation [") + 1
