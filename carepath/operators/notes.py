@@ -10,23 +10,37 @@ vectorizer fits the notes and is applied to questions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carepath.functions import scalar as X
 from carepath.operators import prompts as P
-from carepath.operators.joins import spread
+from carepath.operators.joins import sized_broadcast, spread
+from carepath.session import shared_path
 
 # tokenisation = lower case, split on ASCII whitespace runs.
 TOKEN_SPLIT = "[ \t\n\r\f]+"
+#: Notes per patient that the index lists apart; twice the largest k of a retrieval.
+HEADS = 20
+#: Partial scores are compared with this much to spare, far above their rounding.
+SLACK = 1e-6
+
+
+def _text_of(c: str, missing: str) -> Column:
+    """A metadata value as Python's str() prints it: a missing category is 'None', a missing time 'NaT'."""
+    return F.coalesce(F.col(c).cast("string"), F.lit(missing))
 
 
 def note_documents(notes: DataFrame, with_charttime: bool = True) -> DataFrame:
     """page_content + metadata per note (metadata flattened into columns)."""
     meta = [F.col("subject_id").alias("meta_subject_id"), F.col("hadm_id").alias("meta_hadm_id")]
     if with_charttime:
-        meta.append(F.col("charttime").cast("string").alias("meta_charttime"))
-    meta.append(F.col("category").cast("string").alias("meta_category"))
+        meta.append(_text_of("charttime", "NaT").alias("meta_charttime"))
+    meta.append(_text_of("category", "None").alias("meta_category"))
     return notes.select("note_id", F.col("text").alias("page_content"), *meta)
 
 
@@ -69,20 +83,63 @@ def vectorize_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _weights(tf, idf, "note_id"), idf
 
 
-def build_note_index(notes: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Note vectors and idf as stored tables under ``root`` (a shared folder).
+@dataclass
+class NoteIndex:
+    """The stored tables of one build of the note index.
 
-    Term counts are written once; idf and the normalised weights are each
-    computed from the stored counts, so tokenisation runs once however many
-    tables read it, and every stage survives executor loss as a file.
+    ``docs``: the cleaned notes. ``postings``: (subject_id, note_id, term, weight). Both are range-partitioned
+    on (subject_id, note_id) and ordered by them, so a patient's rows are a few row groups and
+    a hot patient's are many files. ``terms``: (subject_id, term, max_weight, n_notes), the head of each
+    patient's list of a term. ``heads``: each patient's first ``HEADS`` notes. ``idf``: (term, idf).
     """
+
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    heads: DataFrame
+    idf: DataFrame
+
+    TABLES = ("docs", "postings", "terms", "heads", "idf")
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> NoteIndex:
+        return cls(*[spark.read.parquet(f"{folder}/{t}") for t in cls.TABLES])
+
+    def of_patients(self, asked: DataFrame, max_ids: int = 1000) -> NoteIndex:
+        """The same index read for the patients in ``asked`` only.
+
+        Up to ``max_ids`` distinct ids become a list that is pushed down to the scans, which skip the
+        files and row groups of other patients; with more the joins have to do.
+        """
+        ids = [r.subject_id for r in asked.select("subject_id").distinct().limit(max_ids + 1).collect()]
+        if len(ids) > max_ids:
+            return self
+        near = F.col("subject_id").isin([i for i in ids if i is not None])
+        return NoteIndex(*[getattr(self, t).where(near) for t in ("docs", "postings", "terms", "heads")], self.idf)
+
+
+def build_note_index(notes: DataFrame, folder: str, partitions: int | None = None) -> None:
+    """Write the tables of ``NoteIndex`` under ``folder``; each is made from the stored one before it."""
     spark = notes.sparkSession
-    tokens(notes, "note_id", "text", ["subject_id"]).write.mode("overwrite").parquet(f"{root}/tf")
-    tf = spark.read.parquet(f"{root}/tf")
-    fit_idf(tf, notes.select(F.count(F.lit(1))).scalar()).write.mode("overwrite").parquet(f"{root}/idf")
-    idf = spark.read.parquet(f"{root}/idf")
-    _weights(tf, idf, "note_id").write.mode("overwrite").parquet(f"{root}/vectors")
-    return spark.read.parquet(f"{root}/vectors"), idf
+    clustered = ["subject_id", "note_id"]
+
+    def write(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
+        if order:
+            dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+            df = dealt.sortWithinPartitions(*order)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    docs = write(notes.select("note_id", "subject_id", "hadm_id", "charttime", "category", "text"), "docs", clustered)
+    tf = write(tokens(docs, "note_id", "text", ["subject_id"]), "counts")
+    idf = write(fit_idf(tf, docs.select(F.count(F.lit(1))).scalar()), "idf")
+    postings = write(_weights(tf, idf, "note_id").select("subject_id", "note_id", "term", "weight"), "postings",
+                     [*clustered, "term"])
+    write(postings.groupBy("subject_id", "term").agg(F.max("weight").alias("max_weight"), F.count("*").alias("n_notes")),
+          "terms", ["subject_id", "term"])
+    first = Window.partitionBy("subject_id").orderBy("note_id")
+    write(docs.select("subject_id", "note_id").withColumn("place", F.row_number().over(first))
+          .where(F.col("place") <= HEADS), "heads", ["subject_id"])
 
 
 def vectorize_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
@@ -91,47 +148,130 @@ def vectorize_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
     return _weights(tf, idf, "question_id")
 
 
-def retrieve_topk(questions: DataFrame, notes: DataFrame, note_vecs: DataFrame, q_vecs: DataFrame,
-                  k: int = 3) -> DataFrame:
-    """The k most similar notes of the question's own patient (exact cosine).
+def retrieve_topk(questions: DataFrame, q_vecs: DataFrame, index: NoteIndex, k: int = 3, probe: int = 4) -> DataFrame:
+    """The k most similar notes of the question's own patient (exact cosine), by the inverted lists.
+
+    A term adds at most its question weight times the largest weight in the patient's list of it. The
+    ``probe`` terms with the highest such bounds are scored first; the k-th best partial score is a
+    floor for the answer. The terms with the lowest bounds whose sum stays under this floor cannot bring a
+    note in by themselves: only notes with one of the other terms are candidates, and
+    those lists are read for candidates alone. Notes that share no term score 0; k of them
+    at most are wanted, and the patient's first 2k notes hold these.
 
-    Candidates are all notes of that patient (a question scans its patient's
-    notes, never all notes); overlapping terms add their weight products.
-    Weights and scores are rounded to 9 places, so copies of a document tie
-    exactly and the lower note_id wins. The top-k window is limited per map task
-    before its shuffle (WindowGroupLimit), so a patient with a third of all
-    notes still ships only k rows per task and question.
+    So a question is joined to lists of its terms, never to all notes. Weights and scores are rounded to 9 places,
+    so copies of a note tie exactly and the lower note_id wins. Top-k windows are limited per map task before
+    their shuffle (WindowGroupLimit): a patient with a third of all notes ships k rows per task and question.
     """
-    dots = (q_vecs.select("question_id", "subject_id", "term", F.col("weight").alias("qw"))
-            .join(note_vecs.select("note_id", "subject_id", "term", F.col("weight").alias("nw")),
-                  ["subject_id", "term"])
-            .groupBy("question_id", "note_id").agg(X.stable(F.sum(F.col("qw") * F.col("nw"))).alias("score")))
-    cand = questions.select("question_id", "subject_id").join(notes.select("note_id", "subject_id"), "subject_id")
-    scored = cand.join(dots, ["question_id", "note_id"], "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0)))
+    if 2 * k > HEADS:
+        raise ValueError(f"k is at most {HEADS // 2}")
+    spark = questions.sparkSession
+    best_first = Window.partitionBy("question_id").orderBy(F.desc("bound"), "term")
+    bounds = (q_vecs.join(index.terms, ["subject_id", "term"])
+              .select("question_id", "subject_id", "term", F.col("weight").alias("qw"),
+                      (F.col("weight") * F.col("max_weight")).alias("bound")))
+    path = shared_path(spark, "question_terms")
+    (bounds.withColumn("place", F.row_number().over(best_first))
+     .withColumn("rest", F.sum("bound").over(best_first.rowsBetween(0, Window.unboundedFollowing)))
+     .write.parquet(path))
+    terms = spark.read.parquet(path)
+    lists = index.postings.select("subject_id", "note_id", "term", F.col("weight").alias("nw"))
+
+    def partial(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("question_id", "subject_id", "note_id").agg(F.sum(F.col("qw") * F.col("nw")).alias("part"))
+
+    by_score = Window.partitionBy("question_id").orderBy(F.desc("part"), "note_id")
+    floor = (partial(terms.where(F.col("place") <= probe).join(lists, ["subject_id", "term"]))
+             .withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k).groupBy("question_id")
+             .agg(F.when(F.count("*") == k, F.min("part")).otherwise(F.lit(0.0)).alias("floor")))
+    judged = terms.join(floor, "question_id", "left").withColumn(
+        "leads", F.col("rest") >= F.coalesce("floor", F.lit(0.0)) - SLACK)
+    path = shared_path(spark, "question_parts")
+    partial(judged.where("leads").join(lists, ["subject_id", "term"])).write.parquet(path)
+    leading = spark.read.parquet(path)
+    others = (leading.select("question_id", "subject_id", "note_id")
+              .join(judged.where("not leads").select("question_id", "term", "qw"), "question_id")
+              .join(lists, ["subject_id", "note_id", "term"]))
+    scored = (leading.unionByName(partial(others)).groupBy("question_id", "subject_id", "note_id")
+              .agg(X.stable(F.sum("part")).alias("score")))
+    fillers = (questions.select("question_id", "subject_id")
+               .join(index.heads.where(F.col("place") <= 2 * k), "subject_id")
+               .select("question_id", "subject_id", "note_id", F.lit(0.0).alias("score")))
+    every = scored.unionByName(fillers).groupBy("question_id", "subject_id", "note_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("note_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def retrieve_topk_vectors(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """Exact k nearest given dense vectors (squared L2) within the query's patient.
-
-    ``queries``: (question_id, subject_id, qvec); ``vectors``: (note_id, subject_id, embedding).
-    Distances are array expressions (JVM-side); ties go to the lower note_id.
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(lists) and (len(flat) % len(lists) or np.any(np.diff(lists.offsets.to_numpy()) != len(flat) // len(lists))):
+        raise ValueError("vectors of one patient have different lengths")
+    return flat.reshape(len(lists), -1)
+
+
+def _nearest_in_block(k: int):
+    def run(notes: pa.Table, questions: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"question_id": [], "subject_id": [], "note_id": [], "dist": []}
+        if notes.num_rows and questions.num_rows:
+            x, q, ids = _matrix(notes["embedding"]), _matrix(questions["qvec"]), notes["note_id"].to_numpy()
+            xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
+            near = qq[:, None] + xx[None, :] - 2.0 * (q @ x.T)
+            kth = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            # the product's rounding error: whatever could belong to the k nearest is measured again
+            slack = 1e-8 + 1e-12 * (qq + xx.max())
+            asked, subjects = questions["question_id"].to_pylist(), questions["subject_id"].to_pylist()
+            for row in range(len(q)):
+                at = np.flatnonzero(near[row] <= kth[row] + slack[row])
+                dist = np.round(((x[at] - q[row]) ** 2).sum(axis=1), 9)
+                for i in np.lexsort((ids[at], dist))[:k].tolist():
+                    for name, value in zip(out, (asked[row], subjects[row], int(ids[at[i]]), float(dist[i])), strict=True):
+                        out[name].append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
+    return run
+
+
+def retrieve_topk_vectors(queries: DataFrame, vectors: DataFrame, k: int = 3, note_block: int = 4096,
+                          question_block: int = 512) -> DataFrame:
+    """Exact k nearest given dense vectors (squared L2, 9 places) within the query's patient.
+
+    ``queries``: (question_id, subject_id, qvec); ``vectors``: (note_id, subject_id, embedding). Each patient's
+    notes and questions are dealt into blocks; a task takes one block of each, forms their distances as one matrix
+    product and keeps k rows per question, so no (question, note) pair becomes a row and a hot patient is
+    many tasks. Ties go to the lower note_id. Rows without a vector or patient take no part.
     """
-    d = F.aggregate(F.zip_with("qvec", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                    lambda acc, x: acc + x)
-    pairs = queries.join(vectors, "subject_id").select("question_id", "subject_id", "note_id", d.alias("dist"))
+    spark = queries.sparkSession
+    asked = queries.where("qvec is not null").select("question_id", "subject_id", "qvec")
+    held = vectors.where("embedding is not null").select("note_id", "subject_id", "embedding")
+    sizes = (held.groupBy("subject_id").agg(F.count("*").alias("n")).join(
+        asked.groupBy("subject_id").agg(F.count("*").alias("m")), "subject_id")
+        .select("subject_id", F.ceil(F.col("n") / note_block).alias("note_blocks"),
+                F.ceil(F.col("m") / question_block).alias("question_blocks")))
+    path = shared_path(spark, "vector_blocks")
+    sizes.write.parquet(path)
+    sizes = sized_broadcast(spark.read.parquet(path))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    note_side = held.join(sizes, "subject_id").select(
+        "note_id", "subject_id", "embedding", F.pmod(F.xxhash64("note_id"), "note_blocks").alias("nb"),
+        each("question_blocks").alias("qb"))
+    # the alias keeps its columns apart when notes ask for notes
+    question_side = asked.join(sizes, "subject_id").select(
+        "question_id", F.col("subject_id").alias("subject_id"), "qvec", each("note_blocks").alias("nb"),
+        F.pmod(F.xxhash64("question_id"), "question_blocks").alias("qb"))
+    key = ["subject_id", "nb", "qb"]
+    hits = note_side.groupBy(*key).cogroup(question_side.groupBy(*key)).applyInArrow(
+        _nearest_in_block(k), "question_id long, subject_id long, note_id long, dist double")
     w = Window.partitionBy("question_id").orderBy(F.asc("dist"), F.asc("note_id"))
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style: str = "api") -> DataFrame:
     """Per question: the hits' "[category]\\ntext" (API) or "[category - charttime]\\ntext" (CLI),
     blank-line separated in rank order. Groups hold at most k rows."""
-    # metadata values print as Python's str(): a missing category is 'None', a missing time 'NaT'
-    n = notes.select("note_id", F.coalesce(F.col("category").cast("string"), F.lit("None")).alias("cat"),
-                     F.coalesce(F.col("charttime").cast("string"), F.lit("NaT")).alias("ct"), "text")
+    n = notes.select("note_id", _text_of("category", "None").alias("cat"), _text_of("charttime", "NaT").alias("ct"), "text")
     j = hits.select("question_id", "note_id", "rank").join(n, "note_id")
     head = (F.format_string("[%s]", F.col("cat")) if style == "api"
             else F.format_string("[%s - %s]", F.col("cat"), F.col("ct")))
@@ -142,14 +282,13 @@ def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style:
 
 
 def rag_sources(hits: DataFrame, notes: DataFrame, questions: DataFrame) -> DataFrame:
-    """Per question: number of sources, their metadata as text (rank order), fixed answer when none."""
-    n = notes.select("note_id", "subject_id", "hadm_id", "category")
-    meta = F.format_string("subject_id=%s, hadm_id=%s, category=%s", F.col("subject_id").cast("string"),
-                           F.col("hadm_id").cast("string"), F.coalesce(F.col("category"), F.lit("None")))
+    """Per question: its sources as a list of metadata in rank order, and the fixed answer when there are none."""
+    n = notes.select("note_id", "subject_id", "hadm_id", _text_of("category", "None").alias("category"))
     src = (hits.select("question_id", "note_id", "rank").join(n, "note_id")
-           .groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", meta.alias("m")))).alias("l")))
+           .groupBy("question_id").agg(F.array_sort(F.collect_list(
+               F.struct("rank", F.struct("subject_id", "hadm_id", "category").alias("m")))).alias("l")))
     j = questions.select("question_id", "subject_id").join(src, "question_id", "left")
     return j.select("question_id", "subject_id",
                     F.coalesce(F.size("l"), F.lit(0)).alias("n_sources"),
-                    F.coalesce(F.array_join(F.transform("l", lambda x: x["m"]), "; "), F.lit("")).alias("sources"),
+                    F.coalesce(F.transform("l", lambda x: x["m"]), F.array()).alias("sources"),
                     F.when(F.col("l").isNull(), F.lit(P.NO_NOTES_ANSWER)).alias("fixed_answer"))
