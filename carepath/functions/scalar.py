@@ -198,6 +198,5 @@ def clean_report_text(t: str | Column) -> Column:
 
 
 def round_confidence(prob: str | Column) -> Column:
-    """Largest class probability, rounded half-even to 3 places."""
-    from pyspark.ml.functions import vector_to_array
-    return F.bround(F.array_max(vector_to_array(_c(prob))), 3)
+    """Largest of an array of class probabilities, rounded to 3 places as numpy does (half-even on the product)."""
+    return F.rint(F.array_max(_c(prob)) * 1000) / 1000

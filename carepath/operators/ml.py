@@ -8,9 +8,15 @@ small aggregate row, bound into the plan as literals. Metrics aggregate
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,17 +58,21 @@ def kept_features(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if c in keep]
 
 
-def stratified_split(df: DataFrame, label: str = "label", test_fraction: float = 0.2,
+def _shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """A pseudo-random order of the rows by key and seed that any engine can compute."""
+    return df.withColumn("_h", F.md5(F.concat(F.col("subject_id").cast("string"), F.lit(f":{seed}")).cast("binary")))
+
+
+def stratified_split(df: DataFrame, label: str = "label", test_fraction: str = "0.2",
                      seed: int = SEED) -> DataFrame:
-    """Adds ``split`` in {train, test}: exactly ceil(f·n_c) test rows per class.
+    """Adds ``split`` in {train, test}: exactly ceil(f·n_c) test rows per class (``test_fraction`` is a decimal).
 
-    Rows are ordered by a seeded hash of the key within their class; the
+    Rows are ordered by a seeded digest of the key within their class; the
     class counts (one number per class) set the cut.
     """
-    h = df.withColumn("_h", F.xxhash64("subject_id", F.lit(seed)))
-    ranked = rank_within(h, [label], ["_h", "subject_id"], name="_r")
+    ranked = rank_within(_shuffled(df, seed), [label], ["_h", "subject_id"], name="_r")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    cut = counts.select(label, F.ceil(F.col("_n") * F.lit(test_fraction)).alias("_cut"))
+    cut = counts.select(label, F.ceil(F.col("_n") * F.lit(Decimal(test_fraction))).alias("_cut"))
     return (ranked.join(sized_broadcast(cut), label)
                   .withColumn("split", F.when(F.col("_r") < F.col("_cut"), "test").otherwise("train"))
                   .drop("_h", "_r", "_cut"))
@@ -70,8 +80,7 @@ def stratified_split(df: DataFrame, label: str = "label", test_fraction: float =
 
 def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, seed: int = SEED) -> DataFrame:
     """Adds ``fold`` in 0..k-1: class sizes per fold differ by at most one."""
-    h = df.withColumn("_h", F.xxhash64("subject_id", F.lit(seed)))
-    return (rank_within(h, [label], ["_h", "subject_id"], name="_r")
+    return (rank_within(_shuffled(df, seed), [label], ["_h", "subject_id"], name="_r")
             .withColumn("fold", (F.col("_r") % k).cast("int")).drop("_h", "_r"))
 
 
@@ -110,6 +119,12 @@ def _assembler(cols: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
 
 
+def sized(train: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
+    """Training rows in partitions of about ``rows_per_partition``: a tree level is one job over all partitions,
+    so few rows should not be many tasks, while a large table keeps its many."""
+    return train.coalesce(max(1, math.ceil(train.count() / rows_per_partition)))
+
+
 def train_logistic(train: DataFrame, cols: list[str]) -> PipelineModel:
     """L2 logistic regression at C = 1 on standardized inputs with balanced weights."""
     n = train.count()
@@ -121,7 +136,7 @@ def train_logistic(train: DataFrame, cols: list[str]) -> PipelineModel:
 def train_forest(train: DataFrame, cols: list[str], trees: int = 100, depth: int = 30) -> PipelineModel:
     """Balanced forest; ``depth`` is the deepest Spark grows, in place of no limit."""
     rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=SEED)
-    return Pipeline(stages=[_assembler(cols), rf]).fit(train)
+    return Pipeline(stages=[_assembler(cols), rf]).fit(sized(train))
 
 
 def train_gbt(train: DataFrame, cols: list[str], rounds: int = 100, depth: int = 4, step: float = 0.1,
@@ -129,7 +144,7 @@ def train_gbt(train: DataFrame, cols: list[str], rounds: int = 100, depth: int =
     """Boosted trees; positives weighted neg/pos by the caller's ``weight`` column."""
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
                         featureSubsetStrategy=colsample, weightCol="weight", seed=SEED, maxBins=64)
-    return Pipeline(stages=[_assembler(cols), gbt]).fit(train)
+    return Pipeline(stages=[_assembler(cols), gbt]).fit(sized(train))
 
 
 def train_gbt_base(train: DataFrame, cols: list[str] = S.BASIC_FEATURES, rounds: int = 100) -> PipelineModel:
@@ -156,22 +171,43 @@ def ward_indexer() -> StringIndexer:
     return StringIndexer(inputCol="predicted_ward", outputCol="label", stringOrderType="alphabetAsc")
 
 
-def train_ward(train: DataFrame, cols: list[str] = S.WARD_FEATURES, trees: int = 100, depth: int = 4) -> PipelineModel:
-    """Multiclass ward model: indexer -> assembler -> forest (native multiclass probabilities)."""
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[ward_indexer(), _assembler(cols), rf]).fit(train)
+def train_ward(train: DataFrame, cols: list[str] = S.WARD_FEATURES, rounds: int = 100, depth: int = 4,
+               step: float = 0.1, weight: str | None = None) -> PipelineModel:
+    """Boosted multiclass ward model: indexer -> assembler -> one boosted model per ward against the rest.
+
+    The wards' models are fitted in parallel; ``weight`` names a column of row weights, as ``class_weights`` adds.
+    """
+    gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED, maxBins=64)
+    each = OneVsRest(classifier=gbt, parallelism=4)
+    if weight:
+        each.setWeightCol(weight)
+    return Pipeline(stages=[ward_indexer(), _assembler(cols), each]).fit(sized(train))
+
+
+def ward_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds ``ward_probabilities``: per ward (in label order) its model's probability, normalised to sum to one."""
+    out = model.stages[1].transform(df)
+    for i, m in enumerate(model.stages[-1].models):     # as many as there are wards
+        out = (m.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1])
+               .drop("rawPrediction", "probability", "prediction"))
+    each = [f"_p{i}" for i in range(len(model.stages[-1].models))]
+    total = sum((F.col(c) for c in each[1:]), F.col(each[0]))
+    return out.withColumn("ward_probabilities", F.array(*[F.col(c) / total for c in each])).drop("features", *each)
 
 
 def score_ward(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Predicted ward for every row, with the largest class probability (3 dp)."""
-    labels = model.stages[0].labels
-    rf = model.stages[-1]
-    feats = model.stages[1].transform(df)
-    out = rf.transform(feats)
-    decode = IndexToString(inputCol="prediction", outputCol="ward_pred", labels=labels)
-    out = decode.transform(out)
-    return (out.withColumn("ward_probability", X.round_confidence("probability"))
-               .drop("features", "rawPrediction", "probability", "prediction"))
+    """Predicted ward for every row, with the largest class probability (3 dp); the first label wins a tie."""
+    labels = F.array(*map(F.lit, model.stages[0].labels))
+    p = F.col("ward_probabilities")
+    return (ward_probabilities(model, df)
+            .withColumn("ward_pred", F.element_at(labels, F.array_position(p, F.array_max(p)).cast("int")))
+            .withColumn("ward_probability", X.round_confidence("ward_probabilities")).drop("ward_probabilities"))
+
+
+def ward_importance(spark: SparkSession, model: PipelineModel, cols: list[str] = S.WARD_FEATURES) -> DataFrame:
+    """(feature, importance): mean of the wards' models, sorted desc."""
+    each = [m.featureImportances.toArray() for m in model.stages[-1].models]
+    return _importances(spark, cols, (sum(each) / len(each)).tolist())
 
 
 # ---------------------------------------------------------------- metrics
@@ -249,22 +285,50 @@ def cv_summary(fold_scores: DataFrame, col: str = "roc_auc") -> DataFrame:
     return fold_scores.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.count(col).alias("folds"))
 
 
+def _importances(spark: SparkSession, cols: list[str], values: list[float]) -> DataFrame:
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, values, strict=True)], "feature string, importance double") \
+                .orderBy(F.desc("importance"), F.asc("feature"))
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel, cols: list[str]) -> DataFrame:
     """(feature, importance) sorted desc — a vector as long as the feature list."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)], "feature string, importance double") \
-                .orderBy(F.desc("importance"), F.asc("feature"))
+    return _importances(spark, cols, model.stages[-1].featureImportances.toArray().tolist())
 
 
-def cross_validate(df: DataFrame, cols: list[str], fit, k: int = 5) -> DataFrame:
-    """Per-fold ROC-AUC: train on k-1 folds, score the held-out one."""
+def holdout_report(pred: DataFrame) -> DataFrame:
+    """Report rows of hold-out predictions, each with the ROC-AUC and the gate message."""
+    gate = quality_gate(roc_auc(pred))
+    return classification_report(pred, prediction="risk_prediction").withColumns(
+        {c: gate.select(c).scalar() for c in ("roc_auc", "gate")})
+
+
+def fold_predictions(df: DataFrame, fit, k: int = 5) -> DataFrame:
+    """(subject_id, label, fold, risk_score, risk_prediction): every row scored by the model of the other folds.
+
+    The folds' models are fitted side by side, one driver thread each: a fit is a chain of small jobs, so
+    one alone leaves most of a cluster idle.
+    """
     folded = stratified_folds(df, k=k).checkpoint(eager=True)
-    rows = None
-    for f in range(k):
+
+    def one(f: int) -> DataFrame:
         model = fit(folded.filter(F.col("fold") != f))
-        auc = roc_auc(score(model, folded.filter(F.col("fold") == f))).withColumn("fold", F.lit(f))
-        rows = auc if rows is None else rows.unionByName(auc)
-    return rows
+        return score(model, folded.filter(F.col("fold") == f)).select(
+            "subject_id", "label", "fold", "risk_score", "risk_prediction")
+
+    with ThreadPool(k) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fold_auc(pred: DataFrame, k: int = 5) -> DataFrame:
+    """(roc_auc, fold) of predictions with a ``fold`` column."""
+    return reduce(DataFrame.unionByName, [
+        roc_auc(pred.filter(F.col("fold") == f)).withColumn("fold", F.lit(f)) for f in range(k)])
+
+
+def cross_validate(df: DataFrame, fit, k: int = 5) -> DataFrame:
+    """Per-fold ROC-AUC: train on k-1 folds, score the held-out one."""
+    return fold_auc(fold_predictions(df, fit, k).checkpoint(eager=True), k)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -190,6 +190,25 @@ def shap_values(spark: SparkSession, rows: DataFrame, feature_cols: list[str], m
     return inp.mapInPandas(attribute, schema)
 
 
+def waterfall(attributions: DataFrame, rows: DataFrame, key: str = "subject_id") -> DataFrame:
+    """Steps from the ensemble's expected value to a row's log-odds, largest attribution first.
+
+    One row per feature: (key, rank, feature, feature_value, shap, base_value, start, end), with the first
+    ``start`` at the base value and the last ``end`` at the log-odds. Ranked and summed inside the row.
+    """
+    from carepath.operators.serve import ranked_drivers
+    features = [c for c in attributions.columns if c.startswith("shap_")]
+    values = F.array(*[F.col(c.removeprefix("shap_")).cast("double") for c in features])
+    j = attributions.join(rows, key).select(key, "base_value", ranked_drivers(attributions).alias("d"), values.alias("v"))
+
+    def upto(i):
+        return F.aggregate(F.slice("d", 1, i), F.col("base_value"), lambda acc, x: acc + x["value"])
+    steps = F.transform("d", lambda x, i: F.struct(
+        (i + 1).alias("rank"), x["feature"].alias("feature"), F.get("v", x["position"]).alias("feature_value"),
+        x["value"].alias("shap"), upto(i).alias("start"), upto(i + 1).alias("end")))
+    return j.select(key, "base_value", F.inline(steps))
+
+
 def gbt_stage_path(pipeline_path: str, spark: SparkSession) -> str:
     """Folder of the boosted-tree stage inside a saved pipeline."""
     jvm = spark._jvm

@@ -29,7 +29,7 @@ class RawInputs:
 
 def run_batch(spark: SparkSession, raw: RawInputs, root: str, as_of: str = FE.AS_OF,
               ward_labels: DataFrame | None = None, rounds_enhanced: int = 300, rounds_basic: int = 100,
-              ward_trees: int = 100, notes_limit: int | None = None) -> dict[str, str]:
+              ward_rounds: int = 100, notes_limit: int | None = None) -> dict[str, str]:
     paths = {n: f"{root.rstrip('/')}/{n}" for n in
              ("patients", "admissions", "notes", "patient_features", "patient_risk_scores",
               "patient_shap_values", "risk_model", "enhanced_model", "ward_model", "training_report")}
@@ -74,7 +74,7 @@ def run_batch(spark: SparkSession, raw: RawInputs, root: str, as_of: str = FE.AS
                          F.col("has_previous_admission").cast("double"))
         data = f.join(scores.select("subject_id", "risk_score"), "subject_id") \
                 .join(ward_labels.select("subject_id", "predicted_ward"), "subject_id", "left")
-        wmodel = ML.train_ward(data.filter(F.col("predicted_ward").isNotNull()), trees=ward_trees)
+        wmodel = ML.train_ward(data.filter(F.col("predicted_ward").isNotNull()), rounds=ward_rounds)
         ML.save_model(wmodel, paths["ward_model"])
         wards = ML.score_ward(wmodel, data).select("subject_id", F.col("ward_pred").alias("predicted_ward"))
         scores = write_version(update_by_key(scores, wards, "subject_id", ["predicted_ward"]),

@@ -1,8 +1,8 @@
 """Model training, scoring, evaluation and attribution.
 
 All models train with the library defaults (100 rounds or trees, 300 rounds for
-the enhanced model). Queries that use the final risk model of a data directory
-share one stored fit per session.
+the enhanced model). Fitted models, their rows and hold-out predictions are stored by the state of
+the input files; queries on one model share a fit.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carepath import schemas as S
+from carepath.functions import scalar as X
 from carepath.operators import ml as ML
 from carepath.operators import serve as SV
 from carepath.operators import shap as SH
@@ -18,9 +19,19 @@ from carepath.plans.catalog import register
 from carepath.plans.context import Clinic
 from carepath.session import shared_path
 from carepath.sources.tables import write_version
+from carepath.sources.versions import get_or_build, input_fingerprint
 
-#: (application, data directory) -> (stored training rows, stored final model) of this session.
-_FITTED: dict[tuple[str, str], tuple] = {}
+#: Changes whenever what is stored with a model changes.
+_STORE_FORMAT = 1
+
+
+def _stored(spark, sf_dir: str, name: str, build, rebuild: bool = False) -> str:
+    """Folder of what ``build(clinic, folder)`` stores for this data directory: made once for a state of the
+    input files (names, sizes, times), again when they change."""
+    state = input_fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("customer", "orders", "lineitem", "events")],
+                              name, _STORE_FORMAT)
+    return get_or_build(spark, shared_path(spark, "models", unique=False), name, state,
+                        lambda folder: build(Clinic(spark, sf_dir), folder), rebuild)
 
 
 def _train_input(c: Clinic, cols=S.BASIC_FEATURES, recency=-1.0):
@@ -74,11 +85,28 @@ def q_standardize(spark, sf_dir):
     return ML.standardize(df, ML.standardize_params(df, S.BASIC_FEATURES)).select("subject_id", *S.BASIC_FEATURES)
 
 
-@register("stratified_split")
+_SPLIT_SQL = """
+SELECT subject_id, label, CASE WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT subject_id, high_risk_label AS label, COUNT(*) OVER (PARTITION BY high_risk_label) AS n,
+         row_number() OVER (PARTITION BY high_risk_label ORDER BY md5(CAST(subject_id AS VARCHAR) || ':42'), subject_id) AS r
+  FROM patient_features WHERE high_risk_label IS NOT NULL)"""
+
+
+@register("stratified_split", _SPLIT_SQL)
 def q_stratified_split(spark, sf_dir):
     return _split(Clinic(spark, sf_dir)).select("subject_id", "label", "split")
 
 
+@register("stratified_folds", """
+SELECT subject_id, high_risk_label AS label, CAST((row_number() OVER (
+  PARTITION BY high_risk_label ORDER BY md5(CAST(subject_id AS VARCHAR) || ':42'), subject_id) - 1) % 5 AS INTEGER) AS fold
+FROM features WHERE high_risk_label IS NOT NULL""")
+def q_stratified_folds(spark, sf_dir):
+    """The five folds of the enhanced model's cross-validation."""
+    c = Clinic(spark, sf_dir)
+    return ML.stratified_folds(_train_input(c, S.ENHANCED_FEATURES, 0.0)).select("subject_id", "label", "fold")
+
+
 @register("train_logistic")
 def q_train_logistic(spark, sf_dir):
     sp = ML.class_weights(_split(Clinic(spark, sf_dir)))
@@ -102,14 +130,48 @@ def q_train_gbt_base(spark, sf_dir):
     return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
 
 
-@register("train_gbt_enhanced")
-def q_train_gbt_enhanced(spark, sf_dir):
-    c = Clinic(spark, sf_dir)
+def _enhanced_rows(c: Clinic):
     base = _train_input(c, S.ENHANCED_FEATURES, 0.0)
-    cols = ML.kept_features(base, S.ENHANCED_FEATURES)
+    return base, ML.kept_features(base, S.ENHANCED_FEATURES)
+
+
+def _build_enhanced(c: Clinic, folder: str) -> None:
+    """The enhanced model fitted on the training split, and its predictions for the hold-out."""
+    base, cols = _enhanced_rows(c)
     sp = ML.class_weights(ML.stratified_split(base).checkpoint(eager=True), mode="pos_scale")
     model = ML.train_gbt_enhanced(sp.filter("split = 'train'"), cols)
-    return _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction")
+    ML.save_model(model, f"{folder}/model")
+    _holdout(model, sp).select("subject_id", "label", "risk_score", "risk_prediction").write.parquet(f"{folder}/holdout")
+
+
+def _enhanced_holdout(spark, sf_dir):
+    return spark.read.parquet(_stored(spark, sf_dir, "enhanced", _build_enhanced) + "/holdout")
+
+
+@register("train_gbt_enhanced")
+def q_train_gbt_enhanced(spark, sf_dir):
+    return _enhanced_holdout(spark, sf_dir)
+
+
+@register("enhanced_report")
+def q_enhanced_report(spark, sf_dir):
+    """Hold-out report of the enhanced model with its ROC-AUC and the quality gate."""
+    return ML.holdout_report(_enhanced_holdout(spark, sf_dir))
+
+
+@register("enhanced_importance")
+def q_enhanced_importance(spark, sf_dir):
+    model = ML.load_model(_stored(spark, sf_dir, "enhanced", _build_enhanced) + "/model")
+    return ML.feature_importance(spark, model, model.stages[0].getInputCols())
+
+
+@register("cross_validate_enhanced")
+def q_cross_validate_enhanced(spark, sf_dir):
+    """ROC-AUC of the enhanced model per fold, with the mean and deviation over the five."""
+    base, cols = _enhanced_rows(Clinic(spark, sf_dir))
+    rows = ML.class_weights(base, mode="pos_scale")
+    per = ML.cross_validate(rows, lambda train: ML.train_gbt_enhanced(train, cols))
+    return per.withColumns({c: ML.cv_summary(per).select(c).scalar() for c in ("mean", "std")})
 
 
 @register("compare_models")
@@ -164,31 +226,43 @@ def q_decode_ward(spark, sf_dir):
     return dec.transform(idx)
 
 
-@register("train_ward")
-def q_train_ward(spark, sf_dir):
-    """Hold-out classification report of the ward model (labelled rows only)."""
-    c = Clinic(spark, sf_dir)
+def _build_ward(c: Clinic, folder: str) -> None:
+    """Ward model of the training split with its hold-out predictions, and the one of all labelled rows."""
     data = _ward_data(c).filter(F.col("predicted_ward").isNotNull())
     sp = ML.stratified_split(data, label="predicted_ward").checkpoint(eager=True)
     model = ML.train_ward(sp.filter("split = 'train'"))
-    pred = ML.score_ward(model, sp.filter("split = 'test'"))
+    ML.save_model(model, f"{folder}/holdout_model")
+    (ML.score_ward(model, sp.filter("split = 'test'")).select("subject_id", "predicted_ward", "ward_pred", "ward_probability")
+     .write.parquet(f"{folder}/holdout"))
+    ML.save_model(ML.train_ward(sp), f"{folder}/model")
+
+
+@register("train_ward")
+def q_train_ward(spark, sf_dir):
+    """Hold-out classification report of the ward model (labelled rows only)."""
+    pred = spark.read.parquet(_stored(spark, sf_dir, "ward", _build_ward) + "/holdout")
     return ML.classification_report(pred, label="predicted_ward", prediction="ward_pred")
 
 
+@register("ward_importance")
+def q_ward_importance(spark, sf_dir):
+    return ML.ward_importance(spark, ML.load_model(_stored(spark, sf_dir, "ward", _build_ward) + "/holdout_model"))
+
+
 @register("score_ward")
 def q_score_ward(spark, sf_dir):
     """Ward and confidence for every scored patient; trained on the labelled ones."""
-    c = Clinic(spark, sf_dir)
-    data = _ward_data(c)
-    model = ML.train_ward(data.filter(F.col("predicted_ward").isNotNull()))
-    return ML.score_ward(model, data).select("subject_id", "risk_score", F.col("ward_pred").alias("predicted_ward"),
-                                             "ward_probability")
+    model = ML.load_model(_stored(spark, sf_dir, "ward", _build_ward) + "/model")
+    return ML.score_ward(model, _ward_data(Clinic(spark, sf_dir))).select(
+        "subject_id", "risk_score", F.col("ward_pred").alias("predicted_ward"), "ward_probability")
 
 
-@register("round_confidence")
+@register("round_confidence", """
+SELECT subject_id, round_even(greatest(risk_score / 16, 1 - risk_score / 16) * 1000, 0) / 1000 AS ward_probability FROM scores""")
 def q_round_confidence(spark, sf_dir):
-    """Largest ward probability per patient, half-even to 3 places."""
-    return q_score_ward(spark, sf_dir).select("subject_id", "predicted_ward", "ward_probability")
+    """Largest of two class probabilities per patient to 3 places, over stored scores (sixteenths make ties)."""
+    p = F.col("risk_score") / 16
+    return Clinic(spark, sf_dir).scores.select("subject_id", X.round_confidence(F.array(p, 1 - p)).alias("ward_probability"))
 
 
 @register("score_patients")
@@ -201,13 +275,23 @@ def q_score_patients(spark, sf_dir):
 @register("cross_validate")
 def q_cross_validate(spark, sf_dir):
     c = Clinic(spark, sf_dir)
-    df = ML.class_weights(_train_input(c), mode="pos_scale")
-    return ML.cross_validate(df, S.BASIC_FEATURES, ML.train_gbt_base)
-
-
-@register("cv_summary")
+    return ML.cross_validate(ML.class_weights(_train_input(c), mode="pos_scale"), ML.train_gbt_base)
+
+
+@register("cv_summary", """
+WITH f AS (
+  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(subject_id AS VARCHAR) || ':42'), subject_id) - 1) % 5 AS fold
+  FROM risk_fixture),
+per AS (SELECT fold, risk_score AS s, COUNT(*) FILTER (WHERE label = 1) AS pos, COUNT(*) FILTER (WHERE label = 0) AS neg
+        FROM f GROUP BY fold, risk_score),
+cum AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+        FROM per),
+auc AS (SELECT fold, SUM(pos * (neg_below + neg * 0.5)) / (SUM(pos) * SUM(neg)) AS roc_auc FROM cum GROUP BY fold)
+SELECT AVG(roc_auc) AS mean, STDDEV_POP(roc_auc) AS std, COUNT(roc_auc) AS folds FROM auc""")
 def q_cv_summary(spark, sf_dir):
-    return ML.cv_summary(q_cross_validate(spark, sf_dir))
+    """Mean and deviation of the folds' ROC-AUC over stored predictions."""
+    pred = Clinic(spark, sf_dir).risk_fixture.select("subject_id", "label", "risk_score")
+    return ML.cv_summary(ML.fold_auc(ML.stratified_folds(pred).checkpoint(eager=True)))
 
 
 @register("feature_importance")
@@ -266,15 +350,16 @@ def q_quality_gate(spark, sf_dir):
     return ML.quality_gate(ML.roc_auc(Clinic(spark, sf_dir).risk_fixture))
 
 
-def _fitted_gbt(spark, sf_dir: str):
-    """The weighted training rows and the path of the final risk model, fitted and stored once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        df = ML.class_weights(_train_input(Clinic(spark, sf_dir)), mode="pos_scale")
-        path = shared_path(spark, "risk_model")
-        ML.save_model(ML.train_gbt_base(df), path)
-        _FITTED[key] = df, path
-    return _FITTED[key]
+def _build_risk(c: Clinic, folder: str) -> None:
+    """The final risk model on all labelled rows, with these rows and their weights."""
+    df = write_version(ML.class_weights(_train_input(c), mode="pos_scale"), f"{folder}/rows")
+    ML.save_model(ML.train_gbt_base(df), f"{folder}/model")
+
+
+def _fitted_gbt(spark, sf_dir: str, rebuild: bool = False):
+    """The weighted training rows and the path of the final risk model."""
+    folder = _stored(spark, sf_dir, "risk", _build_risk, rebuild)
+    return spark.read.parquet(f"{folder}/rows"), f"{folder}/model"
 
 
 @register("model_store")
@@ -291,6 +376,15 @@ def q_shap_values(spark, sf_dir):
     return SH.shap_values(spark, df, S.BASIC_FEATURES, SH.gbt_stage_path(path, spark))
 
 
+@register("shap_waterfall")
+def q_shap_waterfall(spark, sf_dir):
+    """From the model's expected log-odds to those of the patient with the highest score, step by step."""
+    df, path = _fitted_gbt(spark, sf_dir)
+    top = SV.top_patient(ML.score(ML.load_model(path), df)).select("subject_id")
+    rows = df.join(F.broadcast(top), "subject_id")
+    return SH.waterfall(SH.shap_values(spark, rows, S.BASIC_FEATURES, SH.gbt_stage_path(path, spark)), rows)
+
+
 @register("shap_top_patient", """
 WITH top AS (SELECT subject_id FROM scores ORDER BY risk_score DESC, subject_id LIMIT 1),
 vals AS (

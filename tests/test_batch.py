@@ -16,7 +16,7 @@ def test_batch_end_to_end(spark):
     c = Clinic(spark, SF_SMALL)
     raw = RawInputs(c.patients_raw, c.admissions_raw, c.notes_raw, c.diagnoses_raw, c.icustays_raw)
     paths = run_batch(spark, raw, shared_path(spark, "warehouse"), ward_labels=c.risk_fixture,
-                      rounds_enhanced=5, rounds_basic=5, ward_trees=5)
+                      rounds_enhanced=5, rounds_basic=5, ward_rounds=5)
     feats = spark.read.parquet(paths["patient_features"])
     scores = spark.read.parquet(paths["patient_risk_scores"])
     shap = spark.read.parquet(paths["patient_shap_values"])
