@@ -13,6 +13,9 @@ from carepath.session import shared_path
 
 #: Upper bound of one in-task slice of text; keeps numpy work arrays small whatever the batch size.
 SLICE_BYTES = 1_000_000
+#: Rows of one Arrow batch where the session does not say; texts are far larger than the columns Spark's default has in mind.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +56,11 @@ def _cut(batch, texts, a: int, b: int):
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str, at_end: Callable | None = None) -> DataFrame:
     """``mapInArrow`` over batches: ``fn(batch)`` yields record batches. ``at_end`` is called when a task
-    ends; then its memory goes back to the system, as the worker is kept for later tasks."""
+    ends; then its memory goes back to the system, as the worker is kept for later tasks. A session that has
+    no batch size of its own gets ``BATCH_ROWS``."""
+    session = df.sparkSession
+    if session.conf.get(_BATCH_CONF, None) in (None, "10000") and session.sparkContext.getConf().get(_BATCH_CONF) is None:
+        session.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     def run(batches):
         try:
             for batch in batches:

@@ -15,9 +15,10 @@ share ``PASSAGE`` words share a window within them, wherever sentences are torn
 edited, so a part of every such passage goes: all whole sentences next to the window,
 and all of the passage's words but for at most ``PASSAGE`` - ``WINDOW`` at either end.
 
-Units are counted with a partial aggregation, so a line that a third of all
-documents share is one row per task; only digests that occur twice travel on.
-The join back to units is an equi-join that AQE splits where a digest is hot.
+Texts are parsed once for all digests, which are written as two arrays per text. Units are
+counted with a partial aggregation, so a line that a third of all documents share is one row per task;
+only digests that occur twice travel on. Digests with very many occurrences are joined
+back by broadcast (``join_counted``), the others by shuffle.
 
 Defined cases: null and empty texts have no units and pass unchanged; rows alike in
 id and text are one occurrence and are cut alike; a null id ranks last; ties in rank
@@ -35,14 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import map_arrow, staged
+from carepath.llm.common import join_counted, map_arrow, staged
 from carepath.llm.textnum import mix, words
 
 MIN_WORDS = 25
 #: Words of a shared passage that is always found, and of the windows it is found by (a power of two).
 PASSAGE = 50
 WINDOW = 32
-DIGEST = 12
 _SENTENCE = re.compile(r"[^\n.!?]*[.!?]+[^\s.!?]*[ \t]*|[^\n.!?]+")
 _LINE = re.compile(r"[^\n]+")
 _WS_RUN = " \t\r\x0b\x0c"
@@ -121,7 +121,7 @@ def _key(text_col: str):
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(digest, missing, doc_id, text_key, place) of every unit."""
+    """(missing, doc_id, text_key, high, low): the digests of a text's units in text order, 64 and 32 bits of each."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), _key(text_col).alias("k"))
 
     def run(batch):
@@ -129,24 +129,24 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN
         texts = [t or "" for t in texts]
         start = 0
         while start < len(ids):
-            digest, doc, key, place, size, end = [], [], [], [], 0, start
+            digest, counts, size, end = [], [0], 0, start
             while end < len(ids) and size < 1_000_000:
                 size += len(texts[end]) + 100
                 end += 1
             part = slice(start, end)
-            for i, t, k, spans in zip(ids[part], texts[part], keys[part], _windows(texts[part]), strict=True):
-                found = [xxhash.xxh3_128_digest(normal(t[a:b]))[:DIGEST] for (a, b), _ in _kinds(t, spans, min_words)]
-                digest += found
-                doc += [i] * len(found)
-                key += [k] * len(found)
-                place += range(len(found))
-            start = end
+            for t, spans in zip(texts[part], _windows(texts[part]), strict=True):
+                digest += [xxhash.xxh3_128_digest(normal(t[a:b])) for (a, b), _ in _kinds(t, spans, min_words)]
+                counts.append(len(digest))
+            both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            edges = pa.array(counts, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest, pa.binary()), pa.array([d is None for d in doc], pa.bool_()), pa.array(doc, pa.int64()),
-                 pa.array(key, pa.int32()), pa.array(place, pa.int32())],
-                names=["digest", "missing", "doc_id", "text_key", "place"])
+                [pa.array([d is None for d in ids[part]], pa.bool_()), pa.array(ids[part], pa.int64()),
+                 pa.array(keys[part], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(both[:, 0]))),
+                 pa.ListArray.from_arrays(edges, pa.array(both[:, 1].astype(np.int32)))],
+                names=["missing", "doc_id", "text_key", "high", "low"])
+            start = end
 
-    return map_arrow(read, run, "digest binary, missing boolean, doc_id long, text_key int, place int")
+    return map_arrow(read, run, "missing boolean, doc_id long, text_key int, high array<long>, low array<int>")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -154,10 +154,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, text_key, places array<int>, kept_in array<long>): the units of a text that occur earlier in
     the corpus, and the documents that hold those occurrences."""
     rank = F.struct("missing", "doc_id", "text_key", "place")
-    table = unit_table(docs, id_col, text_col, min_words)
-    first = (table.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select("digest", "first"))
-    later = table.join(first, "digest").where(rank != F.col("first"))
+    kept = staged(unit_table(docs, id_col, text_col, min_words), "units")
+    table = kept.select("missing", "doc_id", "text_key", F.posexplode(F.arrays_zip("high", "low")).alias("place", "d")).select(
+        "missing", "doc_id", "text_key", "place", "d.high", "d.low")
+    first = staged(table.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+                   .where("n > 1").select("high", "low", "first", "n"), "repeated-units")
+    later = join_counted(table, first, ["high", "low"], "n").where(rank != F.col("first"))
     return later.groupBy("missing", "doc_id", "text_key").agg(
         F.sort_array(F.collect_set("place")).alias("places"),
         F.sort_array(F.collect_set("first.doc_id")).alias("kept_in")).drop("missing")
