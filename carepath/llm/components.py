@@ -3,7 +3,8 @@
 Edges are first merged by union-find inside each partition, which leaves one
 edge per node and partition; the remaining forest is contracted by alternating
 large-star and small-star steps (Kiveris et al., 2014), each one partial
-aggregation and one join, until nothing changes. Every step is written to the
+aggregation and one join, until nothing changes. Nodes with very many edges, as the root of a
+large group has, are joined by broadcast, so their edges stay where they are. Every step is written to the
 shared folder, so a lost executor costs one step at most, and no edge list ever
 sits in one task or the driver.
 """
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import staged
+from carepath.llm.common import join_counted, staged
 
 
 def _merge_partition(batches):
@@ -45,14 +46,15 @@ def _merge_partition(batches):
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    low = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+                 .select("u", F.least("u", "m").alias("m"), "n"), "cc-low")
+    return join_counted(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    return (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-down")
+    low = staged(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
+    return (join_counted(down, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).where("u != v"))
 
 
@@ -61,7 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = staged(edges.select("u", "v").where("u != v").mapInArrow(_merge_partition, "u long, v long"), "cc")
     before = None
     while True:
-        e = staged(_small_star(_large_star(e).distinct()).distinct(), "cc")
+        e = staged(_small_star(_large_star(e)).distinct(), "cc")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
