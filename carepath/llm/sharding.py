@@ -3,14 +3,16 @@
 Records are ordered by (hash of the text, id), so equal texts stand together. A
 size-weighted sample of keys gives the boundaries of many fine ranges; the exact
 rows and bytes of every range are then counted in one aggregation. Ranges that
-hold too many rows, or over which a shard boundary falls, are sampled again and
-subdivided until they are small; a hot group of equal texts is subdivided by id.
+hold too many rows are sampled again by row and subdivided, as often as it takes; a
+range that a sample does not split is cut at its greatest key, so every pass makes
+progress until a range is small or one key. A hot group of equal texts is subdivided by id.
 Shard k begins with the first record before which k/n of all bytes lie, so the
 outcome depends on the data alone, not on the sample: shards differ from each other by
 less than two records.
 
-What passes through the driver are range boundaries and counts: one per
-``range_rows`` rows.
+What passes through the driver are range boundaries and counts: a few per
+``range_rows`` rows, and that size grows with the table so that ``MAX_RANGES`` bounds their number (some 50 bytes
+each; the offsets that are broadcast are as many rows of 24 bytes).
 
 Defined cases: a null text has size 1 like an empty one; a null id sorts first;
 rows that are alike in id and text are counted as one key with a multiplicity and
@@ -24,13 +26,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.llm.common import map_arrow, staged
 
 LAW = "bytes"
 RANGE_ROWS = 20_000
+#: Ranges wanted at most; a table of more rows has larger ranges.
+MAX_RANGES = 100_000
 #: Sample draws per wanted range.
 OVERSAMPLE = 8
 #: Copies of one row (id and text alike) that one task writes out.
@@ -61,9 +65,9 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     return map_arrow(rows, run, f"{fields}, range long")
 
 
-def _sample(rows: DataFrame, total: int, draws: int, seed: int) -> list[tuple[int, int]]:
-    """Keys drawn with a probability in proportion to their size, in order, ``draws`` of them on average."""
-    chance = F.least(F.lit(1.0), F.col("size") * F.lit(draws / max(1, total)))
+def _sample(rows: DataFrame, weight: Column, total: int, draws: int, seed: int) -> list[tuple[int, int]]:
+    """Keys drawn with a probability in proportion to ``weight``, in order, ``draws`` of them on average."""
+    chance = F.least(F.lit(1.0), weight * F.lit(draws / max(1, total)))
     coin = F.abs(F.xxhash64("h", "i", F.lit(seed)).cast("double")) / F.lit(_SCALE)
     got = rows.where(coin < chance).select("h", "i").distinct().collect()
     return sorted((r.h, r.i) for r in got)
@@ -73,14 +77,35 @@ def _quantiles(sample: list[tuple[int, int]], parts: int) -> list[tuple[int, int
     return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
 
-def _measure(rows: DataFrame, cuts: list) -> dict[int, tuple[int, int]]:
-    """Rows and bytes per range."""
-    got = _ranged(rows, cuts).groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
-    return {r.range: (r.n, r.b) for r in got}
+def _measure(rows: DataFrame, cuts: list) -> dict[int, tuple[int, int, int]]:
+    """Keys, bytes and rows per range."""
+    got = _ranged(rows, cuts).groupBy("range").agg(F.count("*").alias("k"), F.sum("size").alias("b"), F.sum("n").alias("n"))
+    return {r.range: (r.k, r.b, r.n) for r in got.collect()}
+
+
+def _ranges(rows: DataFrame, n_keys: int, total: int, shards: int, range_rows: int) -> tuple[list, dict]:
+    """Cuts between ranges of at most 2 * range_rows keys, and the measures of these very ranges."""
+    fine = max(64 * shards, math.ceil(n_keys / range_rows))
+    cuts = _quantiles(_sample(rows, F.col("size"), total, OVERSAMPLE * fine, 0), fine)
+    counts, turn = _measure(rows, cuts), 0
+    while wide := sorted(r for r, (k, _, _) in counts.items() if k > 2 * range_rows):
+        turn += 1
+        part = _ranged(rows, cuts).where(F.col("range").isin(wide))
+        n = sum(counts[r][0] for r in wide)
+        parts = 2 * math.ceil(n / range_rows)
+        more = _quantiles(_sample(part, F.lit(1.0), n, OVERSAMPLE * parts, turn), parts)
+        if not set(more) - set(cuts):
+            ends = part.groupBy("range").agg(F.min(F.struct("h", "i")).alias("lo"), F.max(F.struct("h", "i")).alias("hi"))
+            more = [(r.hi.h, r.hi.i) for r in ends.collect() if r.lo != r.hi]
+            if not set(more) - set(cuts):      # ranges of one key: nothing is left to cut
+                break
+        cuts = sorted(set(cuts) | set(more))
+        counts = _measure(rows, cuts)
+    return cuts, counts
 
 
 def assign(docs: DataFrame, shards: int = 8, *, range_rows: int = RANGE_ROWS, id_col: str = "doc_id",
-           text_col: str = "text", max_passes: int = 6) -> DataFrame:
+           text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, h, shard, slot) for every row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(
@@ -89,35 +114,22 @@ def assign(docs: DataFrame, shards: int = 8, *, range_rows: int = RANGE_ROWS, id
         F.xxhash64(text).alias("h"))
     rows = staged(read.groupBy("doc_id", "i", "each", "text_crc32", "h").agg(F.count("*").alias("n"))
                   .withColumn("size", F.col("each") * F.col("n")), "shard-keys")
-    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    fine = max(64 * shards, math.ceil(n_rows / range_rows))
-    cuts = _quantiles(_sample(rows, total, OVERSAMPLE * fine, 0), fine)
-    for turn in range(1, max_passes + 1):
-        counts = _measure(rows, cuts)
-        wide = {r for r, (n, _) in counts.items() if n > 2 * range_rows}
-        if not wide:
-            break
-        # an overfull range is drawn from again, by itself
-        part = _ranged(rows, cuts).where(F.col("range").isin(sorted(wide))).drop("range")
-        n, size = (sum(counts[r][j] for r in wide) for j in (0, 1))
-        parts = 2 * math.ceil(n / range_rows)
-        more = _quantiles(_sample(part, size, OVERSAMPLE * parts, turn), parts)
-        grown = sorted(set(cuts) | set(more))
-        if len(grown) == len(cuts):      # rows of one key: nothing is left to cut
-            break
-        cuts = grown
-    n_copies = {r["range"]: r.n for r in _ranged(rows, cuts).groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    n_keys, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cuts, counts = _ranges(rows, n_keys, total, shards, max(range_rows, math.ceil(n_keys / MAX_RANGES)))
     offsets, at_rows, at_bytes = [], 0, 0
     for r in sorted(counts):
         offsets.append((r, at_rows, at_bytes))
-        at_rows, at_bytes = at_rows + n_copies[r], at_bytes + counts[r][1]
+        at_rows, at_bytes = at_rows + counts[r][2], at_bytes + counts[r][1]
     before = rows.sparkSession.createDataFrame(offsets, "range long, rows0 long, bytes0 long")
     earlier = Window.partitionBy("range").orderBy("h", "i").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (_ranged(rows, cuts).withColumn("bytes", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
               .withColumn("row", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
-    keys = ranked.join(F.broadcast(before), "range").select(
-        "doc_id", "each", "text_crc32", "h", "n", (F.col("bytes0") + F.col("bytes")).alias("bytes"),
-        (F.col("rows0") + F.col("row")).alias("row"))
+
+    def offset(c: str) -> Column:
+        return F.coalesce(c, F.raise_error(F.lit("a range has no offset")).cast("long"))
+    keys = ranked.join(F.broadcast(before), "range", "left").select(
+        "doc_id", "each", "text_crc32", "h", "n", (offset("bytes0") + F.col("bytes")).alias("bytes"),
+        (offset("rows0") + F.col("row")).alias("row"))
     placed = staged(_copies(keys).withColumn(
         "shard", F.least(F.lit(shards - 1), F.expr(f"bytes * {shards} div {max(1, total)}")).cast("int")), "shard-rows")
     first = placed.groupBy("shard").agg(F.min("row").alias("row0"))
