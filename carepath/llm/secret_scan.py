@@ -15,7 +15,9 @@ grows with the number of parts. Parts are keyed by the digest of the text:
 copies are linked once, however many rows share the text.
 
 Only DataFrame functions: the places of a pattern's matches are the running
-lengths of what ``split`` leaves between them and of the matches themselves.
+lengths of what ``split`` leaves between them and of the matches themselves. Patterns
+are flat and read a run once, and running sums grow in blocks, so time is in
+proportion to a text's length and matches, for a run or a number of matches of any size.
 
 Defined cases: a null text is empty; without spans the lists are empty strings;
 rows alike in text get alike spans; an empty table gives an empty table; a null
@@ -24,6 +26,8 @@ id is carried; only the id and text are read (``redact`` carries all columns).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +49,11 @@ ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 ACCOUNT = ("(" + "|".join(map(_any_case, ("user_?name", "user_?id", "login", "client_?id", "account")))
            + ")" + _SET + "([A-Za-z0-9@._-]{3,})")
-MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Tried only where a run begins and without going back into it, so a long run is read once; trailing dots are not part of it.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9.-]++"
 TOKEN = "[A-Za-z0-9+/_-]{20,}"
-ENDPOINT = r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+"""
+#: A scheme has a bounded length, so a long run costs a bounded number of steps per character.
+ENDPOINT = r"""[a-z][a-z0-9+.-]{0,30}://[^\x00-\x20"'<>]++"""
 #: Order of kinds at one start.
 KINDS = ("assign", "access", "hex", "account", "mail", "token", "endpoint")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "mail": "identifier",
@@ -55,28 +61,63 @@ ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account":
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+#: Items of one block in ``_running``.
+BLOCK = 256
+
+
 def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
-def _spans(text: Column, kind: str, pattern: str, good=None, gate: Column | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches for which ``good(match)`` holds."""
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, whatever the number of places in lambdas that use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(items: Column, value, op, start, emit) -> Column:
+    """``emit(item, before)`` for each item, ``before`` being ``op`` over ``start`` and the values of the items before it.
+
+    A list that grows by one entry is copied each time, so items are dealt into blocks: lists grow only within a
+    block and over the blocks' totals, and the cost is in proportion to the items for any text.
+    """
+    def by_blocks(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK)), joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(start), lambda acc, x: op(acc, value(x))))
+        offsets = F.aggregate(totals, F.array(F.lit(start)),
+                              lambda acc, t: F.concat(acc, F.array(op(F.element_at(acc, -1), t))))
+        return _let(offsets, lambda at: F.flatten(F.transform(blocks, lambda block, b: one(block, F.get(at, b)))))
+
+    def one(block: Column, before: Column) -> Column:
+        first = F.struct(before.alias("at"), F.slice(F.transform(block, lambda x: emit(x, before)), 1, 0).alias("out"))
+        return F.aggregate(block, first, lambda acc, x: F.struct(
+            op(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(emit(x, acc["at"]))).alias("out")),
+            lambda acc: acc["out"])
+
+    return _let(items, by_blocks)
 
-    def step(acc, i):
-        begin = acc["at"] + F.length(F.get(parts_, i))
-        match = F.get(found_, i)
-        end = begin + F.length(match)
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end")))
-        keep = good(match) if good is not None else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    parts_, found_ = parts, found
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 2), start, step, lambda acc: acc["out"])
-    some = F.size(parts) > 1
-    return F.when(gate & some if gate is not None else some, walked).otherwise(_none())
+def _spans(text: Column, kind: str, pattern: str, good=None, gate: Column | None = None, trim: str | None = None) -> Column:
+    """Spans of the leftmost non-overlapping matches for which ``good(match)`` holds, without trailing ``trim`` characters."""
+    def measured(found: Column) -> Column:
+        return F.transform(found["matches"], lambda match, i: F.struct(
+            F.length(F.get(found["parts"], i)).alias("gap"), F.length(match).alias("whole"),
+            F.length(F.rtrim(match, F.lit(trim)) if trim else match).alias("own"),
+            (good(match) if good is not None else F.lit(True)).alias("good")))
+
+    def placed(items: Column) -> Column:
+        return _running(items, lambda x: x["gap"] + x["whole"], lambda a, b: a + b, 0, lambda x, before: F.struct(
+            (before + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
+            (before + x["gap"] + x["own"]).alias("end"), x["good"].alias("good")))
+
+    parts = F.split(text, pattern, -1)
+    found = F.struct(parts.alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    spans = _let(found, lambda x: F.when(F.size(x["matches"]) > 0, F.transform(
+        F.filter(placed(measured(x)), lambda s: s["good"]),
+        lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))).otherwise(_none()))
+    return F.when(gate, spans).otherwise(_none()) if gate is not None else spans
 
 
 def _long_enough(match: Column) -> Column:
@@ -94,7 +135,7 @@ def base_spans(text: Column) -> Column:
 
 def weak_spans(text: Column) -> Column:
     return F.concat(
-        _spans(text, "account", ACCOUNT), _spans(text, "mail", MAIL, gate=text.contains("@")),
+        _spans(text, "account", ACCOUNT), _spans(text, "mail", MAIL, gate=text.contains("@"), trim="."),
         _spans(text, "token", TOKEN, _mixed), _spans(text, "endpoint", ENDPOINT, gate=text.contains("://")))
 
 
@@ -140,8 +181,29 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def _clear_of(spans: Column, base: Column) -> Column:
-    """Linked parts that share no character with a strong span, which reports them already."""
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"])))
+    """Linked parts that share no character with a strong span, which reports them already.
+
+    Both kinds are put in order; a part is hit if a strong span before it ends after its start, or one after it
+    starts before its end.
+    """
+    def flagged(xs: Column, strong: bool) -> Column:
+        return F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"),
+                                                  F.lit(strong).alias("strong"), F.lit(False).alias("hit")))
+
+    def passed(xs: Column, value, op, start: int, hits) -> Column:
+        return _running(xs, value, op, start, lambda x, before: F.struct(
+            x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["strong"].alias("strong"),
+            (x["hit"] | hits(x, before)).alias("hit")))
+
+    far = 2 ** 31 - 1
+    every = F.array_sort(F.concat(flagged(base, True), flagged(spans, False)))
+    ahead = passed(every, lambda x: F.when(x["strong"], x["end"]).otherwise(-1), F.greatest, -1,
+                   lambda x, before: before > x["start"])
+    back = passed(F.reverse(ahead), lambda x: F.when(x["strong"], x["start"]).otherwise(far), F.least, far,
+                  lambda x, before: before < x["end"])
+    clear = F.transform(F.filter(back, lambda x: ~x["strong"] & ~x["hit"]),
+                        lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    return F.when(F.size(spans) > 0, F.reverse(clear)).otherwise(_none())
 
 
 def find(docs: DataFrame, *, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,22 +243,35 @@ def redact(docs: DataFrame, *, scope: int = SCOPE, id_col: str = "doc_id", text_
         F.col("key").alias("_key"), F.col("linked").alias("_linked"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn("_base", base_spans(text)).join(small_side(found, 256), F.md5(text) == F.col("_key"), "left")
-    every = F.sort_array(F.concat("_base", _clear_of(F.coalesce("_linked", _none()), F.col("_base"))))
-    # overlapping spans become one
-    merged = F.aggregate(every, _none(), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.element_at(acc, -1)["start"].alias("start"), F.lit(0).alias("rank"),
-            F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
-    marked = base.withColumn("_spans", F.when(F.size("_base") + F.size(F.coalesce("_linked", _none())) > 0, merged)
-                             .otherwise(_none()))
-    ends = F.concat(F.array(F.lit(0)), F.col("_spans.end"))
-    starts = F.concat(F.col("_spans.start"), F.array(F.length(text)))
-    clean = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")),
-                                     lambda g: text.substr(g["a"] + 1, g["b"] - g["a"])), marker)
-    hit = F.size("_spans") > 0
-    done = marked.withColumn("_clean", F.when(hit, clean).otherwise(F.col(text_col)))
+    more = F.coalesce("_linked", _none())
+    clean = _let(F.sort_array(F.concat("_base", _clear_of(more, F.col("_base")))), lambda spans: _without(text, spans, marker))
+    hit = F.size("_base") + F.size(more) > 0
+    done = base.withColumn("_clean", F.when(hit, clean).otherwise(F.col(text_col)))
     new = {text_col: F.col("_clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(hit, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def _without(text: Column, spans: Column, marker: str) -> Column:
+    """``text`` with ``marker`` in place of each stretch that the ordered ``spans`` (one at least) cover; overlapping spans are one."""
+    reach = _running(spans, lambda x: x["end"], F.greatest, -1, lambda x, before: F.struct(
+        x["start"].alias("start"), before.alias("before"), F.greatest(before, x["end"]).alias("after")))
+
+    def gaps(xs: Column) -> Column:
+        # what is kept lies between the furthest end so far and the start of a span beyond it
+        inner = F.transform(F.filter(xs, lambda x: x["start"] > x["before"]), lambda x: F.struct(
+            F.greatest(x["before"], F.lit(0)).alias("a"), x["start"].alias("b")))
+        return F.concat(inner, F.array(F.struct(F.element_at(xs, -1)["after"].alias("a"), F.length(text).alias("b"))))
+
+    def pieces(xs: Column) -> Column:
+        # a block's stretch of the text is cut out first: finding a place walks the string
+        last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: _let(F.slice(xs, k * BLOCK + 1, BLOCK), in_block)))
+
+    def in_block(block: Column) -> Column:
+        low, high = F.get(block, 0)["a"], F.element_at(block, -1)["b"]
+        return _let(F.struct(low.alias("low"), text.substr(low + 1, high - low).alias("part")), lambda cut: F.transform(
+            block, lambda g: cut["part"].substr(g["a"] - cut["low"] + 1, g["b"] - g["a"])))
+
+    return F.array_join(_let(_let(reach, gaps), pieces), marker)
