@@ -5,9 +5,12 @@ content of all children). Spark counts, per host, on how many distinct pages eac
 subtree occurs (copies of a page count once); one that recurs on at least ``min_pages`` pages and a share
 ``min_share`` of the host's pages belongs to the site's template. Pass 2 parses
 again and drops, besides elements that name themselves boilerplate (nav, header,
-footer, aside, form, script, ...; class, id or role tokens such as ``ad`` or
-``comments``), every template subtree. If a page marks its article (``article``,
-``main``), only that is read.
+footer, aside, form, script, ...), every template subtree. A name is a whole class or role token,
+or the id of an element that is no text element (headings and paragraphs have ids made of their words): a
+word such as ``ad`` or ``comments``, or a compound of such words and words for places and
+parts only (``site-header``, ``share-buttons``, but not ``form-of-government``). An article is never
+judged by its names. If a page marks its article (``article``, ``main``), only that is read; in it an
+element named by an id like ``related`` or a compound like ``post-header`` stays if it holds prose outside links.
 
 Paragraphs, headings and quotations inside a marked article are never counted as
 template, however often they recur: a quotation or a copied article is content. Nor
@@ -28,12 +31,15 @@ by two line feeds in page order. Character references are decoded.
 Defined cases: a null or empty html has an empty text; a null url counts under the
 empty host; an unclosed or malformed element ends with its parent or the page;
 repeated rows each have their text; an empty table gives an empty table; nesting
-beyond ``MAX_DEPTH`` is read flat; only the named columns are read.
+beyond ``MAX_DEPTH`` is read flat; what follows the last ``>`` is text; a page of any length takes time in
+proportion to it; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -65,20 +71,50 @@ NAMED = frozenset("ad ads advert adverts advertisement banner sponsor sponsored
                   "gdpr popup modal newsletter subscribe share sharing social related recommended comment comments "
                   "commentlist disqus form login signup search pagination pager contentinfo complementary "
                   "alert toolbar".split())
+#: Words for places and parts that make a compound with one of these.
+AROUND = frozenset("site page main top bottom left right global primary secondary bar box button buttons link links list slot "
+                   "container wrapper area section block unit inner outer mobile desktop sticky item items post posts article "
+                   "articles content".split())
+#: Of ``NAMED``, words that also name parts of an article.
+ALSO_CONTENT = frozenset("header masthead banner form related social alert notice widget toolbar".split())
 #: Start of one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An element ended by the start of its like.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
-_TOKEN = re.compile(r"[A-Za-z]+")
+_PARTS = re.compile("[-_]+")
+
+
+@lru_cache(10_000)
+def _named(token: str) -> int:
+    """2 if a class token names boilerplate, 1 if it may also name a part of an article, 0 if neither."""
+    token = token.lower()
+    if token in NAMED:
+        return 2
+    parts = [p for p in _PARTS.split(token) if p]
+    names = [p for p in parts if p in NAMED]
+    if not names or not all(p in NAMED or p in AROUND for p in parts):
+        return 0
+    return 1 if ALSO_CONTENT.issuperset(names) else 2
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "key")
+    """An element; ``drop`` is 2 for boilerplate, 1 for boilerplate unless it holds prose of an article."""
 
-    def __init__(self, tag: str, names: str):
-        self.tag, self.names, self.children, self.key = tag, names, [], 0
+    __slots__ = ("tag", "names", "children", "key", "drop", "text", "prose", "words")
+
+    def __init__(self, tag: str, attrs=()):
+        got = {k: v for k, v in attrs if k in ("class", "id", "role") and v}
+        self.tag, self.names, self.children, self.key = tag, " ".join(got.values()), [], 0
+        #: Whether it holds text; prose outside links; text outside links, were it part of prose.
+        self.text = self.prose = self.words = False
+        self.drop = 2 if tag in DROPPED else 0
+        if got and not self.drop and tag not in ("html", "body") and tag not in ARTICLE:
+            tokens = f"{got.get('class', '')} {got.get('role', '')}".split()
+            self.drop = max(map(_named, tokens), default=0)
+            if not self.drop and tag not in TEXT:
+                self.drop = max((1 if t.lower() in ALSO_CONTENT else _named(t) for t in got.get("id", "").split()), default=0)
 
 
 class _Tree(HTMLParser):
@@ -86,7 +122,7 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#", "")
+        self.root = Node("#")
         self.open = [self.root]
         self.flat: dict[str, int] = {}      # elements beyond MAX_DEPTH that wait for their end tags
 
@@ -104,8 +140,7 @@ class _Tree(HTMLParser):
             self._end_to(("p",), ("table", "button", "td", "li"))
         if tag in SIBLINGS:
             self._end_to(SIBLINGS[tag], ("ul", "ol", "dl", "table", "select"))
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
-        node = Node(tag, names)
+        node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
             if len(self.open) < MAX_DEPTH:
@@ -134,36 +169,44 @@ class _Tree(HTMLParser):
 
 def parse(html: str) -> Node:
     tree = _Tree()
-    tree.feed(html)
+    # a tag that is never closed would be tried again at each place after it
+    end = html.rfind(">") + 1
+    tree.feed(html[:end])
     tree.close()
+    if html[end:]:
+        tree.handle_data(unescape(html[end:]))
     _hash(tree.root)
     return tree.root
 
 
 def _hash(node: Node) -> int:
+    """Hash of the subtree; what its elements hold is noted on the way up."""
     h = xxhash.xxh3_64(f"{node.tag}\0{node.names}")
     for child in node.children:
         if isinstance(child, str):
             text = " ".join(child.split())
             if text:
                 h.update("\1" + text)
+                node.text = node.words = True
         else:
             h.update(_hash(child).to_bytes(8, "little"))
+            node.text = node.text or child.text
+            if child.tag != "a" and child.drop < 2:
+                node.words = node.words or child.words
+                node.prose = node.prose or child.prose
+    if node.tag in TEXT:
+        node.prose = node.words
     node.key = h.intdigest()
     return node.key
 
 
-def boilerplate(node: Node) -> bool:
-    if node.tag in DROPPED:
-        return True
-    if not node.names or node.tag in ("html", "body") or node.tag in ARTICLE and node.tag == "main":
-        return False
-    return any(t.lower() in NAMED for t in _TOKEN.findall(node.names))
+def boilerplate(node: Node, marked: bool) -> bool:
+    return node.drop == 2 or node.drop == 1 and not (marked and node.prose)
 
 
 def _articles(node: Node, out: list[Node]) -> list[Node]:
     for child in node.children:
-        if isinstance(child, str) or boilerplate(child):
+        if isinstance(child, str) or boilerplate(child, False):
             continue
         if child.tag in ARTICLE:
             out.append(child)
@@ -177,27 +220,16 @@ def _content(root: Node) -> tuple[list[Node], bool]:
     return (found, True) if found else ([root], False)
 
 
-def _has_text(node: Node) -> bool:
-    return any(c.strip() if isinstance(c, str) else _has_text(c) for c in node.children)
-
-
-def _has_prose(node: Node, inside: bool = False) -> bool:
-    """Whether an element holds text of paragraphs, headings or the like outside links."""
-    inside = inside or node.tag in TEXT
-    return any(inside and bool(c.strip()) if isinstance(c, str) else
-               c.tag != "a" and not boilerplate(c) and _has_prose(c, inside) for c in node.children)
-
-
 def subtrees(html: str) -> tuple[set[int], bool]:
     """Hashes of the subtrees of a page that could belong to a template; whether an article is marked."""
     out: set[int] = set()
 
     def walk(node: Node, marked: bool) -> None:
         for child in node.children:
-            if isinstance(child, str) or boilerplate(child):
+            if isinstance(child, str) or boilerplate(child, marked):
                 continue
             if child.tag not in ("html", "body") and child.tag not in INLINE and not (marked and child.tag in PROSE) \
-                    and _has_text(child) and not (marked and _has_prose(child)):
+                    and child.text and not (marked and child.prose):
                 out.add(child.key)
             walk(child, marked)
 
@@ -224,10 +256,10 @@ def extract(html: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 run.append(child)
             elif child.tag == "br":
                 run.append(" ")
-            elif boilerplate(child):
+            elif boilerplate(child, marked):
                 if child.tag not in IN_TEXT:
                     end()
-            elif child.key in template and not (marked and (child.tag in PROSE or _has_prose(child))):
+            elif child.key in template and not (marked and (child.tag in PROSE or child.prose)):
                 end()
             elif child.tag in INLINE:
                 walk(child, marked)
