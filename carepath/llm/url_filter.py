@@ -61,12 +61,17 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def keys_of(host: Column) -> Column:
-    """The host and its parent domains."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    parents = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
-    return F.when(host == "", F.array().cast("array<string>")).when(F.length(host) > MAX_NAME, F.array(host)) \
-        .otherwise(parents)
+    """The host and its parent domains; of a host longer than a name can be, itself and the parents that can be names."""
+    def parents(name: Column) -> Column:
+        parts = F.split(name, r"\.")
+        n = F.size(parts)
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
+
+    # one character more than a name: what stands before its first dot is a label cut in two, or the dot ends one
+    tail = F.regexp_extract(F.right(host, F.lit(MAX_NAME + 1)), r"\.(.*)$", 1)
+    return (F.when(host == "", F.array().cast("array<string>"))
+            .when((F.length(host) > MAX_NAME) & (tail == ""), F.array(host))
+            .when(F.length(host) > MAX_NAME, F.concat(F.array(host), parents(tail))).otherwise(parents(host)))
 
 
 @dataclass
