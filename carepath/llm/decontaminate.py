@@ -10,14 +10,19 @@ bit-parallel algorithm (1999) and counts if its distance is within the budget.
 Texts and items are compared in a normal form: A-Z... of any script in lower
 case, runs of white space as one space. Positions are those of the original.
 
-Items are handled in blocks of at most ``block_bytes`` characters, so what a task
-holds is bounded whatever the size of the benchmark; all texts meet all blocks.
+An item of fewer than ``SHORT`` characters has no budget: it is found word for word, between
+characters that are no letters or digits.
+
+Distinct items are handled in blocks of about ``block_bytes`` characters, so what a task
+holds is bounded whatever the size of the benchmark; all texts meet all blocks, and
+``keep`` writes what is left between two of them.
 There is no shuffle but that which merges a document's matches over the blocks.
 
-Defined cases: a null or empty text has no matches; an item that is null or
-shorter than ``min_chars`` in normal form is not searched (it would match
-ordinary prose); repeated items match each by itself; repeated rows match
-alike; a null doc_id is carried; only the named columns are read.
+Defined cases: a null or empty text has no matches; an item that is null or empty in
+normal form is not searched; items alike in id and text are one, alike in text only
+match each by itself; repeated rows match
+alike; a null doc_id is carried; a very long text is searched whole, in time in
+proportion to its length and hits; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -31,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import map_arrow
+from carepath.llm.common import map_arrow, staged
 
-MIN_CHARS = 40
+SHORT = 40
 #: Characters per tolerated edit; pieces are this long or longer.
 CHARS_PER_EDIT = 20
 BLOCK_BYTES = 4_000_000
@@ -42,7 +47,7 @@ _WORD = re.compile(r"\S+")
 
 
 def budget(n: int) -> int:
-    return max(1, n // CHARS_PER_EDIT - 1)
+    return max(1, n // CHARS_PER_EDIT - 1) if n >= SHORT else 0
 
 
 def normal(text: str) -> str:
@@ -112,7 +117,11 @@ class Item:
         """(start, end, distance) of the item near ``diagonal`` (its start if it had no edits)."""
         lo = max(0, diagonal - self.k)
         if text.startswith(self.text, max(0, diagonal)) and diagonal >= 0:
-            return diagonal, diagonal + self.n, 0
+            end = diagonal + self.n
+            inside = self.k == 0 and (text[max(0, diagonal - 1):diagonal].isalnum() or text[end:end + 1].isalnum())
+            return None if inside else (diagonal, end, 0)
+        if not self.k:
+            return None
         window = text[lo:diagonal + self.n + self.k]
         d, end = self.best(window, self.masks, True)
         if d > self.k:
@@ -165,14 +174,13 @@ class Matcher:
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
     """The items in blocks of bounded size; each block is what one pass holds in memory."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
-        (F.length("text") >= MIN_CHARS))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / block_bytes)) if total else 0
     for i in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() if n > 1 else items.collect()
         pairs = sorted(((r.item_id, normal(r.text)) for r in block), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
-        pairs = [p for p in pairs if len(p[1]) >= MIN_CHARS]
+        pairs = [p for p in pairs if p[1]]
         if pairs:
             yield pairs
 
@@ -217,7 +225,9 @@ def keep(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     """The rows of ``docs`` whose text holds no item, with the columns they came with."""
     columns = docs.columns
     out = docs
-    for block in _blocks(benchmark, block_bytes):
+    for i, block in enumerate(_blocks(benchmark, block_bytes)):
+        if i:       # a stage of its own for each block, so that no task holds two
+            out = staged(out, "decontaminated")
         shared = docs.sparkSession.sparkContext.broadcast(block)
         held: dict[str, Matcher] = {}
 
