@@ -178,6 +178,27 @@ def test_shards_equal_the_plain_cut(spark, table_rows, docs_frame, range_rows):
     assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
 
 
+def test_shards_keep_every_row_of_heavy_tailed_sizes(spark, docs_frame, rng):
+    """Most bytes in a few rows: a draw by size never splits the many small ones."""
+    rows = [(i, "x" * 3000 + str(i) if i % 10 == 0 else str(i % 700)) for i in range(4000)] + [(9, "copies")] * 500
+    for range_rows in (5, 40):
+        got = sharding.assign(docs_frame(rows), 8, range_rows=range_rows).collect()
+        assert len(got) == len(rows)
+        assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+        for s in range(8):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+        assert max(sizes) - min(sizes) < 2 * 3100
+
+
+def test_ranges_are_cut_without_help_of_the_sample(spark, docs_frame, monkeypatch):
+    monkeypatch.setattr(sharding, "_sample", lambda *a: [])
+    rows = [(i, str(i % 3)) for i in range(60)]
+    got = sharding.assign(docs_frame(rows), 4, range_rows=8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(60))
+    assert sorted((r.shard, r.slot) for r in got) == sorted({(r.shard, r.slot) for r in got})
+
+
 def test_shards_of_many_copies(docs_frame, monkeypatch):
     monkeypatch.setattr(sharding, "COPIES", 10)
     got = sharding.assign(docs_frame([(1, "alike")] * 105 + [(2, "b"), (3, None)]), 4).collect()
@@ -207,7 +228,8 @@ def _plain_weak(t):
         for m in re.finditer(pattern, t):
             s = m.group()
             if kind != "token" or all(re.search(c, s) for c in ("[0-9]", "[A-Z]", "[a-z]")):
-                weak.append((m.start(), secret_scan.KINDS.index(kind), m.end(), kind))
+                end = m.start() + len(s.rstrip(".") if kind == "mail" else s)
+                weak.append((m.start(), secret_scan.KINDS.index(kind), end, kind))
     base = _plain_spans(t)
     out = list(base)
     for a, r, b, kind in weak:
@@ -248,6 +270,29 @@ def test_secret_spans(table_rows, docs_frame):
     assert got[3].spans == "" and got[5].spans == "" and "account:3" in got[8].spans
 
 
+def _runs_of_secrets(n):
+    return " ".join(f"token=abcdefgh{i} x.y{i}@mail.example.com. Ab3{'cD4e' * 5}" for i in range(n))
+
+
+def test_secrets_of_long_runs_and_many_matches(docs_frame):
+    """Texts on which a nested or unanchored pattern, or a list copied for every match, would never end."""
+    import time
+    rows = [(1, "u@h" + ".a" * 100_000), (2, "x" * 1_000_000 + "@y.zz password=12345678"), (3, "a" * 500_000 + "://" + "b" * 500_000),
+            (4, "@".join("ab" for _ in range(100_000))), (5, "password" + " " * 500_000 + "x"), (6, _runs_of_secrets(30_000)),
+            (7, "token=" * 20_000), (8, "0" * 31 + "g" + "f" * 200_000)]
+    docs = docs_frame(rows)
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.report(docs).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert time.time() - began < 120
+    for i, t in rows:
+        base = _plain_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base).encode()).hexdigest(), i
+    assert got[6].n_assign == 30_000 and got[6].spans.count("mail:") == 30_000 and got[6].spans.count("token:") == 30_000
+    assert clean[6] == " ".join(["[secret] [secret]. [secret]"] * 30_000)
+    assert got[2].spans.startswith("mail:0:1000005")
+
+
 def test_redaction(docs_frame):
     rows = SECRETS + ODD
     docs = docs_frame(rows)
@@ -496,3 +541,22 @@ def test_torn_passages_go(rng, docs_frame):
         left = got[i].text.split()
         assert [w for w in left if w.startswith("own")] == [w for w in text.split() if w.startswith("own")]
         assert (got[i].text == text) if i < 100 else (len(left) <= 80 + wide)
+
+
+# -- short benchmark items ---------------------------------------------------------------
+def test_short_items_match_word_for_word(spark, docs_frame):
+    bench = spark.createDataFrame([(1, "Blue whale?"), (1, "Blue whale?"), (2, "x"), (3, None), (4, " \n"), (5, "ünï")],
+                                  "item_id long, text string")
+    rows = [(1, "a BLUE\nwhale? yes"), (2, "blue whales"), (3, "x-ray"), (4, "axb"), (5, "ünïx"), (6, "ÜNÏ."), (7, None), (None, "x")]
+    hits = {(r.doc_id, r.item_id, r.start, r.end, r.distance) for r in decontaminate.matches(docs_frame(rows), bench).collect()}
+    assert hits == {(1, 1, 2, 13, 0), (3, 2, 0, 1, 0), (6, 5, 0, 3, 0), (None, 2, 0, 1, 0)}
+    assert sorted(r.doc_id or 0 for r in decontaminate.keep(docs_frame(rows), bench).collect()) == [2, 4, 5, 7]
+
+
+def test_items_in_several_blocks(spark, docs_frame):
+    bench = spark.createDataFrame([(i, f"benchmark question number {i} about the colour of things") for i in range(30)],
+                                  "item_id long, text string")
+    rows = [(i, f"see benchmark question number {i} about the color of things, and more") for i in range(40)]
+    kept = decontaminate.keep(docs_frame(rows), bench, block_bytes=400)
+    assert kept.columns == docs_frame(rows).columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in decontaminate.keep(docs_frame(rows), bench).collect()} != set(range(40))

@@ -45,7 +45,7 @@ def test_judged_like_the_rules(spark, pages_frame):
                if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
         rule, verdict = max(fit, key=lambda x: len(x[0])) if fit else (None, None)
         parts = host.split(".")
-        listed = any(".".join(parts[k:]) in named for k in range(len(parts))) if len(host) <= 253 else host in named
+        listed = any(".".join(parts[k:]) in named for k in range(len(parts)))
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
         assert got[i].verdict == (verdict or ("block" if listed else "allow")), u
     assert url_filter.judge(pages_frame([]), url_filter.default_list(spark)).count() == 0
@@ -194,7 +194,7 @@ def test_segments_follow_the_standard():
 def test_registry():
     found = E.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark):
@@ -235,3 +235,61 @@ def test_stages_take_odd_tables(spark):
             assert out.count() <= table.count(), name
             if name != "sentencepiece":
                 assert out.columns == table.columns, name
+
+
+# -- names and malformed pages ---------------------------------------------------------
+def test_text_named_by_its_words_stays():
+    page = "<body><nav>menu</nav><article>{}</article></body>"
+    for inner, want in [
+            ('<h2 id="social-history">Social history</h2><p>Prose.</p>', "Social history\n\nProse."),
+            ('<p id="header-files">Header files.</p>', "Header files."),
+            ('<section id="related-work"><h2>Related work</h2><p>Others.</p></section>', "Related work\n\nOthers."),
+            ('<section class="form-of-government"><p>A republic.</p></section>', "A republic."),
+            ('<div class="post-header"><h1>Title</h1></div><p>Text.</p>', "Title\n\nText."),
+            ('<div id="notice"><p>Notes to the text.</p></div>', "Notes to the text."),
+            ('<p>Text.</p><div class="share-buttons"><p>Share</p></div>', "Text."),
+            ('<p>Text.</p><div class="Comments"><p>Nonsense!</p></div>', "Text."),
+            ('<p>Text.</p><div class="comment-list"><p>Nonsense!</p></div><div class="ad-slot">Buy</div>', "Text."),
+            ('<p>Text.</p><div class="site-header"><a href="/">Home</a></div><ul id="share_links"><li><a>x</a></ul>', "Text.")]:
+        assert html_extract.extract(page.format(inner)) == want, inner
+    assert html_extract.extract('<article class="post share-buttons"><p>Whole page.</p></article>') == "Whole page."
+    assert html_extract.extract('<div id="main-nav">a</div><div class="site-footer">b</div><p>Text.</p>') == "Text."
+
+
+def test_malformed_and_deep_pages_take_time_in_proportion():
+    import time
+    for piece, n in [("<a ", 300_000), ("<a b=", 200_000), ("<!-- ", 200_000), ("<!-- > ", 100_000), ("<a '> ", 100_000),
+                     ("</", 300_000), ("<? ", 200_000), ("<![CDATA[", 100_000), ("&#", 300_000), ("<div>", 5_000),
+                     ("<div><b>x</b>", 5_000), ("<p><i>", 20_000)]:
+        began = time.time()
+        html_extract.subtrees("<p>first</p>" + piece * n)
+        assert html_extract.extract("<p>first</p>" + piece * n).startswith("first"), piece
+        assert time.time() - began < 10, piece
+    assert html_extract.extract("<p>a &lt; b</p>tail &amp; more <x") == "a < b\n\ntail & more <x"
+
+
+def test_templates_equal_a_plain_count(spark, rng):
+    """Subtrees that recur over a host's pages, against a count of serialised elements page by page."""
+    from collections import Counter
+    bars = [f"<div><ul><li>item {i}</li></ul></div>" for i in range(4)]
+    rows = []
+    for host in range(3):
+        for i in range(20):
+            parts = [b for k, b in enumerate(bars) if rng.random() < (0.9, 0.5, 0.2, 0.05)[k]]
+            rows.append((len(rows), f"http://h{host}.org/{i}", "".join(parts) + f"<div><p>page {host} {i} only</p></div>"))
+    got = {r.host: set(r.template) for r in html_extract.templates(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in range(3):
+        pages = [h for _, u, h in rows if f"h{host}.org" in u]
+        count = Counter(b for h in pages for b in bars if b in h)
+        often = {b for b, n in count.items() if n >= 5 and n >= 0.3 * len(pages)}
+        want = {k - (1 << 64) if k >> 63 else k for b in often for k in html_extract.subtrees(b)[0]}
+        assert got.get(f"h{host}.org", set()) == want
+
+
+def test_long_hosts_are_judged_by_their_parents(spark):
+    rows = [(1, "http://" + "a." * 200 + "spam-farm.example.net/x"), (2, "http://" + "b" * 300 + ".example.net/"),
+            (3, "http://" + "c" * 300 + ".d.casino-win.example.org/"), (4, "http://" + "e" * 400 + "/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, url_filter.default_list(spark)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
