@@ -147,17 +147,28 @@ def round_half_even_exact(x: str | Column, digits: int) -> Column:
     true binary ties such as 0.125 go to even. Exact for |x * 10^d| < 2^52.
     A negative value that rounds to zero keeps its sign, as Python prints -0.00.
     """
+    return _rounded(x, digits, lambda r, err: (err > 0) | ((err == 0) & (F.pmod(r, F.lit(2.0)) == 1)))
+
+
+def round_half_up_exact(x: str | Column, digits: int) -> Column:
+    """Round half away from zero on the *exact* binary value, as a browser's toFixed does: 0.25 gives 0.3,
+    1.005 (stored just below) gives 1.00."""
+    return _rounded(x, digits, lambda r, err: err >= 0)
+
+
+def _rounded(x: str | Column, digits: int, tie_up) -> Column:
+    """``x`` to ``digits`` places; ``tie_up(whole, err)`` decides where ``x * 10^d`` computes to a half and is off by ``err``."""
     v = _c(x).cast("double")
+    s = F.abs(v)
     b = float(10 ** digits)
-    p = v * F.lit(b)
-    vh, vl = _split(v)
+    p = s * F.lit(b)
+    vh, vl = _split(s)
     bh, bl = _split(F.lit(b))
     err = ((vh * bh - p) + vh * bl + vl * bh) + vl * bl
     r = F.floor(p).cast("double")
     f = p - r
-    up = (f > 0.5) | ((f == 0.5) & ((err > 0) | ((err == 0) & (F.pmod(r, F.lit(2.0)) == 1))))
-    k = F.when(up, r + 1).otherwise(r) / F.lit(b)
-    return F.when(v < 0, -F.abs(k)).otherwise(k)
+    k = F.when((f > 0.5) | ((f == 0.5) & tie_up(r, err)), r + 1).otherwise(r) / F.lit(b)
+    return F.when(v < 0, -k).otherwise(k)
 
 
 def fmt_fixed(x: str | Column, digits: int, sign: bool = False) -> Column:
@@ -166,6 +177,11 @@ def fmt_fixed(x: str | Column, digits: int, sign: bool = False) -> Column:
     return F.format_string(pattern, round_half_even_exact(x, digits))
 
 
+def fmt_browser(x: str | Column, digits: int) -> Column:
+    """Fixed-point text as a browser's ``x.toFixed(digits)``."""
+    return F.format_string(f"%.{digits}f", round_half_up_exact(x, digits))
+
+
 def fmt_percent(x: str | Column, digits: int = 1) -> Column:
     """Python-style ``{:.1%}``: value * 100, fixed digits, then '%'."""
     return F.concat(fmt_fixed(_c(x).cast("double") * F.lit(100.0), digits), F.lit("%"))

@@ -1,4 +1,4 @@
-"""Broadcast with a checked size bound."""
+"""Broadcast with a checked size bound, and dealing rows of few files."""
 
 from __future__ import annotations
 
@@ -16,9 +16,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin the rows over the cluster when a CPU-heavy per-row step would
-    otherwise run on fewer tasks than cores (few large input files). With many
-    input partitions — the large-data case — this is a no-op."""
-    want = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(want) if df.rdd.getNumPartitions() < want // factor else df
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Deal the rows over ``parts`` tasks before a CPU-heavy per-row step; with none they stay where they are.
+
+    For inputs of few large files; a large table has more splits than cores and is not dealt again."""
+    return df.repartition(parts) if parts else df

@@ -53,9 +53,9 @@ def order_notes(notes: DataFrame) -> DataFrame:
     return notes.orderBy("subject_id", "charttime", "note_id")
 
 
-def tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """(id, keep..., term, tf): every token of the whole text counted."""
-    t = spread(df.select(id_col, *keep, text_col)).select(id_col, *keep, F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("term"))
+def tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], parts: int | None = None) -> DataFrame:
+    """(id, keep..., term, tf): every token of the whole text counted (``parts``: see ``spread``)."""
+    t = spread(df.select(id_col, *keep, text_col), parts).select(id_col, *keep, F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("term"))
     return t.filter(F.col("term") != "").groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -76,9 +76,9 @@ def _weights(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
              .drop("w", "norm", "tf", "idf"))
 
 
-def vectorize_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def vectorize_notes(notes: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(note vectors, idf table). The corpus size is a scalar subquery inside the same plan."""
-    tf = tokens(notes, "note_id", "text", ["subject_id"])
+    tf = tokens(notes, "note_id", "text", ["subject_id"], parts)
     idf = fit_idf(tf, notes.select(F.count(F.lit(1))).scalar())
     return _weights(tf, idf, "note_id"), idf
 

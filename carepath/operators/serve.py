@@ -6,6 +6,8 @@ buckets, one stats row) are small enough to reach a client.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +34,21 @@ def patient_profile(scores: DataFrame, features: DataFrame) -> DataFrame:
         *[X.default_zero(c).cast(S.ADDED_FEATURE_TYPES[c]).alias(c) for c in PROFILE_FEATURES])
 
 
-def point_lookup(requests: DataFrame, table: DataFrame, key: str = "subject_id") -> DataFrame:
+def point_lookup(requests: DataFrame, table: DataFrame, key: str = "subject_id", max_ids: int = 1000) -> DataFrame:
     """Batch form of ``WHERE key = :id LIMIT 1``: one row per requested key, ``found`` flag.
 
-    The table side is reduced to one row per key first (the LIMIT 1), then
-    left-joined to the request ids, so missing ids come back as not found.
+    Up to ``max_ids`` requested keys become a list in the table's scan, which skips files and row groups by their
+    minima, maxima and Bloom filters (see ``write_lookup``); with more, a semi join leaves the requested rows.
+    Only these are reduced to one row per key (the LIMIT 1). Missing ids come back as not found.
     """
-    one = table.groupBy(key).agg(F.min(F.struct(*[c for c in table.columns if c != key])).alias("_r"))
-    j = requests.select(key).distinct().join(one, key, "left")
+    asked = requests.select(key).distinct()
+    ids = [r[0] for r in asked.limit(max_ids + 1).collect()]
+    if len(ids) <= max_ids:
+        rows = table.where(F.col(key).isin(sorted(i for i in ids if i is not None)))
+    else:
+        rows = table.join(asked, key, "left_semi")
+    one = rows.groupBy(key).agg(F.min(F.struct(*[c for c in table.columns if c != key])).alias("_r"))
+    j = asked.join(one, key, "left")
     return j.select(key, F.col("_r").isNotNull().alias("found"),
                     *[F.col(f"_r.{c}").alias(c) for c in table.columns if c != key])
 
@@ -83,13 +92,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def dashboard_stats(rows: DataFrame) -> DataFrame:
-    """Totals per tier and mean score in percent (one dp), one row."""
+    """Totals per tier and mean score in percent (one dp, as the dashboard prints it), one row."""
     return rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("risk_tier") == "HIGH").alias("n_high"),
         F.count_if(F.col("risk_tier") == "MEDIUM").alias("n_medium"),
         F.count_if(F.col("risk_tier") == "LOW").alias("n_low"),
-        X.fmt_fixed(F.avg("risk_score") * F.lit(100.0), 1).alias("avg_score_pct"),
+        X.fmt_browser(F.avg("risk_score") * F.lit(100.0), 1).alias("avg_score_pct"),
     )
 
 
@@ -106,21 +115,73 @@ def score_histogram(spark, scores: DataFrame) -> DataFrame:
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max per column (long form, one row per column).
 
-    Quartiles are exact (linear interpolation). ``percentile`` keeps one
-    counter per *distinct* value, partial-aggregated map-side, so its size
-    is bounded by the distinct values of the column, not by its rows; use
-    ``percentile_approx`` for continuous high-cardinality columns.
+    Quartiles are exact (linear interpolation between order statistics, see ``order_statistics``), whatever
+    the number of distinct values.
+    """
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in cols])))
+    stats = long.groupBy("feature").agg(
+        F.count("v").alias("count"), X.stable(F.avg("v")).alias("mean"), X.stable(F.stddev_samp("v")).alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    found = [(c, *q) for c, q in quantiles(wide, cols, (0.25, 0.5, 0.75)).items()]
+    q = df.sparkSession.createDataFrame(found, "feature string, q25 double, q50 double, q75 double")   # one row a column
+    return stats.join(F.broadcast(q), "feature").select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def quantiles(df: DataFrame, cols: list[str], shares: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each double column, linear between neighbouring order statistics; nulls left out."""
+    n = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
+    at = {c: [share * (n[c] - 1) for share in shares] if n[c] else [] for c in cols}
+    ranks = {c: sorted({r for x in at[c] for r in (math.floor(x), math.ceil(x))}) for c in cols}
+    value = order_statistics(df, ranks)
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        out[c] = [value[c, math.floor(x)] + (x - math.floor(x)) * (value[c, math.ceil(x)] - value[c, math.floor(x)])
+                  for x in at[c]] or [None] * len(shares)
+    return out
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], buckets: int = 1024) -> dict[tuple[str, int], float]:
+    """The values with the given 0-based ranks of each double column, by histogram passes.
+
+    A pass counts the rows of all open stretches in ``buckets`` equal parts and notes each part's least and greatest
+    value; a rank's next stretch is the part it falls into, from that least to that greatest value. Both ends of a stretch
+    lie in different parts, so stretches shrink until one is a single value. The driver sees parts, never rows:
+    one pass per factor of ``buckets`` in the number of rows for evenly spread values, a few more for others.
     """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")
-    ).select("x.feature", "x.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (long.groupBy("feature")
-            .agg(F.count("v").alias("count"), X.stable(F.avg("v")).alias("mean"),
-                 X.stable(F.stddev_samp("v")).alias("std"),
-                 F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-            .select("feature", "count", "mean", "std", "min",
-                    F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max"))
+    done: dict[tuple[str, int], float] = {}
+    ends = df.agg(*[f(c).alias(f"{c}_{name}") for c in ranks for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    # a stretch (column, least, greatest) -> the ranks that are looked for in it, counted from its start
+    open_ = {(c, ends[f"{c}_lo"], ends[f"{c}_hi"]): [(r, r) for r in rs] for c, rs in ranks.items() if rs}
+    while open_:
+        for (c, lo, hi), looked in list(open_.items()):
+            if lo == hi:
+                done |= {(c, r): lo for r, _ in looked}
+                del open_[c, lo, hi]
+        if not open_:
+            break
+        keys = list(open_)
+        items = []
+        for i, (c, lo, hi) in enumerate(keys):
+            # quarters: the difference of two doubles may be beyond a double
+            share = (F.col(c) / 4 - lo / 4) / (hi / 4 - lo / 4)
+            part = F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")
+            items.append(F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), part.alias("p"), F.col(c).alias("v"))))
+        counted = (df.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull()))).groupBy("i", "p")
+                   .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i", "p").collect())
+        parts: dict[int, list] = {}
+        for row in counted:
+            parts.setdefault(row.i, []).append(row)
+        narrowed: dict[tuple, list] = {}
+        for i, key in enumerate(keys):
+            for r, left in open_[key]:
+                for row in parts[i]:
+                    if left < row.n:
+                        narrowed.setdefault((key[0], row.lo, row.hi), []).append((r, left))
+                        break
+                    left -= row.n
+        open_ = narrowed
+    return done
 
 
 def class_balance(df: DataFrame, label: str = "high_risk_label") -> DataFrame:

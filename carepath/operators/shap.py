@@ -166,8 +166,8 @@ def ensemble_margin(trees: list[Tree], X: np.ndarray) -> np.ndarray:
 
 
 def shap_values(spark: SparkSession, rows: DataFrame, feature_cols: list[str], model_path: str,
-                key: str = "subject_id") -> DataFrame:
-    """One attribution row per input row: key, shap_<feature>..., base_value."""
+                key: str = "subject_id", parts: int | None = None) -> DataFrame:
+    """One attribution row per input row: key, shap_<feature>..., base_value (``parts``: see ``spread``)."""
     trees = load_ensemble(spark, model_path)
     n_nodes = sum(len(t.value) for t in trees)
     if n_nodes > MAX_ENSEMBLE_NODES:
@@ -186,7 +186,7 @@ def shap_values(spark: SparkSession, rows: DataFrame, feature_cols: list[str], m
             out["base_value"] = base
             yield out
 
-    inp = spread(rows.select(key, *[F.col(c).cast("double") for c in feature_cols]))
+    inp = spread(rows.select(key, *[F.col(c).cast("double") for c in feature_cols]), parts)
     return inp.mapInPandas(attribute, schema)
 
 

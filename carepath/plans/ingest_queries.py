@@ -12,6 +12,7 @@ from carepath.plans.catalog import register
 from carepath.plans.context import Clinic
 from carepath.session import shared_path
 from carepath.sources import files, tables
+from carepath.sources.keyed import KeyedTable
 
 NOTE_COLS = "seq, note_id, subject_id, hadm_id, charttime, category, text"
 
@@ -29,6 +30,16 @@ def q_scan_csv(spark, sf_dir):
     return files.scan_csv(spark, files.resolve_csv(spark, base, "NOTEEVENTS.csv.gz"), schema, multi_line=True)
 
 
+@register("scan_csv_order", """
+SELECT row_number() OVER (ORDER BY subject_id, seq) - 1 AS place, subject_id, gender, dob FROM patients_raw""")
+def q_scan_csv_order(spark, sf_dir):
+    """A sorted export in several files, read back with the gapless place of every row in them."""
+    c = Clinic(spark, sf_dir)
+    path = f"{shared_path(spark, 'patients_export')}/PATIENTS.csv"
+    files.write_csv(c.patients_raw.orderBy("subject_id", "seq"), path, upper_headers=True)
+    return files.scan_csv(spark, path, S.PATIENTS_RAW, order="place").select("place", "subject_id", "gender", "dob")
+
+
 @register("require_inputs", """
 SELECT 'patients' AS table_name, COUNT(*) AS n_rows FROM patients_raw
 UNION ALL SELECT 'admissions', COUNT(*) FROM admissions_raw
@@ -89,20 +100,21 @@ def q_replace_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("clear_tables", "SELECT subject_id, gender, dob FROM patients")
+@register("clear_tables", """
+SELECT 'patients' AS table_name, COUNT(*) AS n_rows FROM patients
+UNION ALL SELECT unnest(['patient_shap_values', 'patient_risk_scores', 'patient_features', 'notes', 'admissions']), 0""")
 def q_clear_tables(spark, sf_dir):
-    """Reload after clearing child tables first: no stale rows survive."""
+    """Reload after clearing all six tables, children first: no stale rows survive."""
     c = Clinic(spark, sf_dir)
     root = shared_path(spark, "db")
-    paths = {n: f"{root}/{n}" for n in ("patient_scores", "patient_features", "patients")}
-    tables.replace_table(c.scores, paths["patient_scores"])
-    tables.replace_table(c.base_features, paths["patient_features"])
-    tables.replace_table(c.patients, paths["patients"])
-    tables.clear_tables(spark, {"patient_scores": (paths["patient_scores"], S.RISK_SCORES),
-                                "patient_features": (paths["patient_features"], c.base_features.schema),
-                                "patients": (paths["patients"], c.patients.schema)})
-    tables.append_table(c.patients, paths["patients"])
-    return spark.read.parquet(paths["patients"])
+    # delete order: what refers to a table goes before it
+    held = {"patient_shap_values": c.shap_fixture, "patient_risk_scores": c.scores, "patient_features": c.base_features,
+            "notes": c.notes, "admissions": c.admissions, "patients": c.patients}
+    for name, df in held.items():
+        tables.replace_table(df, f"{root}/{name}")
+    tables.clear_tables(spark, {name: (f"{root}/{name}", df.schema) for name, df in held.items()})
+    tables.append_table(c.patients, f"{root}/patients")
+    return tables.load_summary({name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in held.items()})
 
 
 _OLD_FEATURES = """
@@ -168,6 +180,20 @@ def q_update_ward(spark, sf_dir):
     return tables.update_by_key(table, wards, "subject_id", ["predicted_ward"])
 
 
+@register("update_table", """
+SELECT s.subject_id, s.risk_score, s.risk_tier,
+       CASE WHEN s.subject_id % 97 = 5 THEN 'Private' WHEN s.risk_score > 0.9 THEN 'ICU' ELSE s.predicted_ward END AS predicted_ward
+FROM scores s""")
+def q_update_table(spark, sf_dir):
+    """Two keyed updates of a stored score table; each rewrites only the buckets that hold a changed key."""
+    scores = Clinic(spark, sf_dir).scores.select("subject_id", "risk_score", "risk_tier", "predicted_ward")
+    stored = KeyedTable.create(scores, shared_path(spark, "scores_by_key"), "subject_id")
+    ward = lambda rows, name: rows.select("subject_id", F.lit(name).alias("predicted_ward"))
+    stored.update(ward(scores.where("risk_score > 0.9"), "ICU"), ["predicted_ward"])
+    stored.update(ward(scores.where("subject_id % 97 = 5"), "Private"), ["predicted_ward"])
+    return stored.read()
+
+
 @register("evolve_columns", """
 SELECT *, CAST(0 AS DOUBLE) AS age, 0 AS gender_male, CAST(0 AS DOUBLE) AS charlson_score, 0 AS num_diagnoses,
        0 AS num_icu_stays, CAST(0 AS DOUBLE) AS total_icu_hours, 0 AS had_icu

@@ -373,7 +373,8 @@ def q_model_store(spark, sf_dir):
 def q_shap_values(spark, sf_dir):
     """Log-odds attributions of the risk model for every labelled patient."""
     df, path = _fitted_gbt(spark, sf_dir)
-    return SH.shap_values(spark, df, S.BASIC_FEATURES, SH.gbt_stage_path(path, spark))
+    return SH.shap_values(spark, df, S.BASIC_FEATURES, SH.gbt_stage_path(path, spark),
+                          parts=2 * spark.sparkContext.defaultParallelism)
 
 
 @register("shap_waterfall")

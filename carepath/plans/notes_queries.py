@@ -81,7 +81,7 @@ def q_patient_notes(spark, sf_dir):
 
 @register("vectorize_notes", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_vectorize_notes(spark, sf_dir):
-    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes)
+    vecs, _ = N.vectorize_notes(Clinic(spark, sf_dir).notes, parts=2 * spark.sparkContext.defaultParallelism)
     return vecs
 
 

@@ -234,10 +234,11 @@ hits AS (
 _EXTRA_CTES: list[str] = [SERVING_CTES, NOTES_CTES]
 
 
-def _round_exact(x: str, digits: int) -> str:
-    """SQL twin of ``scalar.round_half_even_exact`` (Dekker error-free product)."""
+def _round_exact(x: str, digits: int, half_up: bool = False) -> str:
+    """SQL twin of ``scalar.round_half_even_exact`` or ``round_half_up_exact`` (Dekker error-free product)."""
     b = f"CAST({10 ** digits} AS DOUBLE)"
-    v = f"CAST(({x}) AS DOUBLE)"
+    x = f"CAST(({x}) AS DOUBLE)"
+    v = f"abs({x})"
     c = "CAST(134217729 AS DOUBLE)"
     vh = f"(({v}) * {c} - (({v}) * {c} - ({v})))"
     vl = f"(({v}) - {vh})"
@@ -247,9 +248,9 @@ def _round_exact(x: str, digits: int) -> str:
     err = f"((({vh} * {bh} - {pr}) + {vh} * {bl} + {vl} * {bh}) + {vl} * {bl})"
     r = f"floor({pr})"
     fr = f"({pr} - {r})"
-    up = f"({fr} > 0.5 OR ({fr} = 0.5 AND ({err} > 0 OR ({err} = 0 AND ({r} - 2 * floor({r} / 2)) = 1))))"
-    k = f"((CASE WHEN {up} THEN {r} + 1 ELSE {r} END) / {b})"
-    return f"(CASE WHEN ({v}) < 0 THEN -abs({k}) ELSE {k} END)"
+    tie = f"{err} >= 0" if half_up else f"({err} > 0 OR ({err} = 0 AND ({r} - 2 * floor({r} / 2)) = 1))"
+    k = f"((CASE WHEN {fr} > 0.5 OR ({fr} = 0.5 AND {tie}) THEN {r} + 1 ELSE {r} END) / {b})"
+    return f"(CASE WHEN {x} < 0 THEN -{k} ELSE {k} END)"
 
 
 def fmt(x: str, digits: int, sign: bool = False) -> str:
@@ -257,6 +258,11 @@ def fmt(x: str, digits: int, sign: bool = False) -> str:
     return f"printf('%{'+' if sign else ''}.{digits}f', {_round_exact(x, digits)})"
 
 
+def fmt_browser(x: str, digits: int) -> str:
+    """SQL twin of ``scalar.fmt_browser``."""
+    return f"printf('%.{digits}f', {_round_exact(x, digits, half_up=True)})"
+
+
 def pct(x: str) -> str:
     """SQL twin of ``scalar.fmt_percent``."""
     return f"({fmt(f'CAST({x} AS DOUBLE) * 100.0', 1)} || '%')"

@@ -12,7 +12,10 @@ from carepath.operators import prompts as P
 from carepath.operators import serve as SV
 from carepath.plans.catalog import register
 from carepath.plans.context import Clinic
-from carepath.plans.oracle import fill, fmt, lit, pct
+from carepath.plans.oracle import fill, fmt, fmt_browser, lit, pct
+from carepath.session import shared_path
+from carepath.sources.tables import write_lookup
+from carepath.sources.versions import get_or_build, input_fingerprint
 
 LIST_COLS = "subject_id, risk_score, risk_tier, admission_count, emergency_ratio"
 
@@ -52,6 +55,19 @@ def q_format_percent(spark, sf_dir):
                     X.fmt_fixed("days_since_last_admission", 0).alias("days_since"))
 
 
+@register("format_browser", f"""
+SELECT subject_id, {fmt_browser('subject_id / CAST(8 AS DOUBLE)', 1)} AS eighths,
+       {fmt_browser('(risk_score - 0.5) * 100', 1)} AS centred_pct, {fmt_browser('risk_score * 100', 1)} || '%' AS risk_pct
+FROM scores""")
+def q_format_browser(spark, sf_dir):
+    """Figures as the dashboard prints them: ties (eighths have many) go up, where report texts go to even."""
+    s = F.col("risk_score")
+    return Clinic(spark, sf_dir).scores.select(
+        "subject_id", X.fmt_browser(F.col("subject_id") / F.lit(8.0), 1).alias("eighths"),
+        X.fmt_browser((s - 0.5) * 100, 1).alias("centred_pct"),
+        F.concat(X.fmt_browser(s * 100, 1), F.lit("%")).alias("risk_pct"))
+
+
 @register("driver_name", """
 SELECT DISTINCT feature, CASE feature WHEN 'shap_admission_count' THEN 'Admission Count'
   WHEN 'shap_emergency_ratio' THEN 'Emergency Ratio' WHEN 'shap_days_since_last_admission' THEN 'Days Since Last Admission'
@@ -120,7 +136,7 @@ def q_ward_counts(spark, sf_dir):
 @register("dashboard_stats", f"""
 SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE risk_tier = 'HIGH') AS n_high,
        COUNT(*) FILTER (WHERE risk_tier = 'MEDIUM') AS n_medium, COUNT(*) FILTER (WHERE risk_tier = 'LOW') AS n_low,
-       {fmt('AVG(risk_score) * 100.0', 1)} AS avg_score_pct
+       {fmt_browser('AVG(risk_score) * 100.0', 1)} AS avg_score_pct
 FROM (SELECT DISTINCT {LIST_COLS} FROM scores s JOIN features f USING (subject_id))""")
 def q_dashboard_stats(spark, sf_dir):
     c = Clinic(spark, sf_dir)
@@ -144,7 +160,7 @@ def q_score_histogram(spark, sf_dir):
     return SV.score_histogram(spark, rows)
 
 
-_DESCRIBE_COLS = ["age", "charlson_score", "num_diagnoses", "num_icu_stays"]
+_DESCRIBE_COLS = ["age", "charlson_score", "num_diagnoses", "num_icu_stays", "total_icu_hours"]
 
 
 @register("describe", " UNION ALL ".join(f"""
@@ -258,9 +274,17 @@ def q_patient_profile(spark, sf_dir):
 SELECT r.subject_id, p.subject_id IS NOT NULL AS found, p.risk_score, p.risk_tier
 FROM (SELECT DISTINCT subject_id FROM questions_raw) r LEFT JOIN profile p ON r.subject_id = p.subject_id""")
 def q_point_lookup(spark, sf_dir):
-    c = Clinic(spark, sf_dir)
-    prof = _profile(c).select("subject_id", "risk_score", "risk_tier")
-    return SV.point_lookup(c.questions, prof).select("subject_id", "found", "risk_score", "risk_tier")
+    """The serving table, stored by id for the state of its inputs, read for the requested ids only."""
+    return SV.point_lookup(Clinic(spark, sf_dir).questions, serving_table(spark, sf_dir)).select(
+        "subject_id", "found", "risk_score", "risk_tier")
+
+
+def serving_table(spark, sf_dir):
+    """Patient profiles laid out for lookups by id; written once for a state of the input files."""
+    state = input_fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("customer", "orders", "lineitem", "events")], "profile", 1)
+    folder = get_or_build(spark, shared_path(spark, "serving", unique=False), "profile", state,
+                          lambda f: write_lookup(_profile(Clinic(spark, sf_dir)), f, "subject_id"))
+    return spark.read.parquet(folder)
 
 
 @register("ward_summary", "SELECT subject_id, risk_score, risk_tier, predicted_ward, estimated_los_days FROM profile")

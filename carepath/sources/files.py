@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carepath.operators.joins import sized_broadcast
+from carepath.session import shared_path
+
 
 class MissingInput(FileNotFoundError):
     pass
@@ -44,24 +47,48 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     carry more columns than used; those are pruned here.
     ``multi_line`` allows quoted line ends (notes); such a file, like any gzip
     file, is read by one task, so the rows are repartitioned right after the
-    read. ``order`` names a column for the place of a row: it rises in file
-    order (files in the order Spark splits them), but is not gapless.
+    read. ``order`` names a column for the place of a row: 0, 1, 2, ... through the
+    files in order of their names, as one sequential read would number them. For it the
+    rows are written to the shared folder once and read from there (see ``_numbered``).
     Convert large exports to Parquet once and read that instead.
     """
     df = (spark.read.option("header", True).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
           .csv(path))
+    if order:
+        df = df.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK),
+                       F.monotonically_increasing_id().alias(_ROW))
     df = lower_columns(df)
-    place = [F.monotonically_increasing_id().alias(order)] if order else []
+    place = [_FILE, _BLOCK, _ROW] if order else []
     if schema is not None:
         df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name != order], *place)
-    elif place:
-        df = df.select("*", *place)
+    if order:
+        return _numbered(df, order)
     if min_partitions != 0:
         df = df.repartition(min_partitions or spark.sparkContext.defaultParallelism)
     return df
 
 
+_FILE, _BLOCK, _ROW = "_export_file", "_export_block", "_export_row"
+
+
+def _numbered(df: DataFrame, order: str) -> DataFrame:
+    """Rows with their place over all files instead of (file, block, running id).
+
+    A task numbers the rows of a block one after another, so a row's place in its block is its number less the
+    block's first; the blocks before it, in order of file name and offset, add their counts. The numbers hold for one
+    read only, hence the written table. There is one row per block (a split of a file), which one task adds up.
+    """
+    path = shared_path(df.sparkSession, "export")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    blocks = rows.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("n"), F.min(_ROW).alias("first"))
+    before = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(_FILE, _BLOCK, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(sized_broadcast(starts), [_FILE, _BLOCK]).select(
+        *[c for c in rows.columns if c not in (_FILE, _BLOCK, _ROW)], (F.col(_ROW) + F.col("shift")).cast("long").alias(order))
+
+
 def require_inputs(spark: SparkSession, base: str, required: list[str]) -> dict[str, str]:
     """Resolve every required export; fail listing all missing ones."""
     found, missing = {}, []

@@ -9,7 +9,7 @@ one, so a lost executor's work is recomputed from lineage or re-read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,14 +51,20 @@ def update_by_key(target: DataFrame, changes: DataFrame, key: str | list[str],
 
     Unmatched target rows are unchanged; change rows without a target row
     are ignored (left join). Null in the change set keeps the old value.
-    The change set must be unique on ``key``.
+    A change key that is repeated fails the job instead of repeating target rows. ``sources.keyed``
+    has the form that updates a stored table in place.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    ch = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    # grouping by the join's own key: no further shuffle
+    ch = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), *[F.any_value(c).alias(f"_new_{c}") for c in columns])
     j = target.join(ch, keys, "left")
-    out = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).cast(dict(target.dtypes)[c]).alias(c)
-           if c in columns else F.col(c) for c in target.columns]
-    return j.select(*out)
+    types = dict(target.dtypes)
+    refused = F.raise_error(F.lit(f"a change repeats its key ({', '.join(keys)})"))
+
+    def new(c: str) -> Column:
+        kept = F.coalesce(F.col(f"_new_{c}"), F.col(c)).cast(types[c])
+        return F.when(F.col("_times") > 1, refused.cast(types[c])).otherwise(kept).alias(c)
+    return j.select(*[new(c) if c in columns else F.col(c) for c in target.columns])
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str | list[str], columns: list[str],
@@ -110,6 +116,14 @@ def load_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def write_lookup(df: DataFrame, path: str, key: str, distinct_keys: int = 1_000_000) -> None:
+    """Write a table for reads by single keys: files and row groups hold neighbouring keys, whose minima and maxima
+    rule most of them out, and a Bloom filter on the key rules out others that span it (``distinct_keys`` a file)."""
+    (df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
+     .option(f"parquet.bloom.filter.enabled#{key}", "true")
+     .option(f"parquet.bloom.filter.expected.ndv#{key}", str(distinct_keys)).parquet(path))
+
+
 def write_version(df: DataFrame, path: str) -> DataFrame:
     """Write a table version and return it re-read (cuts lineage; survives executor loss)."""
     df.write.mode("overwrite").parquet(path)
