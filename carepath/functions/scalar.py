@@ -208,9 +208,10 @@ def ward_context(ward: str | Column = "predicted_ward") -> Column:
     return F.coalesce(F.try_element_at(m, _c(ward)), F.lit(S.WARD_CONTEXT_DEFAULT))
 
 
-def clean_report_text(t: str | Column) -> Column:
-    """Strip bold markers and turn newlines into <br/> for the report layout."""
-    return F.replace(F.replace(_c(t), F.lit("**"), F.lit("")), F.lit("\n"), F.lit("<br/>"))
+def clean_report_text(t: str | Column, markers: bool = True) -> Column:
+    """Turn newlines into <br/> for the report layout and strip bold ``markers`` (the explanation keeps them)."""
+    c = F.replace(_c(t), F.lit("**"), F.lit("")) if markers else _c(t)
+    return F.replace(c, F.lit("\n"), F.lit("<br/>"))
 
 
 def round_confidence(prob: str | Column) -> Column:

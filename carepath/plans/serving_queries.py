@@ -102,6 +102,13 @@ def q_clean_report_text(spark, sf_dir):
     return n.select("note_id", X.clean_report_text("text").alias("report_text"))
 
 
+@register("clean_explanation_text", "SELECT note_id, replace(text, chr(10), '<br/>') AS report_text FROM notes")
+def q_clean_explanation_text(spark, sf_dir):
+    """The explanation's form: line ends only, bold markers stay."""
+    n = Clinic(spark, sf_dir).notes
+    return n.select("note_id", X.clean_report_text("text", markers=False).alias("report_text"))
+
+
 @register("join_scores_features", f"SELECT s.subject_id, s.risk_score, f.admission_count FROM scores s JOIN features f ON s.subject_id = f.subject_id")
 def q_join_scores_features(spark, sf_dir):
     c = Clinic(spark, sf_dir)
