@@ -154,8 +154,8 @@ def retrieve_topk(questions: DataFrame, q_vecs: DataFrame, index: NoteIndex, k:
     A term adds at most its question weight times the largest weight in the patient's list of it. The
     ``probe`` terms with the highest such bounds are scored first; the k-th best partial score is a
     floor for the answer. The terms with the lowest bounds whose sum stays under this floor cannot bring a
-    note in by themselves: only notes with one of the other terms are candidates, and
-    those lists are read for candidates alone. Notes that share no term score 0; k of them
+    note in by themselves: only notes with one of the other terms are candidates, and the
+    lists of the lowest are looked up for candidates alone where the lengths say that this is less than reading them. Notes that share no term score 0; k of them
     at most are wanted, and the patient's first 2k notes hold these.
 
     So a question is joined to lists of its terms, never to all notes. Weights and scores are rounded to 9 places,
@@ -167,7 +167,7 @@ def retrieve_topk(questions: DataFrame, q_vecs: DataFrame, index: NoteIndex, k:
     spark = questions.sparkSession
     best_first = Window.partitionBy("question_id").orderBy(F.desc("bound"), "term")
     bounds = (q_vecs.join(index.terms, ["subject_id", "term"])
-              .select("question_id", "subject_id", "term", F.col("weight").alias("qw"),
+              .select("question_id", "subject_id", "term", "n_notes", F.col("weight").alias("qw"),
                       (F.col("weight") * F.col("max_weight")).alias("bound")))
     path = shared_path(spark, "question_terms")
     (bounds.withColumn("place", F.row_number().over(best_first))
@@ -185,6 +185,14 @@ def retrieve_topk(questions: DataFrame, q_vecs: DataFrame, index: NoteIndex, k:
              .agg(F.when(F.count("*") == k, F.min("part")).otherwise(F.lit(0.0)).alias("floor")))
     judged = terms.join(floor, "question_id", "left").withColumn(
         "leads", F.col("rest") >= F.coalesce("floor", F.lit(0.0)) - SLACK)
+    # looking candidates up in the other lists must cost less than reading these through
+    lengths = Window.partitionBy("question_id")
+    read = F.sum(F.when(~F.col("leads"), F.col("n_notes"))).over(lengths)
+    looked = (F.sum(F.when(F.col("leads"), F.col("n_notes"))).over(lengths) * F.count_if(~F.col("leads")).over(lengths))
+    path = shared_path(spark, "question_leads")
+    (judged.withColumns({"read": read, "looked": looked}).withColumn("leads", F.col("leads") | (F.col("looked") >= F.col("read")))
+     .select("question_id", "subject_id", "term", "qw", "leads").write.parquet(path))
+    judged = spark.read.parquet(path)
     path = shared_path(spark, "question_parts")
     partial(judged.where("leads").join(lists, ["subject_id", "term"])).write.parquet(path)
     leading = spark.read.parquet(path)
