@@ -35,7 +35,7 @@ def test_retrieval_limits_groups_before_shuffle(spark):
 
 def test_no_python_udf_outside_attribution(spark):
     for name, fn in E.queries().items():
-        if name in ("shap_values",) or name.startswith(("train_", "score_", "cross_", "cv_", "compare_",
+        if name in ("shap_values", "shap_waterfall", "ward_importance") or name.startswith(("enhanced_", "train_", "score_", "cross_", "cv_", "compare_",
                                                          "model_", "feature_imp", "stratified")):
             continue
         plan = _plan(fn(spark, SF_SMALL))
