@@ -41,9 +41,9 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"{self.path}/data-{uuid.uuid4().hex[:12]}"
-        # keys spread a bucket's rows, so a bucket is as many rows as the others
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", self.key) \
-            .write.partitionBy("bucket").parquet(folder)
+        # by range, so that a large bucket is several tasks and files
+        rows.withColumn("bucket", self._bucket()).repartitionByRange("bucket", self.key) \
+            .sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(folder)
         return folder
 
     def _commit(self, version: int, folder: str, buckets: list[int]) -> None:
