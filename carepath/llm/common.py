@@ -15,7 +15,11 @@ from carepath.session import shared_path
 SLICE_BYTES = 1_000_000
 #: Rows of one Arrow batch where the session does not say; texts are far larger than the columns Spark's default has in mind.
 BATCH_ROWS = 1000
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of one Arrow batch where the session does not say; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Setting, Spark's default, and the value taken instead of it.
+_BATCH_CONFS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)),
+                ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +61,12 @@ def _cut(batch, texts, a: int, b: int):
 def map_arrow(df: DataFrame, fn: Callable, schema: str, at_end: Callable | None = None) -> DataFrame:
     """``mapInArrow`` over batches: ``fn(batch)`` yields record batches. ``at_end`` is called when a task
     ends; then its memory goes back to the system, as the worker is kept for later tasks. A session that has
-    no batch size of its own gets ``BATCH_ROWS``."""
+    no batch size of its own gets ``BATCH_ROWS`` and ``BATCH_BYTES``."""
     session = df.sparkSession
-    if session.conf.get(_BATCH_CONF, None) in (None, "10000") and session.sparkContext.getConf().get(_BATCH_CONF) is None:
-        session.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    for conf, default, value in _BATCH_CONFS:
+        if session.conf.get(conf, None) in (None, default) and session.sparkContext.getConf().get(conf) is None:
+            session.conf.set(conf, value)
+
     def run(batches):
         try:
             for batch in batches:
