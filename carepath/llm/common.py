@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from carepath.session import shared_path
 
 #: Upper bound of one in-task slice of text; keeps numpy work arrays small whatever the batch size.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 #: Rows of one Arrow batch where the session does not say; texts are far larger than the columns Spark's default has in mind.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch where the session does not say; a longer row makes a batch of its own.

@@ -43,7 +43,7 @@ _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 _LOW32 = _U(0xFFFFFFFF)
 #: Elements whose permutations are held at a time (times signature length, two bytes each).
-_BLOCK = 50_000
+_BLOCK = 25_000
 #: Pairs whose texts are held at a time.
 PAIRS = 400
 #: Text of one block in the comparison of blocks.

@@ -42,7 +42,7 @@ from carepath.llm.common import map_arrow, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
-MEMO_WORDS = 250_000
+MEMO_WORDS = 60_000
 MEMO_PAIRS = 250_000
 MARK = "\u2581"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
