@@ -100,9 +100,7 @@ def q_replace_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("clear_tables", """
-SELECT 'patients' AS table_name, COUNT(*) AS n_rows FROM patients
-UNION ALL SELECT unnest(['patient_shap_values', 'patient_risk_scores', 'patient_features', 'notes', 'admissions']), 0""")
+@register("clear_tables", "SELECT subject_id, gender, dob FROM patients")
 def q_clear_tables(spark, sf_dir):
     """Reload after clearing all six tables, children first: no stale rows survive."""
     c = Clinic(spark, sf_dir)
@@ -113,8 +111,12 @@ def q_clear_tables(spark, sf_dir):
     for name, df in held.items():
         tables.replace_table(df, f"{root}/{name}")
     tables.clear_tables(spark, {name: (f"{root}/{name}", df.schema) for name, df in held.items()})
+    stored = {name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in held.items()}
+    stale = [r.table_name for r in tables.load_summary(stored).where("n_rows > 0").collect()]
+    if stale:
+        raise ValueError(f"rows left after clearing: {stale}")
     tables.append_table(c.patients, f"{root}/patients")
-    return tables.load_summary({name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in held.items()})
+    return spark.read.parquet(f"{root}/patients")
 
 
 _OLD_FEATURES = """

@@ -128,3 +128,14 @@ def test_browser_rounding(spark):
         for v, text in zip(values, got, strict=True):
             exact = Decimal(abs(v)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
             assert text == ("-" if v < 0 else "") + str(exact), (v, digits)
+
+
+def test_clear_tables_returns_the_reloaded_patients(spark, monkeypatch):
+    from carepath.plans.context import Clinic
+    got = E.queries()["clear_tables"](spark, SF_SMALL)
+    assert got.columns == ["subject_id", "gender", "dob"]
+    assert _rows(got) == _rows(Clinic(spark, SF_SMALL).patients.select("subject_id", "gender", "dob"))
+    clear = tables.clear_tables
+    monkeypatch.setattr(tables, "clear_tables", lambda spark, held: clear(spark, {k: v for k, v in held.items() if k != "notes"}))
+    with pytest.raises(ValueError, match="notes"):
+        E.queries()["clear_tables"](spark, SF_SMALL)
