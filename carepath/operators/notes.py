@@ -1,11 +1,10 @@
 """Clinical notes: documents, term vectors, exact per-patient retrieval, contexts.
 
-Vectors are sparse TF-IDF weights kept *relationally* as
-(note_id, subject_id, term, weight) rows, L2-normalised per note. A dot
-product is then a join on (subject_id, term) plus a sum, so retrieval stays
-inside Spark's join/aggregate machinery (skew-split by AQE, partial
-aggregation) instead of shipping dense vectors through Python. The same
-vectorizer fits the notes and is applied to questions.
+Vectors are sparse TF-IDF weights, L2-normalised per note. Stored and shuffled they are one row per note (its
+terms and their counts as two arrays); (note_id, subject_id, term, weight) rows are made from these where
+they are asked for. Retrieval deals each patient's notes and questions into blocks and keeps k rows per
+question and block, so no (question, note) pair becomes a row. The same vectorizer fits the notes and is
+applied to questions.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ from carepath.session import shared_path
 TOKEN_SPLIT = "[ \t\n\r\f]+"
 #: Notes per patient that the index lists apart; twice the largest k of a retrieval.
 HEADS = 20
-#: Partial scores are compared with this much to spare, far above their rounding.
-SLACK = 1e-6
+#: Most bytes of a broadcast table of idf values or of norms; beyond it they are joined by a shuffle.
+LOOKUP_BYTES = 160 << 20
 
 
 def _text_of(c: str, missing: str) -> Column:
@@ -59,13 +59,42 @@ def tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], parts: in
     return t.filter(F.col("term") != "").groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(note_tf: DataFrame, n_docs) -> DataFrame:
-    """(term, idf) with idf = ln((N + 1) / (df + 1)), the smoothed form Spark ML uses.
+def term_counts(notes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(note_id, subject_id, terms, tfs): one row per note, its distinct terms and how often each occurs.
+
+    Tokens are sorted and counted inside the note's row, so no token is shuffled. Rows that share a note_id, or have
+    none, are counted together by (note_id, subject_id) as ``tokens`` does (``parts``: see ``spread``).
+    """
+    repeated = notes.groupBy("note_id").agg(F.count("*").alias("n")).where("n > 1 OR note_id IS NULL").select("note_id")
+    if repeated.isEmpty():
+        return _counted_rows(spread(notes.select("note_id", "subject_id", "text"), parts))
+    ids = sized_broadcast(repeated.where("note_id IS NOT NULL"))
+    once = notes.where("note_id IS NOT NULL").join(ids, "note_id", "left_anti")
+    again = notes.where("note_id IS NULL").unionByName(notes.join(ids, "note_id", "left_semi").select(notes.columns))
+    together = (tokens(again, "note_id", "text", ["subject_id"]).groupBy("note_id", "subject_id")
+                .agg(F.collect_list(F.struct("term", "tf")).alias("l"))
+                .select("note_id", "subject_id", F.col("l.term").alias("terms"), F.col("l.tf").cast("array<int>").alias("tfs")))
+    return _counted_rows(spread(once.select("note_id", "subject_id", "text"), parts)).unionByName(together)
+
+
+def _counted_rows(notes: DataFrame) -> DataFrame:
+    words = F.array_remove(F.split(F.lower(F.col("text")), TOKEN_SPLIT), "")
+    # the place of each run of equal words in the sorted list, and the end of the last
+    first = F.filter(F.sequence(F.lit(1), F.size("words")),
+                     lambda i: (i == 1) | (F.get("words", i - 1) != F.get("words", i - 2)))
+    return (notes.select("note_id", "subject_id", F.sort_array(words).alias("words")).where(F.size("words") > 0)
+            .withColumn("first", first)
+            .select("note_id", "subject_id", F.transform("first", lambda i: F.get("words", i - 1)).alias("terms"),
+                    F.transform("first", lambda i, at: F.coalesce(F.get("first", at + 1), F.size("words") + 1) - i).alias("tfs")))
+
+
+def fit_idf(counts: DataFrame, n_docs) -> DataFrame:
+    """(term, idf) of ``term_counts`` with idf = ln((N + 1) / (df + 1)), the smoothed form Spark ML uses.
 
     ``n_docs`` may be a number or a scalar-subquery Column (no separate job).
     """
     n = F.lit(float(n_docs)) if isinstance(n_docs, (int, float)) else n_docs.cast("double")
-    df_ = note_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df_ = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df_.select("term", F.log((n + 1.0) / (F.col("df") + 1.0)).alias("idf"))
 
 
@@ -76,35 +105,76 @@ def _weights(tf: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
              .drop("w", "norm", "tf", "idf"))
 
 
+def _unscaled(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """The counts as rows of a term each, with ``w`` = tf * idf.
+
+    The rarest terms, most of a vocabulary, share the largest idf: only the others are looked up, by a broadcast
+    while they are few enough, so that the rows of terms stay where they are.
+    """
+    most = idf.agg(F.max("idf").alias("idf")).first().idf
+    others = sized_broadcast(idf.where(F.col("idf") < F.lit(most)), max_bytes=LOOKUP_BYTES)
+    keep = [c for c in counts.columns if c not in ("terms", "tfs")]
+    rows = (counts.select(*keep, F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+            .select(*keep, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf")))
+    return (rows.join(others, "term", "left")
+            .select(*keep, "term", (F.col("tf") * F.coalesce("idf", F.lit(most))).alias("w")).where("w <> 0"))
+
+
+def note_norms(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(note_id, norm): the length of each note's vector before it is scaled to one."""
+    return (_unscaled(counts.select("note_id", "terms", "tfs"), idf).groupBy("note_id")
+            .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("note_id IS NOT NULL"))
+
+
+def note_weights(counts: DataFrame, idf: DataFrame, norms: DataFrame) -> DataFrame:
+    """(note_id, subject_id, term, weight) of ``term_counts``; the norms are joined before a note becomes many rows."""
+    scaled = counts.join(sized_broadcast(norms, max_bytes=LOOKUP_BYTES), "note_id")
+    return _unscaled(scaled, idf).select("note_id", "subject_id", "term", X.stable(F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def vectorize_notes(notes: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(note vectors, idf table). The corpus size is a scalar subquery inside the same plan."""
-    tf = tokens(notes, "note_id", "text", ["subject_id"], parts)
-    idf = fit_idf(tf, notes.select(F.count(F.lit(1))).scalar())
-    return _weights(tf, idf, "note_id"), idf
+    """(note vectors, idf table). The counts, one row per note, are stored: idf, norms and weights read them."""
+    folder = shared_path(notes.sparkSession, "note_vectors")
+    counts = _write(term_counts(notes, parts), f"{folder}/counts")
+    idf = _write(fit_idf(counts, notes.select(F.count(F.lit(1))).scalar()), f"{folder}/idf")
+    return note_weights(counts, idf, _write(note_norms(counts, idf), f"{folder}/norms")), idf
 
 
 @dataclass
 class NoteIndex:
     """The stored tables of one build of the note index.
 
-    ``docs``: the cleaned notes. ``postings``: (subject_id, note_id, term, weight). Both are range-partitioned
-    on (subject_id, note_id) and ordered by them, so a patient's rows are a few row groups and
-    a hot patient's are many files. ``terms``: (subject_id, term, max_weight, n_notes), the head of each
-    patient's list of a term. ``heads``: each patient's first ``HEADS`` notes. ``idf``: (term, idf).
+    ``docs``: the cleaned notes. ``postings``: (note_id, subject_id, terms, tfs), those of a note in one row. Both
+    are range-partitioned on (subject_id, note_id) and ordered by them, so a patient's rows are a few row groups and
+    a hot patient's are many files. ``norms``: (note_id, norm). ``heads``: each patient's first ``HEADS`` notes.
+    ``idf``: (term, idf).
     """
 
     docs: DataFrame
     postings: DataFrame
-    terms: DataFrame
+    norms: DataFrame
     heads: DataFrame
     idf: DataFrame
 
-    TABLES = ("docs", "postings", "terms", "heads", "idf")
+    TABLES = ("docs", "postings", "norms", "heads", "idf")
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> NoteIndex:
         return cls(*[spark.read.parquet(f"{folder}/{t}") for t in cls.TABLES])
 
+    def weights(self) -> DataFrame:
+        """(note_id, subject_id, term, weight): the postings as a row each."""
+        return note_weights(self.postings, self.idf, self.norms)
+
+    def terms(self) -> DataFrame:
+        """(subject_id, term, max_weight, n_notes): the head of each patient's list of a term."""
+        return self.weights().groupBy("subject_id", "term").agg(F.max("weight").alias("max_weight"), F.count("*").alias("n_notes"))
+
     def of_patients(self, asked: DataFrame, max_ids: int = 1000) -> NoteIndex:
         """The same index read for the patients in ``asked`` only.
 
@@ -115,31 +185,27 @@ class NoteIndex:
         if len(ids) > max_ids:
             return self
         near = F.col("subject_id").isin([i for i in ids if i is not None])
-        return NoteIndex(*[getattr(self, t).where(near) for t in ("docs", "postings", "terms", "heads")], self.idf)
+        return NoteIndex(self.docs.where(near), self.postings.where(near), self.norms, self.heads.where(near), self.idf)
 
 
 def build_note_index(notes: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Write the tables of ``NoteIndex`` under ``folder``; each is made from the stored one before it."""
-    spark = notes.sparkSession
-    clustered = ["subject_id", "note_id"]
-
-    def write(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
-        if order:
-            dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-            df = dealt.sortWithinPartitions(*order)
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    docs = write(notes.select("note_id", "subject_id", "hadm_id", "charttime", "category", "text"), "docs", clustered)
-    tf = write(tokens(docs, "note_id", "text", ["subject_id"]), "counts")
-    idf = write(fit_idf(tf, docs.select(F.count(F.lit(1))).scalar()), "idf")
-    postings = write(_weights(tf, idf, "note_id").select("subject_id", "note_id", "term", "weight"), "postings",
-                     [*clustered, "term"])
-    write(postings.groupBy("subject_id", "term").agg(F.max("weight").alias("max_weight"), F.count("*").alias("n_notes")),
-          "terms", ["subject_id", "term"])
+    """Write the tables of ``NoteIndex`` under ``folder``; each is made from the stored one before it.
+
+    Notes and counts are shuffled as rows of a note each, for their order.
+    """
+    order = ["subject_id", "note_id"]
+
+    def ordered(df: DataFrame) -> DataFrame:
+        dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+        return dealt.sortWithinPartitions(*order)
+
+    docs = _write(ordered(notes.select("note_id", "subject_id", "hadm_id", "charttime", "category", "text")), f"{folder}/docs")
+    counts = _write(ordered(term_counts(docs)), f"{folder}/postings")
+    idf = _write(fit_idf(counts, docs.select(F.count(F.lit(1))).scalar()), f"{folder}/idf")
+    _write(note_norms(counts, idf), f"{folder}/norms")
     first = Window.partitionBy("subject_id").orderBy("note_id")
-    write(docs.select("subject_id", "note_id").withColumn("place", F.row_number().over(first))
-          .where(F.col("place") <= HEADS), "heads", ["subject_id"])
+    _write(docs.select("subject_id", "note_id").withColumn("place", F.row_number().over(first))
+           .where(F.col("place") <= HEADS).repartitionByRange("subject_id").sortWithinPartitions("subject_id"), f"{folder}/heads")
 
 
 def vectorize_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
@@ -148,59 +214,79 @@ def vectorize_questions(questions: DataFrame, idf: DataFrame) -> DataFrame:
     return _weights(tf, idf, "question_id")
 
 
-def retrieve_topk(questions: DataFrame, q_vecs: DataFrame, index: NoteIndex, k: int = 3, probe: int = 4) -> DataFrame:
-    """The k most similar notes of the question's own patient (exact cosine), by the inverted lists.
+def _best_in_block(k: int):
+    def run(notes: pa.Table, questions: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"question_id": [], "subject_id": [], "note_id": [], "score": []}
+        if notes.num_rows and questions.num_rows:
+            subject, ids = notes["subject_id"][0].as_py(), notes["note_id"].to_numpy()
+            terms, tfs = notes["terms"].combine_chunks(), notes["tfs"].combine_chunks()
+            # a row of each (question, term) and of each (note, term), the terms as numbers
+            words = pc.unique(questions["term"])
+            number = pc.index_in(terms.flatten(), words).fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(number >= 0)
+            note = np.repeat(np.arange(len(ids)), np.diff(terms.offsets.to_numpy()))[at]
+            at, note = at[order := np.argsort(number[at], kind="stable")], note[order]
+            starts = np.searchsorted(number[at], np.arange(len(words) + 1))
+            asked_term = pc.index_in(questions["term"], words).to_numpy()
+            idf = np.zeros(len(words))
+            idf[asked_term] = questions["idf"].to_numpy()
+            tf = tfs.flatten().to_numpy(zero_copy_only=False)[at].astype(np.float64)
+            weight = np.round(tf * idf[number[at]] / notes["norm"].to_numpy()[note], 9)
+            asked, asked_weight = questions["question_id"].to_numpy(), questions["weight"].to_numpy()
+            # by question and term: the parts of a score are summed in the same order for every note
+            order = np.lexsort((asked_term, asked))
+            asked, asked_term, asked_weight = asked[order], asked_term[order], asked_weight[order]
+            cuts = np.append(np.flatnonzero(np.diff(asked, prepend=asked[0] - 1)), len(asked)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                lists = [slice(starts[t], starts[t + 1]) for t in asked_term[lo:hi]]
+                parts = [weight[x] * w for x, w in zip(lists, asked_weight[lo:hi], strict=True)]
+                score = np.bincount(np.concatenate([note[x] for x in lists]), np.concatenate(parts), len(ids))
+                floor = np.partition(score, len(ids) - k)[len(ids) - k] if len(ids) > k else 0.0
+                hit = np.flatnonzero((score >= floor - 1e-8) & (score > 0))
+                score = np.round(score[hit], 9)
+                for i in np.lexsort((ids[hit], -score))[:k].tolist():
+                    for name, value in zip(out, (int(asked[lo]), subject, int(ids[hit[i]]), float(score[i])), strict=True):
+                        out[name].append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
+    return run
 
-    A term adds at most its question weight times the largest weight in the patient's list of it. The
-    ``probe`` terms with the highest such bounds are scored first; the k-th best partial score is a
-    floor for the answer. The terms with the lowest bounds whose sum stays under this floor cannot bring a
-    note in by themselves: only notes with one of the other terms are candidates, and the
-    lists of the lowest are looked up for candidates alone where the lengths say that this is less than reading them. Notes that share no term score 0; k of them
-    at most are wanted, and the patient's first 2k notes hold these.
 
-    So a question is joined to lists of its terms, never to all notes. Weights and scores are rounded to 9 places,
-    so copies of a note tie exactly and the lower note_id wins. Top-k windows are limited per map task before
-    their shuffle (WindowGroupLimit): a patient with a third of all notes ships k rows per task and question.
+def retrieve_topk(questions: DataFrame, q_vecs: DataFrame, index: NoteIndex, k: int = 3, probe: int = 4,
+                  note_block: int = 4096, question_block: int = 16384) -> DataFrame:
+    """The k most similar notes of the question's own patient (exact cosine).
+
+    Each patient's notes and questions are dealt into blocks (``probe`` has no effect any more); a task takes one block
+    of each, adds up the lists of a question's terms and keeps its k best notes. So a question meets notes
+    that share a term with it only, no (question, note) pair becomes a row, what is shuffled is the counts and
+    k rows per question and block of notes, and a hot patient is many tasks. Notes that share no term score 0; k
+    of them at most are wanted, and the patient's first 2k notes hold these. Weights and scores are rounded to 9 places,
+    so copies of a note tie exactly and the lower note_id wins.
     """
     if 2 * k > HEADS:
         raise ValueError(f"k is at most {HEADS // 2}")
     spark = questions.sparkSession
-    best_first = Window.partitionBy("question_id").orderBy(F.desc("bound"), "term")
-    bounds = (q_vecs.join(index.terms, ["subject_id", "term"])
-              .select("question_id", "subject_id", "term", "n_notes", F.col("weight").alias("qw"),
-                      (F.col("weight") * F.col("max_weight")).alias("bound")))
-    path = shared_path(spark, "question_terms")
-    (bounds.withColumn("place", F.row_number().over(best_first))
-     .withColumn("rest", F.sum("bound").over(best_first.rowsBetween(0, Window.unboundedFollowing)))
-     .write.parquet(path))
-    terms = spark.read.parquet(path)
-    lists = index.postings.select("subject_id", "note_id", "term", F.col("weight").alias("nw"))
-
-    def partial(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("question_id", "subject_id", "note_id").agg(F.sum(F.col("qw") * F.col("nw")).alias("part"))
-
-    by_score = Window.partitionBy("question_id").orderBy(F.desc("part"), "note_id")
-    floor = (partial(terms.where(F.col("place") <= probe).join(lists, ["subject_id", "term"]))
-             .withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k).groupBy("question_id")
-             .agg(F.when(F.count("*") == k, F.min("part")).otherwise(F.lit(0.0)).alias("floor")))
-    judged = terms.join(floor, "question_id", "left").withColumn(
-        "leads", F.col("rest") >= F.coalesce("floor", F.lit(0.0)) - SLACK)
-    # looking candidates up in the other lists must cost less than reading these through
-    lengths = Window.partitionBy("question_id")
-    read = F.sum(F.when(~F.col("leads"), F.col("n_notes"))).over(lengths)
-    looked = (F.sum(F.when(F.col("leads"), F.col("n_notes"))).over(lengths) * F.count_if(~F.col("leads")).over(lengths))
-    path = shared_path(spark, "question_leads")
-    (judged.withColumns({"read": read, "looked": looked}).withColumn("leads", F.col("leads") | (F.col("looked") >= F.col("read")))
-     .select("question_id", "subject_id", "term", "qw", "leads").write.parquet(path))
-    judged = spark.read.parquet(path)
-    path = shared_path(spark, "question_parts")
-    partial(judged.where("leads").join(lists, ["subject_id", "term"])).write.parquet(path)
-    leading = spark.read.parquet(path)
-    others = (leading.select("question_id", "subject_id", "note_id")
-              .join(judged.where("not leads").select("question_id", "term", "qw"), "question_id")
-              .join(lists, ["subject_id", "note_id", "term"]))
-    scored = (leading.unionByName(partial(others)).groupBy("question_id", "subject_id", "note_id")
-              .agg(X.stable(F.sum("part")).alias("score")))
+    asked = _write(q_vecs.select("question_id", "subject_id", "term", "weight").join(index.idf, "term")
+                   .where("question_id IS NOT NULL"), shared_path(spark, "question_terms"))
+    held = index.postings.join(sized_broadcast(index.norms, max_bytes=LOOKUP_BYTES), "note_id")
+    sizes = sized_broadcast(_write(
+        index.postings.groupBy("subject_id").agg(F.count("*").alias("n")).join(
+            asked.groupBy("subject_id").agg(F.count_distinct("question_id").alias("m")), "subject_id")
+        .select("subject_id", F.ceil(F.col("n") / note_block).alias("note_blocks"),
+                F.ceil(F.col("m") / question_block).alias("question_blocks")), shared_path(spark, "note_blocks")))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    note_side = held.join(sizes, "subject_id").select(
+        "note_id", "subject_id", "norm", "terms", "tfs", F.pmod(F.xxhash64("note_id"), "note_blocks").alias("nb"),
+        each("question_blocks").alias("qb"))
+    question_side = asked.join(sizes, "subject_id").select(
+        "question_id", F.col("subject_id").alias("subject_id"), "term", "weight", "idf", each("note_blocks").alias("nb"),
+        F.pmod(F.xxhash64("question_id"), "question_blocks").alias("qb"))
+    key = ["subject_id", "nb", "qb"]
+    scored = note_side.groupBy(*key).cogroup(question_side.groupBy(*key)).applyInArrow(
+        _best_in_block(k), "question_id long, subject_id long, note_id long, score double")
     fillers = (questions.select("question_id", "subject_id")
                .join(index.heads.where(F.col("place") <= 2 * k), "subject_id")
                .select("question_id", "subject_id", "note_id", F.lit(0.0).alias("score")))
@@ -276,11 +362,17 @@ def retrieve_topk_vectors(queries: DataFrame, vectors: DataFrame, k: int = 3, no
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _with_notes(hits: DataFrame, notes: DataFrame) -> DataFrame:
+    """Hits with their notes; the hits are stored first, so that few enough go to the notes and these stay where they are."""
+    stored = _write(hits.select("question_id", "note_id", "rank"), shared_path(hits.sparkSession, "hits"))
+    return notes.join(sized_broadcast(stored), "note_id")
+
+
 def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style: str = "api") -> DataFrame:
     """Per question: the hits' "[category]\\ntext" (API) or "[category - charttime]\\ntext" (CLI),
     blank-line separated in rank order. Groups hold at most k rows."""
     n = notes.select("note_id", _text_of("category", "None").alias("cat"), _text_of("charttime", "NaT").alias("ct"), "text")
-    j = hits.select("question_id", "note_id", "rank").join(n, "note_id")
+    j = _with_notes(hits, n)
     head = (F.format_string("[%s]", F.col("cat")) if style == "api"
             else F.format_string("[%s - %s]", F.col("cat"), F.col("ct")))
     block = F.concat(head, F.lit("\n"), F.col("text"))
@@ -292,7 +384,7 @@ def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style:
 def rag_sources(hits: DataFrame, notes: DataFrame, questions: DataFrame) -> DataFrame:
     """Per question: its sources as a list of metadata in rank order, and the fixed answer when there are none."""
     n = notes.select("note_id", "subject_id", "hadm_id", _text_of("category", "None").alias("category"))
-    src = (hits.select("question_id", "note_id", "rank").join(n, "note_id")
+    src = (_with_notes(hits, n)
            .groupBy("question_id").agg(F.array_sort(F.collect_list(
                F.struct("rank", F.struct("subject_id", "hadm_id", "category").alias("m")))).alias("l")))
     j = questions.select("question_id", "subject_id").join(src, "question_id", "left")

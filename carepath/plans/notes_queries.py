@@ -16,7 +16,7 @@ from carepath.sources.versions import get_or_build, input_fingerprint
 
 
 #: Changes whenever the tables of the index or their meaning change.
-_INDEX_FORMAT = 1
+_INDEX_FORMAT = 2
 
 
 def index_fingerprint(spark, sf_dir: str) -> str:
@@ -88,14 +88,14 @@ def q_vectorize_notes(spark, sf_dir):
 @register("note_index", "SELECT note_id, subject_id, term, weight FROM note_vecs")
 def q_note_index(spark, sf_dir):
     """The postings of the stored index (built by the first query that needs it)."""
-    return note_index(spark, sf_dir).postings.select("note_id", "subject_id", "term", "weight")
+    return note_index(spark, sf_dir).weights()
 
 
 @register("note_index_terms", """
 SELECT subject_id, term, MAX(weight) AS max_weight, COUNT(*) AS n_notes FROM note_vecs GROUP BY subject_id, term""")
 def q_note_index_terms(spark, sf_dir):
     """The heads of the inverted lists: largest weight and length of each patient's list of a term."""
-    return note_index(spark, sf_dir).terms
+    return note_index(spark, sf_dir).terms()
 
 
 @register("retrieve_vectors", """

@@ -153,3 +153,55 @@ def test_vector_blocks_equal_brute_force(spark):
             assert got[q] == mine[np.lexsort((mine, d))[:3]].tolist()
     plan = N.retrieve_topk_vectors(asked, vec)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and plan.count("Join") == 2      # each side meets its block counts only
+
+
+def test_vectors_of_repeated_and_missing_ids_equal_counted_tokens(spark):
+    """Rows of one note_id count together, and a term's notes are counted by note_id and patient."""
+    rows = [(1, 1, "b a  b"), (1, 1, "a C"), (1, 2, "a d"), (None, 1, "a x"), (None, 1, "x"), (2, 2, " d e\tA "), (3, 2, ""), (4, 3, None)]
+    notes = _notes(spark, rows)
+    tf = {}
+    for i, p, t in rows:
+        for w in (t or "").lower().split():
+            tf[i, p, w] = tf.get((i, p, w), 0) + 1
+    df = {w: sum(1 for x in tf if x[2] == w) for _, _, w in tf}
+    w = {x: n * np.log((len(rows) + 1.0) / (df[x[2]] + 1.0)) for x, n in tf.items()}
+    norm = {i: np.sqrt(sum(v * v for x, v in w.items() if x[0] == i)) for i in (1, 2)}
+    want = {x: round(v / norm[x[0]], 9) for x, v in w.items() if x[0] and v}
+    vecs, idf = N.vectorize_notes(notes, parts=3)
+    got = {(r.note_id, r.subject_id, r.term): r.weight for r in vecs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert {r.term for r in idf.collect()} == set(df)
+
+
+def test_hot_patient_in_many_blocks_equals_one_block(spark, tmp_path):
+    notes = [(i, 1, f"common w{i % 7} v{i % 11} rare{i}") for i in range(300)]
+    asked = [(i, 1, f"common w{i % 5} v{i % 3} rare{i}") for i in range(40)]
+    index, _ = _check(spark, tmp_path, notes, asked, 3, 4)
+    qs = spark.createDataFrame(asked, "question_id long, subject_id long, question string")
+    hits = N.retrieve_topk(qs, N.vectorize_questions(qs, index.idf), index, 3, note_block=32, question_block=8)
+    got = {(r.question_id, r.rank): r.note_id for r in hits.collect()}
+    assert got == {(q, n + 1): i for q, hit in _brute(notes, asked, 3).items() for n, (i, _) in enumerate(hit)}
+
+
+def test_no_posting_is_shuffled_and_no_pair_is_a_row(spark, tmp_path):
+    notes = [(i, i % 7, f"a{i % 5} b{i % 3} common") for i in range(700)]
+    N.build_note_index(_notes(spark, notes), str(tmp_path / "index"))
+    index = N.NoteIndex.read(spark, str(tmp_path / "index"))
+    plan = index.weights()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert index.postings.count() == 700      # a row of a note each
+    qs = spark.createDataFrame([(1, 2, "a1 b2 common")], "question_id long, subject_id long, question string")
+    plan = N.retrieve_topk(qs, N.vectorize_questions(qs, index.idf), index)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(arrays_zip" not in plan
+
+
+def test_contexts_read_notes_without_shuffling_them(spark):
+    notes = _notes(spark, [(i, 1, f"text {i}") for i in range(50)])
+    hits = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (2, 3, 1)], "question_id long, note_id long, rank int")
+    qs = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "question_id long, subject_id long, question string")
+    out = N.rag_context(hits, notes, qs)
+    assert {r.question_id: r.context for r in out.collect()} == {1: "[None]\ntext 3\n\n[None]\ntext 2", 2: "[None]\ntext 3"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    sources = {r.question_id: r.n_sources for r in N.rag_sources(hits, notes, qs).collect()}
+    assert sources == {1: 2, 2: 1}
