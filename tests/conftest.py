@@ -24,3 +24,9 @@ def duck():
               "pages benchmark labels conversations").split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
+
+
+@pytest.fixture
+def rng():
+    import random
+    return random.Random(7)
