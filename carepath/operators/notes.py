@@ -28,6 +28,7 @@ TOKEN_SPLIT = "[ \t\n\r\f]+"
 HEADS = 20
 #: Most bytes of a broadcast table of idf values or of norms; beyond it they are joined by a shuffle.
 LOOKUP_BYTES = 160 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _text_of(c: str, missing: str) -> Column:
@@ -133,7 +134,14 @@ def note_weights(counts: DataFrame, idf: DataFrame, norms: DataFrame) -> DataFra
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """The stored table. Its shuffle files go as soon as it is complete, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
     return df.sparkSession.read.parquet(path)
 
 
@@ -191,7 +199,8 @@ class NoteIndex:
 def build_note_index(notes: DataFrame, folder: str, partitions: int | None = None) -> None:
     """Write the tables of ``NoteIndex`` under ``folder``; each is made from the stored one before it.
 
-    Notes and counts are shuffled as rows of a note each, for their order.
+    Notes are shuffled once, for their order; their counts are made where the ordered notes lie, unless a number of
+    ``partitions`` is asked for, which holds for both.
     """
     order = ["subject_id", "note_id"]
 
@@ -200,7 +209,8 @@ def build_note_index(notes: DataFrame, folder: str, partitions: int | None = Non
         return dealt.sortWithinPartitions(*order)
 
     docs = _write(ordered(notes.select("note_id", "subject_id", "hadm_id", "charttime", "category", "text")), f"{folder}/docs")
-    counts = _write(ordered(term_counts(docs)), f"{folder}/postings")
+    counts = term_counts(docs)
+    counts = _write(ordered(counts) if partitions else counts.sortWithinPartitions(*order), f"{folder}/postings")
     idf = _write(fit_idf(counts, docs.select(F.count(F.lit(1))).scalar()), f"{folder}/idf")
     _write(note_norms(counts, idf), f"{folder}/norms")
     first = Window.partitionBy("subject_id").orderBy("note_id")
