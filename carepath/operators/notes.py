@@ -372,23 +372,49 @@ def retrieve_topk_vectors(queries: DataFrame, vectors: DataFrame, k: int = 3, no
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _contexts_in_block(notes: pa.Table, asked: pa.Table) -> pa.Table:
+    texts: dict[int, list[str]] = {}
+    for i, block in zip(notes["note_id"].to_pylist(), notes["block"].to_pylist(), strict=True):
+        texts.setdefault(i, []).append(block)
+    contexts = []
+    for hits in asked["hits"].to_pylist():
+        found = [(h["rank"], b) for h in hits for b in texts.get(h["note_id"], ())]
+        contexts.append("\n\n".join(b for _, b in sorted(x for x in found if x[1] is not None)) if found else None)
+    out = asked.select(["question_id", "subject_id", "question"]).append_column("context", pa.array(contexts, pa.string()))
+    return out.filter(out["context"].is_valid())
+
+
 def _with_notes(hits: DataFrame, notes: DataFrame) -> DataFrame:
     """Hits with their notes; the hits are stored first, so that few enough go to the notes and these stay where they are."""
     stored = _write(hits.select("question_id", "note_id", "rank"), shared_path(hits.sparkSession, "hits"))
     return notes.join(sized_broadcast(stored), "note_id")
 
 
-def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style: str = "api") -> DataFrame:
+def rag_context(hits: DataFrame, notes: DataFrame, questions: DataFrame, style: str = "api",
+                question_block: int = 512) -> DataFrame:
     """Per question: the hits' "[category]\\ntext" (API) or "[category - charttime]\\ntext" (CLI),
-    blank-line separated in rank order. Groups hold at most k rows."""
-    n = notes.select("note_id", _text_of("category", "None").alias("cat"), _text_of("charttime", "NaT").alias("ct"), "text")
-    j = _with_notes(hits, n)
-    head = (F.format_string("[%s]", F.col("cat")) if style == "api"
-            else F.format_string("[%s - %s]", F.col("cat"), F.col("ct")))
-    block = F.concat(head, F.lit("\n"), F.col("text"))
-    ctx = (j.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("l"))
-            .select("question_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("context")))
-    return questions.select("question_id", "subject_id", "question").join(ctx, "question_id")
+    blank-line separated in rank order.
+
+    A patient's questions are dealt into blocks. A note goes to a block once, however many of its questions hit it,
+    and the contexts are put together there beside their questions, so that no context is shuffled.
+    """
+    spark = questions.sparkSession
+    head = (F.format_string("[%s]", _text_of("category", "None")) if style == "api"
+            else F.format_string("[%s - %s]", _text_of("category", "None"), _text_of("charttime", "NaT")))
+    blocks = notes.select("note_id", F.concat(head, F.lit("\n"), F.col("text")).alias("block"))
+    hit = (_write(hits.select("question_id", "note_id", "rank"), shared_path(spark, "hits"))
+           .groupBy("question_id").agg(F.collect_list(F.struct("rank", "note_id")).alias("hits")))
+    # where a question goes decides nothing but the place of the work; one without a patient goes to any
+    who = F.coalesce("subject_id", F.lit(-1)).alias("who")
+    sizes = _write(questions.groupBy(who).agg(F.ceil(F.count("*") / question_block).alias("n")), shared_path(spark, "question_blocks"))
+    asked = _write(questions.select("question_id", "subject_id", "question", who).join(sized_broadcast(sizes), "who")
+                   .join(hit, "question_id")
+                   .select("question_id", "subject_id", "question", "hits",
+                           F.xxhash64("who", F.pmod(F.xxhash64("question_id"), "n")).alias("place")), shared_path(spark, "asked"))
+    wanted = _write(asked.select("place", F.explode("hits.note_id").alias("note_id")).distinct(), shared_path(spark, "wanted"))
+    texts = blocks.join(sized_broadcast(wanted, max_bytes=LOOKUP_BYTES), "note_id")
+    return texts.groupBy("place").cogroup(asked.groupBy("place")).applyInArrow(
+        _contexts_in_block, "question_id long, subject_id long, question string, context string")
 
 
 def rag_sources(hits: DataFrame, notes: DataFrame, questions: DataFrame) -> DataFrame:

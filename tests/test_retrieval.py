@@ -207,6 +207,22 @@ def test_contexts_read_notes_without_shuffling_them(spark):
     assert sources == {1: 2, 2: 1}
 
 
+def test_a_note_goes_once_to_the_questions_that_hit_it(spark):
+    """Contexts are put together beside their questions: what is shuffled is a text per note and block of questions."""
+    notes = _notes(spark, [(i, 1, f"text {i}") for i in range(50)] + [(2, 4, "other"), (2, 4, "another"), (60, 1, None)])
+    hits = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (2, 3, 1), (3, 99, 1), (4, 60, 1), (4, 5, 2), (5, 60, 1)],
+                                 "question_id long, note_id long, rank int")
+    qs = spark.createDataFrame([(1, 1, "a"), (1, None, "again"), (2, 1, "b"), (3, 1, "c"), (4, 2, "d"), (5, 2, None), (6, 1, "e"), (None, 1, "f")],
+                               "question_id long, subject_id long, question string")
+    one = "[None]\ntext 3\n\n[None]\nanother\n\n[None]\nother\n\n[None]\ntext 2"
+    want = [(1, 1, "a", one), (1, None, "again", one), (2, 1, "b", "[None]\ntext 3"), (4, 2, "d", "[None]\ntext 5"), (5, 2, None, "")]
+    for block in (512, 1):
+        out = N.rag_context(hits, notes, qs, question_block=block)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")
+
+
 def test_shuffle_files_go_when_a_table_is_stored(spark, tmp_path):
     def files():
         found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
