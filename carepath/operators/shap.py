@@ -1,10 +1,10 @@
 """Additive per-feature attributions for boosted-tree models (path-dependent TreeSHAP).
 
 Algorithm: Lundberg, Erion & Lee, "Consistent Individualized Feature
-Attribution for Tree Ensembles" (2018), Algorithm 2. The walk over a tree
-visits the same nodes in the same order for every row — only the hot/cold
-indicator of each split depends on the row — so it is run once per tree
-over a whole Arrow batch with numpy vectors instead of once per row.
+Attribution for Tree Ensembles" (2018), Algorithm 2. The paths of a tree are
+the same for every row — only the hot/cold indicator of each feature on a path
+depends on the row — so a path's weights are worked out once per pattern of
+indicators, and the rows of a whole Arrow batch look them up with numpy vectors.
 
 The ensemble comes from the saved model's node table (Parquet). Its size is
 bounded by the model parameters (trees x 2^(depth+1) nodes), not by the data,
@@ -109,34 +109,53 @@ def _unwind(path, i):
     return d[:i] + d[i + 1:], z[:i] + z[i + 1:], o[:i] + o[i + 1:], w
 
 
-def tree_shap(tree: Tree, X: np.ndarray) -> np.ndarray:
-    """phi (rows x features) of one tree for a batch of rows (margin scale, unweighted)."""
-    B, M = X.shape
-    phi = np.zeros((B, M))
+def _leaves(tree: Tree) -> list[tuple[float, dict[int, tuple[float, float | None, float | None]]]]:
+    """Each leaf's value and path: per feature the share of its splits' cover that follows, and the values (above the
+    first bound, up to the second) that do."""
+    out = []
 
-    def recurse(j, path, pz, po, pi):
-        path = _extend(path, pz, po, pi)
+    def walk(j, path):
         if tree.left[j] < 0:
-            d, z, o, _ = path
-            for i in range(1, len(d)):
-                w = sum(_unwind(path, i)[3])
-                phi[:, d[i]] += w * (o[i] - z[i]) * tree.value[j]
+            out.append((tree.value[j], path))
             return
-        f, t = tree.feature[j], tree.threshold[j]
-        goes_left = (X[:, f] <= t).astype(float)
-        a, b = tree.left[j], tree.right[j]
-        iz, io = 1.0, np.ones(B)
-        d = path[0]
-        if f in d[1:]:
-            k = d.index(f, 1)
-            iz, io = path[1][k], path[2][k]
-            path = _unwind(path, k)
-        rj = tree.cover[j]
-        recurse(a, path, iz * tree.cover[a] / rj, io * goes_left, f)
-        recurse(b, path, iz * tree.cover[b] / rj, io * (1.0 - goes_left), f)
-
-    recurse(0, ([], [], [], []), 1.0, np.ones(B), -1)
-    return phi
+        f, t = int(tree.feature[j]), tree.threshold[j]
+        share, low, high = path.get(f, (1.0, None, None))
+        rest = {k: v for k, v in path.items() if k != f}
+        for child, bounds in ((tree.left[j], (low, t if high is None else min(high, t))),
+                              (tree.right[j], (t if low is None else max(low, t), high))):
+            walk(child, rest | {f: (share * tree.cover[child] / tree.cover[j], *bounds)})
+
+    walk(0, {})
+    return out
+
+
+def tree_shap(tree: Tree, X: np.ndarray) -> np.ndarray:
+    """phi (rows x features) of one tree for a batch of rows (margin scale, unweighted).
+
+    What a leaf adds depends on a row only by which of the path's features lead to it: it is worked out once for each
+    such pattern (2 to the number of the path's features, or those that occur if rows are fewer) and looked up per row.
+    """
+    B, M = X.shape
+    phi = np.zeros((M, B))
+    columns = np.ascontiguousarray(X.T)
+    for value, path in _leaves(tree):
+        at = np.zeros(B, dtype=np.int64)
+        for i, (f, (_, low, high)) in enumerate(path.items()):
+            hot = np.ones(B, dtype=bool) if high is None else columns[f] <= high
+            if low is not None:
+                hot &= ~(columns[f] <= low)
+            at |= hot.astype(np.int64) << i
+        if 1 << len(path) <= B:
+            patterns = np.arange(1 << len(path))
+        else:
+            patterns, at = np.unique(at, return_inverse=True)
+        hot = (patterns[:, None] >> np.arange(len(path)) & 1).astype(float)
+        steps = _extend(([], [], [], []), 1.0, np.ones(len(patterns)), -1)
+        for i, (f, (share, _, _)) in enumerate(path.items()):
+            steps = _extend(steps, share, hot[:, i], f)
+        for i, (f, (share, _, _)) in enumerate(path.items()):
+            phi[f] += (sum(_unwind(steps, i + 1)[3]) * (hot[:, i] - share) * value)[at]
+    return phi.T
 
 
 def ensemble_shap(trees: list[Tree], X: np.ndarray, scale: float = 2.0) -> tuple[np.ndarray, float]:

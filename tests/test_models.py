@@ -121,3 +121,33 @@ def test_models_are_fitted_once_per_state_of_the_inputs(spark, tmp_path, monkeyp
     one, two = (Q._stored(spark, SF_SMALL, "risk", build) for _ in range(2))
     assert one == two and len(fits) == 1
     assert Q._stored(spark, SF_SMALL, "risk", build, rebuild=True) != one and len(fits) == 2
+
+
+def _random_tree(rnd, features, depth, next_to=()):
+    """A full tree with a feature used again on a path, and thresholds that values hit exactly."""
+    n = 2 ** (depth + 1) - 1
+    inner = np.arange(n) < 2 ** depth - 1
+    cover = np.ones(n)
+    for j in range(n - 1, 0, -1):
+        cover[j] = cover[j] if inner[j] else rnd.integers(1, 9)
+    for j in range(2 ** depth - 2, -1, -1):
+        cover[j] = cover[2 * j + 1] + cover[2 * j + 2]
+    return SH.Tree(np.where(inner, 2 * np.arange(n) + 1, -1), np.where(inner, 2 * np.arange(n) + 2, -1),
+                   np.where(inner, rnd.integers(0, features, n), -1), rnd.integers(0, 4, n) / 2.0, rnd.normal(size=n), cover, 1.0)
+
+
+def test_attributions_are_worked_out_per_pattern_not_per_row(monkeypatch):
+    rnd = np.random.default_rng(4)
+    sizes, extend = [], SH._extend
+    monkeypatch.setattr(SH, "_extend", lambda path, pz, po, pi: (sizes.append(len(po)), extend(path, pz, po, pi))[1])
+    for features, depth in ((4, 4), (2, 5), (11, 6)):
+        tree = _random_tree(rnd, features, depth)
+        X = rnd.integers(-1, 5, (3000, features)) / 2.0
+        X[0, 0], X[1, 0] = np.nan, -np.inf
+        phi = SH.tree_shap(tree, X)
+        assert np.allclose(phi.sum(axis=1), SH.ensemble_margin([tree], X) - SH.expected_value(tree), atol=1e-9)
+        few = SH.tree_shap(tree, X[:5])          # fewer rows than patterns
+        assert np.allclose(few, phi[:5], atol=1e-12)
+    assert max(sizes) <= 2 ** 6
+    leaf = SH.Tree(*(np.array([v]) for v in (-1, -1, -1)), np.array([np.nan]), np.array([0.5]), np.array([3.0]), 1.0)
+    assert not SH.tree_shap(leaf, np.zeros((2, 3))).any()
