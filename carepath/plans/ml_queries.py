@@ -22,7 +22,7 @@ from carepath.sources.tables import write_version
 from carepath.sources.versions import get_or_build, input_fingerprint
 
 #: Changes whenever what is stored with a model changes.
-_STORE_FORMAT = 1
+_STORE_FORMAT = 2
 
 
 def _stored(spark, sf_dir: str, name: str, build, rebuild: bool = False) -> str:
@@ -226,27 +226,35 @@ def q_decode_ward(spark, sf_dir):
     return dec.transform(idx)
 
 
-def _build_ward(c: Clinic, folder: str) -> None:
-    """Ward model of the training split with its hold-out predictions, and the one of all labelled rows."""
+def _ward_split(c: Clinic):
     data = _ward_data(c).filter(F.col("predicted_ward").isNotNull())
-    sp = ML.stratified_split(data, label="predicted_ward").checkpoint(eager=True)
+    return ML.stratified_split(data, label="predicted_ward").checkpoint(eager=True)
+
+
+def _build_ward_holdout(c: Clinic, folder: str) -> None:
+    """Ward model of the training split with its hold-out predictions."""
+    sp = _ward_split(c)
     model = ML.train_ward(sp.filter("split = 'train'"))
-    ML.save_model(model, f"{folder}/holdout_model")
+    ML.save_model(model, f"{folder}/model")
     (ML.score_ward(model, sp.filter("split = 'test'")).select("subject_id", "predicted_ward", "ward_pred", "ward_probability")
      .write.parquet(f"{folder}/holdout"))
-    ML.save_model(ML.train_ward(sp), f"{folder}/model")
+
+
+def _build_ward(c: Clinic, folder: str) -> None:
+    """Ward model of all labelled rows."""
+    ML.save_model(ML.train_ward(_ward_split(c)), f"{folder}/model")
 
 
 @register("train_ward")
 def q_train_ward(spark, sf_dir):
     """Hold-out classification report of the ward model (labelled rows only)."""
-    pred = spark.read.parquet(_stored(spark, sf_dir, "ward", _build_ward) + "/holdout")
+    pred = spark.read.parquet(_stored(spark, sf_dir, "ward_holdout", _build_ward_holdout) + "/holdout")
     return ML.classification_report(pred, label="predicted_ward", prediction="ward_pred")
 
 
 @register("ward_importance")
 def q_ward_importance(spark, sf_dir):
-    return ML.ward_importance(spark, ML.load_model(_stored(spark, sf_dir, "ward", _build_ward) + "/holdout_model"))
+    return ML.ward_importance(spark, ML.load_model(_stored(spark, sf_dir, "ward_holdout", _build_ward_holdout) + "/model"))
 
 
 @register("score_ward")

@@ -151,3 +151,12 @@ def test_attributions_are_worked_out_per_pattern_not_per_row(monkeypatch):
     assert max(sizes) <= 2 ** 6
     leaf = SH.Tree(*(np.array([v]) for v in (-1, -1, -1)), np.array([np.nan]), np.array([0.5]), np.array([3.0]), 1.0)
     assert not SH.tree_shap(leaf, np.zeros((2, 3))).any()
+
+
+def test_a_ward_query_fits_the_one_model_it_uses(spark, tmp_path, monkeypatch):
+    fits, train = [], ML.train_ward
+    monkeypatch.setattr(Q, "shared_path", lambda spark, name, unique=True: str(tmp_path / name))
+    monkeypatch.setattr(ML, "train_ward", lambda rows: (fits.append(rows.count()), train(rows, rounds=1))[1])
+    assert Q.q_train_ward(spark, SF_SMALL).count() and Q.q_ward_importance(spark, SF_SMALL).count() == len(S.WARD_FEATURES)
+    assert len(fits) == 1
+    assert Q.q_score_ward(spark, SF_SMALL).count() and len(fits) == 2 and fits[1] > fits[0]
