@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from decimal import Decimal
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -302,11 +302,17 @@ def holdout_report(pred: DataFrame) -> DataFrame:
         {c: gate.select(c).scalar() for c in ("roc_auc", "gate")})
 
 
+def side_by_side(spark: SparkSession, fits: dict) -> dict:
+    """What each of ``fits`` (name -> function) returns, run at once, one driver thread each: a fit is a chain of small
+    jobs, so one alone leaves most of a cluster idle."""
+    with ThreadPool(len(fits)) as pool:
+        return dict(zip(fits, pool.map(inheritable_thread_target(spark)(lambda name: fits[name]()), fits), strict=True))
+
+
 def fold_predictions(df: DataFrame, fit, k: int = 5) -> DataFrame:
     """(subject_id, label, fold, risk_score, risk_prediction): every row scored by the model of the other folds.
 
-    The folds' models are fitted side by side, one driver thread each: a fit is a chain of small jobs, so
-    one alone leaves most of a cluster idle.
+    The folds' models are fitted ``side_by_side``.
     """
     folded = stratified_folds(df, k=k).checkpoint(eager=True)
 
@@ -315,9 +321,8 @@ def fold_predictions(df: DataFrame, fit, k: int = 5) -> DataFrame:
         return score(model, folded.filter(F.col("fold") == f)).select(
             "subject_id", "label", "fold", "risk_score", "risk_prediction")
 
-    with ThreadPool(k) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
-    return reduce(DataFrame.unionByName, parts)
+    parts = side_by_side(df.sparkSession, {f: partial(one, f) for f in range(k)})
+    return reduce(DataFrame.unionByName, parts.values())
 
 
 def fold_auc(pred: DataFrame, k: int = 5) -> DataFrame:

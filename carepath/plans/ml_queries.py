@@ -182,11 +182,12 @@ def q_compare_models(spark, sf_dir):
     params = ML.standardize_params(bal.filter("split = 'train'"), S.BASIC_FEATURES)
     std = ML.standardize(bal, params)
     posw = ML.class_weights(sp, mode="pos_scale")
-    runs = {
-        "logistic": _holdout(ML.train_logistic(std.filter("split = 'train'"), S.BASIC_FEATURES), std),
-        "forest": _holdout(ML.train_forest(bal.filter("split = 'train'"), S.BASIC_FEATURES), bal),
-        "gbt": _holdout(ML.train_gbt_base(posw.filter("split = 'train'")), posw),
+    fits = {
+        "logistic": lambda: _holdout(ML.train_logistic(std.filter("split = 'train'"), S.BASIC_FEATURES), std),
+        "forest": lambda: _holdout(ML.train_forest(bal.filter("split = 'train'"), S.BASIC_FEATURES), bal),
+        "gbt": lambda: _holdout(ML.train_gbt_base(posw.filter("split = 'train'")), posw),
     }
+    runs = ML.side_by_side(spark, fits)
     out = None
     for name, pred in runs.items():
         rep = ML.classification_report(pred, prediction="risk_prediction")

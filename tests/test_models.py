@@ -160,3 +160,9 @@ def test_a_ward_query_fits_the_one_model_it_uses(spark, tmp_path, monkeypatch):
     assert Q.q_train_ward(spark, SF_SMALL).count() and Q.q_ward_importance(spark, SF_SMALL).count() == len(S.WARD_FEATURES)
     assert len(fits) == 1
     assert Q.q_score_ward(spark, SF_SMALL).count() and len(fits) == 2 and fits[1] > fits[0]
+
+
+def test_side_by_side_runs_at_once_and_keeps_names(spark):
+    import threading
+    meet = threading.Barrier(3, timeout=60)
+    assert ML.side_by_side(spark, {n: lambda n=n: (meet.wait(), n)[1] for n in "abc"}) == {n: n for n in "abc"}
