@@ -119,10 +119,18 @@ def _assembler(cols: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
 
 
-def sized(train: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
-    """Training rows in partitions of about ``rows_per_partition``: a tree level is one job over all partitions,
-    so few rows should not be many tasks, while a large table keeps its many."""
-    return train.coalesce(max(1, math.ceil(train.count() / rows_per_partition)))
+def sized(train: DataFrame, rows_per_partition: int = 50_000, most_rows: int = 500_000) -> DataFrame:
+    """Training rows in partitions for tree fits, where each level is a job over all partitions.
+
+    Up to ``rows_per_partition`` rows a core: partitions of about that many. Beyond, dealt evenly to one partition a core
+    (or a multiple, of at most ``most_rows``), as a level pays for each task and waits for the last. Rows are
+    ordered within and checkpointed: bagging draws by a row's place, which must not change when a partition is read again.
+    """
+    n, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    if n <= rows_per_partition * cores:
+        return train.coalesce(max(1, math.ceil(n / rows_per_partition)))
+    parts = cores * math.ceil(n / (cores * most_rows))
+    return train.repartition(parts).sortWithinPartitions(*train.columns).checkpoint(eager=True)
 
 
 def train_logistic(train: DataFrame, cols: list[str]) -> PipelineModel:

@@ -166,3 +166,17 @@ def test_side_by_side_runs_at_once_and_keeps_names(spark):
     import threading
     meet = threading.Barrier(3, timeout=60)
     assert ML.side_by_side(spark, {n: lambda n=n: (meet.wait(), n)[1] for n in "abc"}) == {n: n for n in "abc"}
+
+
+def test_rows_of_tree_fits_are_dealt_evenly_over_the_cores(spark, rows):
+    cores = spark.sparkContext.defaultParallelism
+    places = lambda df: [[r.subject_id for r in p] for p in df.rdd.glom().collect()]
+    uneven = rows.where("subject_id < 600").repartitionByRange(3, F.expr("sqrt(subject_id)")).where("subject_id % 3 < 2")
+    for most, parts in ((500, cores), (30, cores * -(-400 // (30 * cores)))):
+        dealt = ML.sized(uneven, rows_per_partition=10, most_rows=most)
+        got = places(dealt)
+        assert len(got) == parts and max(map(len, got)) - min(map(len, got)) <= 3 and max(map(len, got)) <= most
+        assert sorted(i for p in got for i in p) == [i for i in range(600) if i % 3 < 2]
+        assert all(p == sorted(p) for p in got)                                # places that bagging can draw by
+        assert got == places(ML.sized(uneven, rows_per_partition=10, most_rows=most))
+    assert ML.sized(rows).rdd.getNumPartitions() == 1                          # few rows stay together
