@@ -180,3 +180,14 @@ def test_rows_of_tree_fits_are_dealt_evenly_over_the_cores(spark, rows):
         assert all(p == sorted(p) for p in got)                                # places that bagging can draw by
         assert got == places(ML.sized(uneven, rows_per_partition=10, most_rows=most))
     assert ML.sized(rows).rdd.getNumPartitions() == 1                          # few rows stay together
+
+
+def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(spark, rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    train = ML.class_weights(rows)
+    kept = ML.train_forest(train, S.BASIC_FEATURES, trees=5).stages[-1]
+    assert kept.getCacheNodeIds()
+    plain = RandomForestClassifier(numTrees=5, maxDepth=30, weightCol="weight", seed=ML.SEED, cacheNodeIds=False)
+    again = Pipeline(stages=[ML._assembler(S.BASIC_FEATURES), plain]).fit(ML.sized(train)).stages[-1]
+    assert kept.toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1]
