@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from carepath import schemas as S
 from carepath.functions import scalar as X
+from carepath.operators import boosting
 from carepath.operators.joins import sized_broadcast
 from carepath.operators.ranking import prefix_sum, rank_within
 
@@ -119,6 +120,11 @@ def _assembler(cols: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
 
 
+def dealt(rows: int, cores: int, rows_per_partition: int = 50_000, most_rows: int = 500_000) -> int:
+    """Partitions, one a core or a multiple, to which more than ``rows_per_partition`` rows a core are dealt; 0 for fewer rows."""
+    return cores * math.ceil(rows / (cores * most_rows)) if rows > rows_per_partition * cores else 0
+
+
 def sized(train: DataFrame, rows_per_partition: int = 50_000, most_rows: int = 500_000) -> DataFrame:
     """Training rows in partitions for tree fits, where each level is a job over all partitions.
 
@@ -126,10 +132,10 @@ def sized(train: DataFrame, rows_per_partition: int = 50_000, most_rows: int = 5
     (or a multiple, of at most ``most_rows``), as a level pays for each task and waits for the last. Rows are
     ordered within and checkpointed: bagging draws by a row's place, which must not change when a partition is read again.
     """
-    n, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
-    if n <= rows_per_partition * cores:
+    n = train.count()
+    parts = dealt(n, train.sparkSession.sparkContext.defaultParallelism, rows_per_partition, most_rows)
+    if not parts:
         return train.coalesce(max(1, math.ceil(n / rows_per_partition)))
-    parts = cores * math.ceil(n / (cores * most_rows))
     return train.repartition(parts).sortWithinPartitions(*train.columns).checkpoint(eager=True)
 
 
@@ -151,10 +157,17 @@ def train_forest(train: DataFrame, cols: list[str], trees: int = 100, depth: int
 
 
 def train_gbt(train: DataFrame, cols: list[str], rounds: int = 100, depth: int = 4, step: float = 0.1,
-              subsample: float = 1.0, colsample: str = "all") -> PipelineModel:
-    """Boosted trees; positives weighted neg/pos by the caller's ``weight`` column."""
+              subsample: float = 1.0, colsample: str = "all", rows_per_partition: int = 50_000) -> PipelineModel:
+    """Boosted trees; positives weighted neg/pos by the caller's ``weight`` column.
+
+    Beyond ``rows_per_partition`` rows a core the trees grow from column blocks (see ``boosting``).
+    """
     gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
                         featureSubsetStrategy=colsample, weightCol="weight", seed=SEED, maxBins=64)
+    parts = dealt(train.count(), train.sparkSession.sparkContext.defaultParallelism, rows_per_partition)
+    model = boosting.fit(gbt, train, cols, parts) if parts and boosting.suits(gbt) else None
+    if model:
+        return PipelineModel([_assembler(cols), model])
     return Pipeline(stages=[_assembler(cols), gbt]).fit(sized(train))
 
 

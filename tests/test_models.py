@@ -191,3 +191,50 @@ def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(spark, rows):
     plain = RandomForestClassifier(numTrees=5, maxDepth=30, weightCol="weight", seed=ML.SEED, cacheNodeIds=False)
     again = Pipeline(stages=[ML._assembler(S.BASIC_FEATURES), plain]).fit(ML.sized(train)).stages[-1]
     assert kept.toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1]
+
+
+def test_trees_of_blocks_are_those_of_spark_ml(spark, rows):
+    train = ML.class_weights(rows.withColumn("admission_count", F.round("admission_count")), mode="pos_scale")
+    for depth, step in ((4, 0.1), (6, 0.05)):
+        given = {"cols": S.BASIC_FEATURES, "rounds": 12, "depth": depth, "step": step}      # margins are kept anew in between
+        plain, blocks = ML.train_gbt(train, **given), ML.train_gbt(train, **given, rows_per_partition=0)
+        a, b = ({r.subject_id: (r.risk_score, r.risk_prediction) for r in ML.score(m, train).collect()} for m in (plain, blocks))
+        assert set(a) == set(b) and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+        assert blocks.stages[-1].treeWeights == plain.stages[-1].treeWeights
+        assert blocks.stages[-1].featureImportances.toArray().sum() == pytest.approx(1)
+    path = shared_path(spark, "block_model")
+    ML.save_model(blocks, path)
+    assert {r.subject_id: (r.risk_score, r.risk_prediction) for r in ML.score(ML.load_model(path), train).collect()} == b
+    trees = SH.load_ensemble(spark, SH.gbt_stage_path(path, spark))
+    assert all(t.cover[0] == 600 and np.isclose(t.cover[t.left >= 0], t.cover[t.left[t.left >= 0]] + t.cover[t.right[t.left >= 0]]).all()
+               for t in trees)
+
+
+def test_blocks_of_many_rows_draw_rows_and_features(spark, rows):
+    train = ML.class_weights(rows, mode="pos_scale")
+    fits = [ML.train_gbt(df, S.BASIC_FEATURES, rounds=10, depth=6, step=0.05, subsample=0.8, colsample="0.5", rows_per_partition=0)
+            for df in (train, train)]
+    one, two = ({r.subject_id: r.risk_score for r in ML.score(m, train).collect()} for m in fits)
+    assert one == two and _auc(ML.score(fits[0], train)) > 0.9                         # the same draws in every fit
+    path = shared_path(spark, "drawn_model")
+    ML.save_model(fits[0], path)
+    trees = SH.load_ensemble(spark, SH.gbt_stage_path(path, spark))
+    drawn = [t.cover[0] for t in trees]
+    assert len(set(drawn)) > 3 and 430 < min(drawn) <= max(drawn) < 530 and {int(t.feature[0]) for t in trees} > {0}
+    pred = ML.fold_predictions(train, lambda t: ML.train_gbt(t, S.BASIC_FEATURES, rounds=5, subsample=0.8, rows_per_partition=0), 3)
+    assert sorted(r.subject_id for r in pred.collect()) == list(range(600)) and _auc(pred) > 0.85
+
+
+def test_blocks_with_odd_rows(rows):
+    from carepath.operators import boosting as B
+    fit = lambda df: ML.train_gbt(df, S.BASIC_FEATURES, rounds=2, rows_per_partition=0)
+    train = ML.class_weights(rows, mode="pos_scale")
+    same = train.withColumns({c: F.lit(1.0) for c in S.BASIC_FEATURES})                  # nothing to split on
+    scores = {r.risk_score for r in ML.score(fit(same), same).collect()}
+    assert len(scores) == 1 and 0.49 < scores.pop() < 0.51
+    none = ML.class_weights(rows.withColumn("label", F.lit(0)), mode="pos_scale")        # one class only
+    assert {r.risk_prediction for r in ML.score(fit(none), none).collect()} == {0}
+    with pytest.raises(Exception, match="NaN"):
+        fit(train.withColumn("admission_count", F.lit(float("nan"))))
+    assert B.split_points(np.array([3.0, 1.0, 1.0, 2.0]), np.ones(4), 8).tolist() == [1.5, 2.5]
+    assert len(B.split_points(np.arange(1000.0), np.ones(1000), 64)) == 63
